@@ -27,7 +27,7 @@ BLOCK = 64
 NO_PIVOT = -1
 
 
-def _nearest(k: int, width: int, features: list[str], key: list[str]):
+def _nearest(k: int, width: int, features: list[str], known: list[str], key: list[str]):
     """Per-task search: k best donors per query by (distance, donor key)."""
 
     def search(queries: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
@@ -35,7 +35,7 @@ def _nearest(k: int, width: int, features: list[str], key: list[str]):
         if queries.empty or donors.empty:
             return pd.DataFrame(columns=columns)
         donors = donors.sort_values([f"d_{c}" for c in key], kind="stable")
-        d = donors[features].to_numpy("float64")
+        d = donors[known].to_numpy("float64")
         q = queries[features].to_numpy("float64")
         q_at, d_at, dist = [], [], []
         for start in range(0, len(q), BLOCK):
@@ -68,7 +68,7 @@ def _top(candidates: DataFrame, key: list[str], k: int) -> DataFrame:
     return candidates.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
 
 
-def _search(visits: DataFrame, donors: DataFrame, slices, search, schema: str, key, features) -> DataFrame:
+def _search(visits: DataFrame, donors: DataFrame, slices, search, schema: str, key, features, known) -> DataFrame:
     """Compare every (query, cell) visit with the donors of the cell. A cell's
     donors are split into slices that each visit sees; many visits to one cell
     are split into chunks that each see all slices."""
@@ -85,7 +85,7 @@ def _search(visits: DataFrame, donors: DataFrame, slices, search, schema: str, k
     d = (donors.join(plan, "cell")
          .withColumn("slice", F.pmod(F.xxhash64(*[f"d_{c}" for c in key]), F.col("slices")).cast("int"))
          .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-         .select("cell", "slice", "chunk", *[f"d_{c}" for c in key], "y", *features))
+         .select("cell", "slice", "chunk", *[f"d_{c}" for c in key], "y", *known))
     unit = ["cell", "slice", "chunk"]
     return q.groupBy(*unit).cogroup(d.groupBy(*unit)).applyInPandas(search, schema)
 
@@ -105,15 +105,16 @@ def knn_impute(
     others = [c for c in numeric if c != column]
     if not others:
         raise DataValidationError("knn imputation needs a second numeric column")
-    features = [f"f{i}" for i in range(len(others))]
+    features, known = [f"f{i}" for i in range(len(others))], [f"g{i}" for i in range(len(others))]
     width = len(others) + 1
     rows = df.select(*[col(c) for c in key], col(column).cast("double").alias("y"),
                      *[col(c).cast("double").alias(f) for c, f in zip(others, features)])
-    donors = rows.where(F.col("y").isNotNull()).select(*[col(c).alias(f"d_{c}") for c in key], "y", *features)
+    donors = rows.where(F.col("y").isNotNull()).select(
+        *[col(c).alias(f"d_{c}") for c in key], "y", *[F.col(f).alias(g) for f, g in zip(features, known)])
     queries = rows.where(F.col("y").isNull()).select(*[col(c).alias(f"q_{c}") for c in key], *features)
 
     facts = donors.agg(F.count("*").alias("n"), F.avg("y").alias("mean"),
-                       *[F.var_samp(f).alias(f) for f in features]).first()
+                       *[F.var_samp(g).alias(f) for f, g in zip(features, known)]).first()
     n = facts["n"]
     if n == 0:
         return df
@@ -121,7 +122,8 @@ def knn_impute(
     pivot = max(features, key=lambda f: facts[f] or 0.0)
     cells = min(max(n // cell_rows, 1), MAX_CELLS)
     probs = F.array(*[F.lit(i / cells) for i in range(1, cells)]) if cells > 1 else F.array(F.lit(0.5))
-    cuts = donors.agg(F.percentile_approx(pivot, probs, max(100 * cells, 1000))).first()[0] or []
+    donor_pivot = known[features.index(pivot)]
+    cuts = donors.agg(F.percentile_approx(donor_pivot, probs, max(100 * cells, 1000))).first()[0] or []
     splits = [-math.inf, *sorted(set(cuts)), math.inf]
 
     def cell_of(table: DataFrame, source: str, target: str) -> DataFrame:
@@ -129,13 +131,13 @@ def knn_impute(
         present = F.col(source).isNotNull() & ~F.isnan(source)
         return cut.withColumn(target, F.when(present, F.col(target).cast("int")).otherwise(F.lit(NO_PIVOT)))
 
-    donors = cell_of(donors, pivot, "cell")
+    donors = cell_of(donors, donor_pivot, "cell")
     sizes = {r["cell"]: r["n"] for r in donors.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     slices = {c: math.ceil(size / cell_rows) for c, size in sizes.items()}
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*[f"`q_{c}` {types[c]}" for c in key], *[f"`d_{c}` {types[c]}" for c in key],
                         "dist double", "y double"])
-    search = _nearest(k, width, features, key)
+    search = _nearest(k, width, features, known, key)
     q_key = [f"q_{c}" for c in key]
     filled_cells = F.array(*[F.lit(c) for c in sorted(sizes)])
 
@@ -144,7 +146,7 @@ def knn_impute(
     first_visits = homed.withColumn("cell", F.explode(
         F.when(F.col("home") == NO_PIVOT, filled_cells).otherwise(F.array("home"))))
     # Read twice below, and the search is the costly part: keep it as a table.
-    first = materialize(_top(_search(first_visits, donors, slices, search, schema, key, features), key, k), "knn")
+    first = materialize(_top(_search(first_visits, donors, slices, search, schema, key, features, known), key, k), "knn")
 
     bound = first.groupBy(*q_key).agg(F.max("dist").alias("edge"), F.count("*").alias("found"))
     seen = sum((F.col(f).isNotNull().cast("int") for f in features[1:]), F.col(features[0]).isNotNull().cast("int"))
@@ -159,7 +161,7 @@ def knn_impute(
     visited = F.filter(filled_cells, lambda c: (c != F.col("home")) & (
         (c == NO_PIVOT) | ((c >= F.col("first_cell")) & (c <= F.col("last_cell")))))
     second_visits = ranged.withColumn("cell", F.explode(visited)).select("cell", *q_key, *features)
-    second = _search(second_visits, donors, slices, search, schema, key, features)
+    second = _search(second_visits, donors, slices, search, schema, key, features, known)
     best = _top(first.unionByName(second), key, k)
     values = best.groupBy(*q_key).agg(F.avg("y").alias("__knn")).select(
         *[col(f"q_{c}").alias(c) for c in key], "__knn")
