@@ -40,7 +40,7 @@ _both("sql_join_full", "supplier nation", """SELECT n.n_name, count(s.s_suppkey)
   FULL JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name""")
 _both("sql_join_semi", "customer orders", """SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey
   AND o_totalprice > 400000)""")
-_both("sql_join_anti", "customer orders", """SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+_both("sql_join_anti", "documents labels", """SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
 _both("sql_join_five", "lineitem orders customer nation region", """SELECT n_name, r_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey GROUP BY n_name, r_name""", digits=2)
@@ -63,23 +63,23 @@ def asof_join_query(spark, d):
 
 
 _both("sql_rank", "orders", """SELECT o_custkey, o_orderkey, place, dense, ties FROM (SELECT o_custkey, o_orderkey,
-  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS place,
-  CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS INT) AS dense,
-  CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS INT) AS ties FROM orders) t WHERE place <= 3""")
-_both("sql_ntile", "orders", """SELECT o_orderkey, CAST(ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS INT) AS quarter FROM orders""")
-_both("sql_lag", "events", """SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before,
-  lead(event_type, 2, 'none') OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM events""")
+  CAST(row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS place,
+  CAST(dense_rank() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderpriority) AS INT) AS dense,
+  CAST(rank() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderpriority) AS INT) AS ties FROM orders) t WHERE place <= 3""")
+_both("sql_ntile", "orders", """SELECT o_orderkey, CAST(ntile(4) OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_totalprice, o_orderkey) AS INT) AS quarter FROM orders""")
+_both("sql_lag", "events", """SELECT event_id, lag(value) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS before,
+  lead(event_type, 2, 'none') OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS after FROM events""")
 _both("sql_first_last", "events", """SELECT event_id, first_value(value) OVER w AS first_v, last_value(value) OVER w AS last_v FROM events
-  WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
-_both("sql_frame_rows", "events", """SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id
+  WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+_both("sql_frame_rows", "events", """SELECT event_id, round(avg(value) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id
   ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM events""")
-_both("sql_frame_range", "orders", """SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice
+_both("sql_frame_range", "orders", """SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_totalprice
   RANGE BETWEEN 50000 PRECEDING AND 50000 FOLLOWING) AS near FROM orders""")
 _both("sql_union", "customer supplier", """SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier""")
 _both("sql_union_all", "customer supplier", """SELECT c_nationkey AS k, c_acctbal AS v FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier""")
-_both("sql_intersect", "customer orders", "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
+_both("sql_intersect", "customer orders", "SELECT c_custkey * 2 AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
 _both("sql_intersect_all", "customer supplier", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
-_both("sql_except", "customer orders", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+_both("sql_except", "customer orders", "SELECT o_custkey % 997 AS k FROM orders EXCEPT SELECT c_nationkey FROM customer")
 _both("sql_except_all", "customer supplier", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
 _both("sql_exists", "orders lineitem", """WITH heavy AS (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey)
   SELECT o_orderkey, (SELECT max(h.q) FROM heavy h WHERE h.l_orderkey = o_orderkey) AS q FROM orders

@@ -49,7 +49,9 @@ class DataCleaner:
 
     def handle_outliers(self, method: str = "iqr", action: str = "remove", columns: list[str] | None = None,
                         factor: float = 1.5, **options) -> "DataCleaner":
-        df = treat_outliers(self.df, method, action, columns, factor, **options)
+        shuffled = any(e["operation"] == "duplicates" or e["details"].get("strategy") in ("ffill", "bfill", "knn")
+                       for e in self.get_history())
+        df = treat_outliers(self.df, method, action, columns, factor, **{"stage": shuffled, **options})
         return self._step("outliers", {"method": method, "action": action, "columns": columns}, df)
 
     def validate_data_types(self, type_map: dict[str, str] | None = None,

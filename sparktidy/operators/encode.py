@@ -13,7 +13,7 @@ from sparktidy.functions import types as kinds
 from sparktidy.functions.exprs import col
 from sparktidy.plans.lookup import lookup
 from sparktidy.plans.ordering import row_numbers
-from sparktidy.plans.shape import rows_from
+from sparktidy.plans.shape import column_counts
 from sparktidy.session import materialize
 
 METHODS = ("label", "onehot", "ordinal", "target")
@@ -24,12 +24,8 @@ INLINE_LIMIT = 1000
 
 def unique_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct values per column, null counted as one."""
-    wide = df.agg(F.count("*").alias("n"), *[e for i, c in enumerate(columns) for e in (
-        F.count(col(c)).alias(f"p{i}"), F.count_distinct(col(c)).alias(f"u{i}"))])
-    return rows_from(wide, [{
-        "column": F.lit(c),
-        "unique_count": F.col(f"u{i}") + F.when(F.col(f"p{i}") < F.col("n"), 1).otherwise(0),
-    } for i, c in enumerate(columns)])
+    missing = F.when(F.col("present") < F.col("n"), 1).otherwise(0)
+    return column_counts(df, columns).select("column", (F.col("distinct") + missing).alias("unique_count"))
 
 
 def encode_eligibility(df: DataFrame, columns: list[str] | None = None, method: str = "label") -> DataFrame:

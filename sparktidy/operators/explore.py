@@ -14,6 +14,7 @@ from sparktidy.operators.kendall import kendall_pair
 from sparktidy.plans.lookup import lookup
 from sparktidy.plans.ordering import average_ranks
 from sparktidy.plans.quantiles import quantiles
+from sparktidy.plans.sampling import hash_limit
 from sparktidy.plans.shape import long_cells, rows_from
 
 PAIR_COLUMNS = ("column1", "column2", "correlation")
@@ -109,12 +110,14 @@ def pair_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def scatter_sample(df: DataFrame, x: str, y: str, key: list[str], n: int = 1000, seed: int | None = None) -> DataFrame:
-    """``n`` rows with both values, chosen by a seeded hash of the key, so the
-    choice does not depend on how the table is partitioned."""
+    """``n`` rows with both values, chosen by a seeded hash of a unique key, so
+    the choice does not depend on how the table is partitioned."""
     seed = get_config().random_state if seed is None else seed
     pick = F.xxhash64(*[col(k) for k in key], F.lit(seed))
-    return (df.where(col(x).isNotNull() & col(y).isNotNull())
-            .orderBy(pick, *[col(k) for k in key]).limit(n).select(*[col(c) for c in dict.fromkeys([*key, x, y])]))
+    both = df.where(col(x).isNotNull() & col(y).isNotNull())
+    near = both.where(pick <= F.lit(hash_limit(both.count(), n)))
+    return (near.orderBy(pick, *[col(k) for k in key]).limit(n)
+            .select(*[col(c) for c in dict.fromkeys([*key, x, y])]))
 
 
 def distributions(df: DataFrame, columns: list[str] | None = None, accuracy: int | None = None) -> DataFrame:

@@ -12,7 +12,8 @@ from sparktidy.config import get_config
 from sparktidy.functions import types as kinds
 from sparktidy.functions.exprs import col
 from sparktidy.functions.normal import inverse_normal, upper_tail
-from sparktidy.plans.shape import long_cells, rows_from
+from sparktidy.plans.shape import rows_from
+from sparktidy.plans.sampling import hash_limit
 
 SAMPLE_LIMIT = 5000
 
@@ -70,13 +71,19 @@ def shapiro_test(
     seed: int | None = None,
 ) -> DataFrame:
     """Shapiro-Wilk per column on at most 5000 values, chosen by a seeded hash
-    of the row. The sample limit applies before the shuffle."""
+    of the row. A limit on the hash keeps all but about a sample's worth of rows
+    out of the shuffle."""
     columns = columns or kinds.numeric_columns(df)
     seed = get_config().random_state if seed is None else seed
-    keyed = df.withColumn("__pick", F.xxhash64(*[col(k) for k in key or df.columns], F.lit(seed)))
-    cells = long_cells(keyed, columns, ["__pick"], "double").where(F.col("value").isNotNull())
-    order = Window.partitionBy("column").orderBy("__pick", "value")
-    sample = cells.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_LIMIT)
+    pick = F.xxhash64(*[col(k) for k in key or df.columns], F.lit(seed))
+    counts = df.agg(*[F.count(col(c)) for c in columns]).first()
+    cells = F.array(*[
+        F.when(pick <= F.lit(hash_limit(n, SAMPLE_LIMIT)),
+               F.struct(F.lit(c).alias("column"), pick.alias("pick"), col(c).cast("double").alias("value")))
+        for c, n in zip(columns, counts)])
+    near = df.select(F.inline(F.filter(cells, lambda s: s.isNotNull()))).where(F.col("value").isNotNull())
+    order = Window.partitionBy("column").orderBy("pick", "value")
+    sample = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_LIMIT)
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         n = len(pdf)

@@ -12,6 +12,7 @@ from sparktidy.functions import types as kinds
 from sparktidy.functions.exprs import col
 from sparktidy.plans.quantiles import quantiles
 from sparktidy.plans.shape import rows_from
+from sparktidy.session import materialize
 
 METHODS = ("iqr", "zscore", "modified_zscore")
 ACTIONS = ("remove", "cap", "transform")
@@ -118,33 +119,37 @@ def outlier_rows(
 def treat_outliers(
     df: DataFrame, method: str = "iqr", action: str = "remove", columns: list[str] | None = None,
     factor: float = 1.5, fit: str = "sequential", keep_nulls: bool = False, accuracy: int | None = None,
+    stage: bool = False,
 ) -> DataFrame:
     """Remove, cap or log-transform outliers.
 
     ``fit="sequential"`` refits each column on the rows earlier columns left
     (one small job per column); ``fit="joint"`` fits all columns at once.
+    ``stage`` writes the columns to fit once to a table, for inputs that are
+    costly to compute, such as the result of a shuffle.
     """
     if method not in METHODS:
         raise UnsupportedOperationError(f"unknown outlier method: {method}")
     if action not in ACTIONS:
         raise UnsupportedOperationError(f"unknown outlier action: {action}")
     columns = _numeric(df, columns)
+    fitted = materialize(df.select(*[col(c) for c in columns]), "outliers") if stage and columns else df
     # Only removal changes the rows later columns are fitted on.
     if action != "remove" or fit == "joint":
-        fences = fit_fences(df, columns, method, factor, sample_std=True, accuracy=accuracy)
+        fences = fit_fences(fitted, columns, method, factor, sample_std=True, accuracy=accuracy)
         hit = [c for c in columns if fences[c].crossed]
         if action == "remove":
             for c in hit:
                 df = _without(df, fences[c], keep_nulls)
             return df
         if action == "cap":
-            caps = quantiles(df, hit, [CAP_LOW, CAP_HIGH], accuracy)
+            caps = quantiles(fitted, hit, [CAP_LOW, CAP_HIGH], accuracy)
             return df.withColumns({c: _clamped(c, *caps[c]) for c in hit})
         return df.withColumns({c: F.ln(col(c).cast("double")) for c in hit if fences[c].seen_min > 0})
     for c in columns:
-        fence = fit_fences(df, [c], method, factor, sample_std=True, accuracy=accuracy)[c]
+        fence = fit_fences(fitted, [c], method, factor, sample_std=True, accuracy=accuracy)[c]
         if fence.crossed:
-            df = _without(df, fence, keep_nulls)
+            df, fitted = _without(df, fence, keep_nulls), _without(fitted, fence, keep_nulls)
     return df
 
 

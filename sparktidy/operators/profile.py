@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from sparktidy.functions import types as kinds
 from sparktidy.functions.exprs import col, null_share
 from sparktidy.plans.quantiles import quantiles
-from sparktidy.plans.shape import long_cells, rows_from
+from sparktidy.plans.shape import column_counts, long_cells, rows_from
 
 
 def _hashable(df: DataFrame) -> DataFrame:
@@ -60,27 +60,17 @@ def basic_info(df: DataFrame) -> DataFrame:
 
 def column_profiles(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """One row per column: type, missing and unique counts. A null counts as one
-    unique value. ``approx`` swaps the exact distinct counts, whose plan repeats
-    the rows once per column, for sketches."""
+    unique value. ``approx`` swaps the exact distinct counts for sketches."""
     columns = columns or df.columns
-    source = _hashable(df)
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    aggs = [F.count("*").alias("n")]
-    for i, c in enumerate(columns):
-        aggs += [F.count(col(c)).alias(f"p{i}"), distinct(col(c)).alias(f"u{i}")]
-    wide = source.agg(*aggs)
-    n = F.col("n")
-    records = []
-    for i, c in enumerate(columns):
-        present = F.col(f"p{i}")
-        unique = F.col(f"u{i}") + F.when(present < n, 1).otherwise(0)
-        records.append({
-            "column": F.lit(c), "dtype": F.lit(kinds.dtype_name(df, c)),
-            "kind": F.lit(kinds.kind_of(df.schema[c].dataType)),
-            "n_rows": n, "missing_count": n - present, "missing_pct": null_share(n, present),
-            "unique_count": unique, "unique_pct": F.coalesce(F.try_divide(unique * 100.0, n), F.lit(0.0)),
-        })
-    return rows_from(wide, records)
+    facts = column_counts(_hashable(df), columns, approx)
+    n, present = F.col("n"), F.col("present")
+    unique = F.col("distinct") + F.when(present < n, 1).otherwise(0)
+    kind = F.create_map(*[F.lit(x) for c in columns for x in (c, kinds.kind_of(df.schema[c].dataType))])
+    dtype = F.create_map(*[F.lit(x) for c in columns for x in (c, kinds.dtype_name(df, c))])
+    return facts.select(
+        "column", dtype[F.col("column")].alias("dtype"), kind[F.col("column")].alias("kind"), n.alias("n_rows"),
+        (n - present).alias("missing_count"), null_share(n, present).alias("missing_pct"),
+        unique.alias("unique_count"), F.coalesce(F.try_divide(unique * 100.0, n), F.lit(0.0)).alias("unique_pct"))
 
 
 def sample_values(df: DataFrame, order_by: list[str], n: int = 5, columns: list[str] | None = None) -> DataFrame:

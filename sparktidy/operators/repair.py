@@ -21,6 +21,16 @@ TARGETS = {
 }
 
 
+# Text that can be a number at all: a failed parse costs far more than a pattern test.
+WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(?i:nan|inf|infinity)\s*$"
+
+
+def parsed(c: Column, spark_type: str) -> Column:
+    """A text column as a number, null where it does not read as one."""
+    return F.when(c.rlike(WHOLE if spark_type == "bigint" else NUMBER), c.try_cast(spark_type))
+
+
 def converted(df: DataFrame, column: str, target: str, trim: bool = False) -> Column | None:
     """The column as the target type, null where a value does not fit; None for
     an unknown target name."""
@@ -34,6 +44,8 @@ def converted(df: DataFrame, column: str, target: str, trim: bool = False) -> Co
         return parse_bool(c)
     if is_text and spark_type == "timestamp":
         return F.try_to_timestamp(c)
+    if is_text and spark_type in ("bigint", "double"):
+        return parsed(c, spark_type)
     return c.try_cast(spark_type)
 
 
@@ -69,7 +81,7 @@ def type_suggestions(df: DataFrame, columns: list[str] | None = None) -> DataFra
     columns = columns or kinds.categorical_columns(df)
     aggs = [e for i, c in enumerate(columns) for e in (
         F.count(col(c)).alias(f"n{i}"),
-        F.count(col(c).try_cast("bigint")).alias(f"l{i}"), F.count(col(c).try_cast("double")).alias(f"d{i}"))]
+        F.count(parsed(col(c), "bigint")).alias(f"l{i}"), F.count(parsed(col(c), "double")).alias(f"d{i}"))]
     wide = df.agg(*aggs)
     records = []
     for i, c in enumerate(columns):

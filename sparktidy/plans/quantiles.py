@@ -1,11 +1,11 @@
 """Exact linear-interpolated quantiles that stay distributed.
 
 Spark's exact ``percentile`` keeps a value -> count map in one task, so it only
-serves tables below ``GATHER_LIMIT`` rows.  Beyond it the order statistics are
-found by narrowing: approximate cut points split each column into intervals,
-one counting pass tells which interval holds each wanted rank, oversized
-intervals are split again, and only the rows of the final intervals are grouped
-by value.  Every pass ships a bounded number of counts to the driver.
+serves small tables.  Otherwise one sketch pass brackets every wanted quantile,
+and one grouped pass counts the rows of each interval while keeping the single
+values inside the brackets, from which the wanted order statistics are read.
+When the brackets themselves would be large, counting passes narrow them first.
+Only cuts, counts and the wanted values reach the driver.
 """
 
 from __future__ import annotations
@@ -13,28 +13,36 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparktidy.functions.exprs import col
 
-GATHER_LIMIT = 2_000_000
-# ``percentile`` walks its whole map once per probability, so long lists narrow.
+# Rows one task may hold as a value -> count map.
+DIRECT_LIMIT = 1_000_000
+# Rows of one interval that one task may order.
+INTERVAL_LIMIT = 1_000_000
+# ``percentile`` walks its whole map once per probability, so long lists go the other way.
 MAX_DIRECT_PROBS = 32
 CUTS = 256
+# Half-width of the bracket around a wanted quantile, and the sketch size that
+# keeps the quantile inside it (a miss only costs more passes).
+BRACKET, SKETCH_SIZE = 1 / 200, 1000
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], gather_limit: int = GATHER_LIMIT
+    df: DataFrame, columns: list[str], probs: list[float], direct_limit: int = DIRECT_LIMIT,
+    interval_limit: int = INTERVAL_LIMIT,
 ) -> dict[str, list[float | None]]:
     """Quantiles of the non-null values of each column."""
     if not columns:
         return {}
     names = [f"c{i}" for i in range(len(columns))]
     data = df.select(*[col(c).cast("double").alias(n) for c, n in zip(columns, names)])
-    if len(probs) <= MAX_DIRECT_PROBS and data.count() <= gather_limit:
+    rows = data.count()
+    if rows <= direct_limit and len(probs) <= MAX_DIRECT_PROBS:
         row = data.agg(*[F.percentile(n, F.array(*map(F.lit, probs))).alias(n) for n in names]).first()
         return {c: list(row[n]) if row[n] is not None else [None] * len(probs) for c, n in zip(columns, names)}
-    found = _narrow(data, names, probs, gather_limit)
+    found = _Search(data, names, probs, interval_limit).run(rows)
     return {c: found[n] for c, n in zip(columns, names)}
 
 
@@ -51,99 +59,156 @@ def approx_quantiles(
     return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(columns)}
 
 
-def quantiles(df, columns, probs, accuracy: int | None = None, gather_limit: int = GATHER_LIMIT):
-    if accuracy:
-        return approx_quantiles(df, columns, probs, accuracy)
-    return exact_quantiles(df, columns, probs, gather_limit)
-
-
-def _cut_points(values) -> list[float]:
-    inner = sorted({v for v in values if v is not None and math.isfinite(v)})
-    return [-math.inf, *inner, math.inf]
-
-
-def _intervals(data: DataFrame, splits: dict[str, list[float]]) -> DataFrame:
-    """Long table ``name, part, v`` with the interval number of every value."""
-    names = list(splits)
-    cut = Bucketizer(
-        splitsArray=[splits[n] for n in names], inputCols=names,
-        outputCols=[f"{n}_part" for n in names], handleInvalid="keep",
-    ).transform(data)
-    cells = F.array(*[
-        F.struct(F.lit(n).alias("name"), F.col(f"{n}_part").cast("int").alias("part"), F.col(n).alias("v"))
-        for n in names
-    ])
-    return cut.select(F.inline(cells)).where(F.col("v").isNotNull())
-
-
-def _narrow(data: DataFrame, names: list[str], probs: list[float], gather_limit: int) -> dict[str, list[float | None]]:
-    grid = sorted({*probs, *(i / CUTS for i in range(1, CUTS))})
-    first = data.agg(*[
-        F.percentile_approx(n, F.array(*map(F.lit, grid)), 10 * CUTS).alias(n) for n in names
-    ]).first()
-    splits = {n: _cut_points(first[n] or []) for n in names}
-
-    while True:
-        long = _intervals(data, splits)
-        counted = long.groupBy("name", "part").agg(
-            F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-        parts = {n: sorted((r for r in counted if r["name"] == n), key=lambda r: r["part"]) for n in names}
-        totals = {n: sum(r["n"] for r in parts[n]) for n in names}
-        ranks = {n: _wanted_ranks(totals[n], probs) for n in names}
-        known: dict[str, dict[int, float]] = {n: {} for n in names}
-        open_parts: list[tuple[str, int, int]] = []  # name, part, rows before
-        oversized: list[tuple[str, int]] = []
-        for n in names:
-            before = 0
-            for r in parts[n]:
-                inside = [k for k in ranks[n] if before <= k < before + r["n"]]
-                if inside and r["lo"] == r["hi"]:
-                    known[n].update({k: r["lo"] for k in inside})
-                elif inside:
-                    open_parts.append((n, r["part"], before))
-                    if r["n"] > gather_limit:
-                        oversized.append((n, r["part"]))
-                before += r["n"]
-        if not oversized:
-            break
-        spark = data.sparkSession
-        again = spark.createDataFrame(oversized, "name string, part int")
-        finer = (
-            long.join(F.broadcast(again), ["name", "part"], "left_semi").groupBy("name", "part")
-            .agg(F.percentile_approx("v", F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)]), 10 * CUTS).alias("q"),
-                 F.max("v").alias("hi"))
-            .collect())
-        for r in finer:
-            # The largest value joins as a cut of its own, so an interval that
-            # one repeated value fills up still separates from its neighbours.
-            extra = [*r["q"], r["hi"], math.nextafter(r["q"][0], math.inf)]
-            splits[r["name"]] = _cut_points([*splits[r["name"]], *extra])
-
-    if open_parts:
-        spark = data.sparkSession
-        wanted = [(n, p, b, k) for n, p, b in open_parts for k in ranks[n] if k not in known[n] and k >= b]
-        upper = {(n, r["part"]): r["n"] for n in names for r in parts[n]}
-        wanted = [(n, p, b, k) for n, p, b, k in wanted if k < b + upper[n, p]]
-        targets = F.broadcast(spark.createDataFrame(
-            [(n, p, k - b, k) for n, p, b, k in wanted], "name string, part int, local long, rank long"))
-        values = (
-            long.join(F.broadcast(targets.select("name", "part").distinct()), ["name", "part"], "left_semi")
-            .groupBy("name", "part", "v").agg(F.count("*").alias("n")))
-        upto = Window.partitionBy("name", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        placed = values.withColumn("upto", F.sum("n").over(upto))
+def quantiles(df, columns, probs, accuracy: int | None = None) -> dict[str, list[float | None]]:
+    return approx_quantiles(df, columns, probs, accuracy) if accuracy else exact_quantiles(df, columns, probs)
+
+
+def _sketch(v: Column) -> Column:
+    return F.kll_sketch_agg_double(F.nanvl(v, F.lit(None)), F.lit(SKETCH_SIZE))
+
+
+def _read(sketch: str, probs: list[float]) -> Column:
+    ranks = F.array(*map(F.lit, probs))
+    return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, ranks))
+
+
+def cut_values(df: DataFrame, values: dict[str, Column], probs: list[float]) -> dict[str, list[float]]:
+    """Approximate quantiles for placing cuts, from one mergeable sketch per
+    expression."""
+    row = (df.agg(*[_sketch(v).alias(n) for n, v in values.items()])
+           .select(*[_read(n, probs).alias(n) for n in values]).first())
+    return {n: list(row[n]) if row[n] is not None else [] for n in values}
+
+
+def as_splits(values) -> list[float]:
+    """Strictly increasing borders that cover the whole axis."""
+    return [-math.inf, *sorted({v for v in values if v is not None and math.isfinite(v)}), math.inf]
+
+
+class _Search:
+    """Order statistics of several columns at once. Interval ``part`` of a
+    column holds the values from its border up to the next one."""
+
+    def __init__(self, data: DataFrame, names: list[str], probs: list[float], interval_limit: int):
+        self.data, self.names, self.probs, self.limit = data, names, probs, interval_limit
+        self.number = {n: i for i, n in enumerate(names)}
+        self.totals: dict[str, int] = {}
+
+    def run(self, rows: int) -> dict[str, list[float | None]]:
+        few = len(self.probs) <= MAX_DIRECT_PROBS
+        if few:
+            grid = sorted({min(max(p + d, 0.0), 1.0) for p in self.probs for d in (-BRACKET, BRACKET)})
+        else:
+            grid = sorted({*self.probs, *(i / CUTS for i in range(CUTS + 1))})
+        facts = (self.data.agg(*[e for n in self.names for e in (
+            _sketch(F.col(n)).alias(n), F.count(n).alias(f"{n}_total"))])
+            .select(*[e for n in self.names for e in (_read(n, grid).alias(n), F.col(f"{n}_total"))]).first())
+        cuts = {n: list(facts[n]) if facts[n] is not None else [] for n in self.names}
+        self.totals = {n: facts[f"{n}_total"] for n in self.names}
+        splits = {n: as_splits(cuts[n]) for n in self.names}
+        narrowed = rows * 2 * BRACKET > self.limit if few else rows / CUTS > self.limit
+        if narrowed:
+            splits, wanted = self._split_large(splits)
+        else:
+            wanted = {n: self._bracketed(splits[n], dict(zip(grid, cuts[n]))) for n in self.names}
+        found = self._pick(splits, wanted)
+        if found is None:  # a sketch missed: locate the ranks by counting
+            found = self._pick(*self._split_large(splits))
+        return found
+
+    def _bracketed(self, splits: list[float], cut: dict[float, float]) -> set[int]:
+        """Intervals between the cuts on both sides of each wanted quantile."""
+        if not cut:
+            return set()
+        if len(self.probs) > MAX_DIRECT_PROBS:
+            return set(range(len(splits) - 1))
+        out = set()
+        for p in self.probs:
+            low, high = cut[max(p - BRACKET, 0.0)], cut[min(p + BRACKET, 1.0)]
+            out |= {i for i, (a, b) in enumerate(zip(splits, splits[1:])) if a <= high and b > low}
+        return out
+
+    def _cells(self, splits: dict[str, list[float]]) -> DataFrame:
+        """``name, part, v`` for every non-null value, in one scan."""
+        cut = Bucketizer(
+            splitsArray=[splits[n] for n in self.names], inputCols=self.names,
+            outputCols=[f"{n}_part" for n in self.names], handleInvalid="keep").transform(self.data)
+        cells = F.array(*[
+            F.struct(F.lit(self.number[n]).alias("name"), F.col(f"{n}_part").cast("int").alias("part"),
+                     F.col(n).alias("v")) for n in self.names])
+        return cut.select(F.inline(cells)).where(F.col("v").isNotNull())
+
+    def _split_large(self, splits):
+        """Count the intervals and split those that hold a wanted rank and too
+        many rows, until none is left. Returns the borders and wanted intervals."""
+        while True:
+            cells = self._cells(splits)
+            counted = cells.groupBy("name", "part").agg(
+                F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+            wanted: dict[str, set[int]] = {n: set() for n in self.names}
+            large = []
+            for n in self.names:
+                parts = sorted((r for r in counted if r["name"] == self.number[n]), key=lambda r: r["part"])
+                ranks = _ranks(self.totals[n], self.probs)
+                before = 0
+                for r in parts:
+                    if any(before <= k < before + r["n"] for k in ranks):
+                        wanted[n].add(r["part"])
+                        if r["n"] > self.limit and r["lo"] < r["hi"]:
+                            large.append((self.number[n], r["part"]))
+                    before += r["n"]
+            if not large:
+                return splits, wanted
+            marked = F.broadcast(self.data.sparkSession.createDataFrame(large, "name int, part int"))
+            inner = [i / CUTS for i in range(1, CUTS)]
+            finer = (cells.join(marked, ["name", "part"], "left_semi").groupBy("name", "part")
+                     .agg(_sketch(F.col("v")).alias("s"), F.max("v").alias("hi"))
+                     .select("name", "hi", _read("s", inner).alias("q")).collect())
+            old = {n: list(s) for n, s in splits.items()}
+            for r in finer:
+                n, q = self.names[r["name"]], r["q"] or []
+                # The largest value and the neighbour of the smallest cut become
+                # borders too, so one repeated value gets an interval of its own.
+                fence = [r["hi"], *([math.nextafter(q[0], math.inf)] if q else [])]
+                splits[n] = as_splits([*splits[n], *q, *fence])
+            if splits == old:  # only infinite values are left to tell apart
+                return splits, wanted
+
+    def _pick(self, splits, wanted) -> dict[str, list[float | None]] | None:
+        """Read the wanted ranks; None when one lies outside the wanted intervals."""
+        open_cell = F.lit(False)
+        for n in self.names:
+            if wanted[n]:
+                open_cell = open_cell | ((F.col("name") == self.number[n]) & F.col("part").isin(sorted(wanted[n])))
+        groups = (
+            self._cells(splits).select("name", "part", "v", F.when(open_cell, F.col("v")).alias("value"))
+            .groupBy("name", "part", "value")
+            .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+        by_part = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = groups.groupBy("name", "part").agg(F.sum("n").alias("rows")).select(
+            "name", "part", "rows", F.coalesce(F.sum("rows").over(by_part), F.lit(0)).alias("before"))
+        ranks = self.data.sparkSession.createDataFrame(
+            [(self.number[n], k) for n in self.names for k in _ranks(self.totals[n], self.probs)],
+            "name int, rank long")
+        targets = parts.join(F.broadcast(ranks), "name").where(
+            (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("rows"))).select(
+            "name", "part", "rank", (F.col("rank") - F.col("before")).alias("local"))
+        inside = Window.partitionBy("name", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         hits = (
-            placed.join(targets, ["name", "part"])
-            .where((F.col("upto") > F.col("local")) & (F.col("upto") - F.col("n") <= F.col("local")))
-            .select("name", "rank", "v").collect())
+            groups.withColumn("upto", F.sum("n").over(inside))
+            .join(F.broadcast(targets), ["name", "part"])
+            .where((F.col("local") < F.col("upto")) & (F.col("local") >= F.col("upto") - F.col("n")))
+            .select("name", "rank", F.coalesce("value", F.when(F.col("lo") == F.col("hi"), F.col("lo"))).alias("v")).collect())
+        if any(r["v"] is None for r in hits):
+            return None
+        known = {n: {} for n in self.names}
         for r in hits:
-            known[r["name"]][r["rank"]] = r["v"]
-    return {n: [_interpolate(totals[n], p, known[n]) for p in probs] for n in names}
+            known[self.names[r["name"]]][r["rank"]] = r["v"]
+        return {n: [_interpolate(self.totals[n], p, known[n]) for p in self.probs] for n in self.names}
 
 
-def _wanted_ranks(total: int, probs: list[float]) -> set[int]:
-    if not total:
-        return set()
-    spots = [p * (total - 1) for p in probs]
+def _ranks(total: int, probs: list[float]) -> set[int]:
+    spots = [p * (total - 1) for p in probs] if total else []
     return {math.floor(s) for s in spots} | {math.ceil(s) for s in spots}
 
 
@@ -152,6 +217,4 @@ def _interpolate(total: int, prob: float, known: dict[int, float]) -> float | No
         return None
     spot = prob * (total - 1)
     low, high = math.floor(spot), math.ceil(spot)
-    if low == high:
-        return known[low]
-    return (high - spot) * known[low] + (spot - low) * known[high]
+    return known[low] if low == high else (high - spot) * known[low] + (spot - low) * known[high]

@@ -18,3 +18,28 @@ def long_cells(df: DataFrame, columns: list[str], keep: list[str] = (), cast: st
     """``column, value`` per cell, in one scan."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast(cast).alias("value")) for c in columns])
     return df.select(*[col(k) for k in keep], F.inline(cells))
+
+
+def column_counts(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
+    """``column, n, present, distinct`` per column.
+
+    Exact distinct counts run as one narrow aggregate per column, each reading
+    only its column: a single aggregate with many distinct counts would repeat
+    every row, with all its keys, once per column. Sketches share one pass.
+    Write a costly input to a table first.
+    """
+    if approx:
+        wide = df.agg(F.count("*").alias("n"), *[e for i, c in enumerate(columns) for e in (
+            F.count(col(c)).alias(f"p{i}"), F.approx_count_distinct(col(c)).alias(f"d{i}"))])
+        return rows_from(wide, [{"column": F.lit(c), "n": F.col("n"), "present": F.col(f"p{i}"),
+                                 "distinct": F.col(f"d{i}")} for i, c in enumerate(columns)])
+    out = None
+    for c in columns:
+        values = df.groupBy(col(c).alias("v")).agg(F.count("*").alias("n"))
+        zero = F.lit(0).cast("long")
+        part = values.agg(
+            F.lit(c).alias("column"), F.coalesce(F.sum("n"), zero).alias("n"),
+            F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), zero).alias("present"),
+            F.count("v").alias("distinct"))
+        out = part if out is None else out.unionByName(part)
+    return out

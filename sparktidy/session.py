@@ -10,6 +10,9 @@ from pyspark.sql import SparkSession
 from sparktidy.errors import TidyError
 
 
+_local_root: str | None = None
+
+
 def local_session(cores: str | int = 8, shuffle_partitions: int = 8, app: str = "sparktidy") -> SparkSession:
     """A local session for tests and the bench. On a cluster bring your own."""
     return (
@@ -30,12 +33,13 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder the cluster names in
     ``spark.checkpoint.dir``. Only a local master may fall back to a
     temporary folder, because there driver and executors share the disk."""
+    global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise TidyError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="sparktidy-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        _local_root = _local_root or tempfile.mkdtemp(prefix="sparktidy-")
+        root = _local_root
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
