@@ -16,6 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sparktidy.functions.exprs import col
+from sparktidy.plans.quantiles import as_splits, cut_values
 
 BAND_POINTS = 200_000
 MIN_BANDS, MAX_BANDS = 16, 8192
@@ -55,14 +56,12 @@ def _within_y_band(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _banded(points: DataFrame, bands: int) -> DataFrame:
-    probs = F.array(*[F.lit(i / bands) for i in range(1, bands)])
-    cuts = points.agg(*[F.percentile_approx(s, probs, 100 * bands).alias(s) for s in ("x", "y")]).first()
+    cuts = cut_values(points, {s: F.col(s) for s in ("x", "y")}, [i / bands for i in range(1, bands)])
     for side in ("x", "y"):
-        inner = set(cuts[side] or [])
+        inner = set(cuts[side])
         # A repeated cut is a frequent value: a second cut just above fences it in.
         inner |= {float(np.nextafter(v, np.inf)) for v in inner}
-        splits = [-float("inf"), *sorted(inner), float("inf")]
-        points = Bucketizer(splits=splits, inputCol=side, outputCol=f"{side}b", handleInvalid="keep").transform(points)
+        points = Bucketizer(splits=as_splits(inner), inputCol=side, outputCol=f"{side}b", handleInvalid="keep").transform(points)
         points = points.withColumn(f"{side}b", F.col(f"{side}b").cast("int"))
     return points
 

@@ -19,43 +19,71 @@ from pyspark.sql import DataFrame, Window, functions as F
 from sparktidy.errors import DataValidationError
 from sparktidy.functions import types as kinds
 from sparktidy.functions.exprs import col
+from sparktidy.plans.quantiles import as_splits, cut_values
 from sparktidy.session import materialize
 
 CELL_ROWS = 20_000
 MAX_CELLS = 4096
-BLOCK = 64
+# Queries compared at a time, and donors on each side that give a first bound.
+BLOCK, WINDOW = 64, 64
 NO_PIVOT = -1
 
 
-def _nearest(k: int, width: int, features: list[str], known: list[str], key: list[str]):
-    """Per-task search: k best donors per query by (distance, donor key)."""
+def _distances(q: np.ndarray, d: np.ndarray, width: int) -> np.ndarray:
+    """Squared distances, scaled up by the share of columns both rows have."""
+    total = np.zeros((len(q), len(d)))
+    shared = np.zeros((len(q), len(d)))
+    for j in range(q.shape[1]):
+        gap = q[:, j, None] - d[None, :, j]
+        present = ~np.isnan(gap)
+        total += np.where(present, gap * gap, 0.0)
+        shared += present
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(shared > 0, total * (width / shared), np.inf)
+
+
+def _edge(scaled: np.ndarray, k: int) -> np.ndarray:
+    """Distance of the k-th nearest donor, infinite when there are fewer."""
+    if scaled.shape[1] < k:
+        return np.full(len(scaled), np.inf)
+    return np.partition(scaled, k - 1, axis=1)[:, k - 1]
+
+
+def _nearest(k: int, width: int, pivot: int, features: list[str], known: list[str], key: list[str]):
+    """Per-task search: k best donors per query by (distance, donor key). Donors
+    lie sorted by the pivot; the nearest few along it bound the distance, and
+    only donors within the bound are compared."""
 
     def search(queries: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
         columns = [*[f"q_{c}" for c in key], *[f"d_{c}" for c in key], "dist", "y"]
         if queries.empty or donors.empty:
             return pd.DataFrame(columns=columns)
-        donors = donors.sort_values([f"d_{c}" for c in key], kind="stable")
-        d = donors[known].to_numpy("float64")
-        q = queries[features].to_numpy("float64")
+        donors = donors.sort_values([f"d_{c}" for c in key], kind="stable").reset_index(drop=True)
+        donors = donors.sort_values(known[pivot], kind="stable")
+        queries = queries.sort_values(features[pivot], kind="stable")
+        rank = donors.index.to_numpy()
+        d, q = donors[known].to_numpy("float64"), queries[features].to_numpy("float64")
+        axis = d[:, pivot]
+        prunable = not np.isnan(axis).any()
         q_at, d_at, dist = [], [], []
         for start in range(0, len(q), BLOCK):
             block = q[start:start + BLOCK]
-            total = np.zeros((len(block), len(d)))
-            shared = np.zeros((len(block), len(d)))
-            for j in range(len(features)):
-                gap = block[:, j, None] - d[None, :, j]
-                present = ~np.isnan(gap)
-                total += np.where(present, gap * gap, 0.0)
-                shared += present
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scaled = np.where(shared > 0, total * (width / shared), np.inf)
-            edge = np.partition(scaled, min(k, len(d)) - 1, axis=1)[:, min(k, len(d)) - 1]
+            first, last = 0, len(d)
+            if prunable and not np.isnan(block[:, pivot]).any():
+                low, high = block[0, pivot], block[-1, pivot]
+                near = slice(max(int(np.searchsorted(axis, low)) - WINDOW, 0), int(np.searchsorted(axis, high, "right")) + WINDOW)
+                seen = (~np.isnan(block)).sum(axis=1)
+                reach = np.sqrt(_edge(_distances(block, d[near], width), k) * seen / width).max() * (1 + 1e-9)
+                first = int(np.searchsorted(axis, low - reach))
+                last = int(np.searchsorted(axis, high + reach, "right"))
+            scaled = _distances(block, d[first:last], width)
+            edge = _edge(scaled, min(k, last - first))
             for i in range(len(block)):
-                near = np.flatnonzero((scaled[i] <= edge[i]) & np.isfinite(scaled[i]))
-                near = near[np.argsort(scaled[i][near], kind="stable")][:k]
-                q_at += [start + i] * len(near)
-                d_at += near.tolist()
-                dist += scaled[i][near].tolist()
+                near_i = np.flatnonzero((scaled[i] <= edge[i]) & np.isfinite(scaled[i]))
+                near_i = near_i[np.lexsort((rank[first + near_i], scaled[i][near_i]))][:k]
+                q_at += [start + i] * len(near_i)
+                d_at += (first + near_i).tolist()
+                dist += scaled[i][near_i].tolist()
         left = queries[[f"q_{c}" for c in key]].iloc[q_at].reset_index(drop=True)
         right = donors[[f"d_{c}" for c in key] + ["y"]].iloc[d_at].reset_index(drop=True)
         return pd.concat([left, right], axis=1).assign(dist=dist)[columns]
@@ -121,10 +149,9 @@ def knn_impute(
     k = min(k, n)
     pivot = max(features, key=lambda f: facts[f] or 0.0)
     cells = min(max(n // cell_rows, 1), MAX_CELLS)
-    probs = F.array(*[F.lit(i / cells) for i in range(1, cells)]) if cells > 1 else F.array(F.lit(0.5))
     donor_pivot = known[features.index(pivot)]
-    cuts = donors.agg(F.percentile_approx(donor_pivot, probs, max(100 * cells, 1000))).first()[0] or []
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
+    cuts = cut_values(donors, {"v": F.col(donor_pivot)}, [i / cells for i in range(1, cells)] or [0.5])["v"]
+    splits = as_splits(cuts)
 
     def cell_of(table: DataFrame, source: str, target: str) -> DataFrame:
         cut = Bucketizer(splits=splits, inputCol=source, outputCol=target, handleInvalid="keep").transform(table)
@@ -137,14 +164,14 @@ def knn_impute(
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*[f"`q_{c}` {types[c]}" for c in key], *[f"`d_{c}` {types[c]}" for c in key],
                         "dist double", "y double"])
-    search = _nearest(k, width, features, known, key)
+    search = _nearest(k, width, features.index(pivot), features, known, key)
     q_key = [f"q_{c}" for c in key]
-    filled_cells = F.array(*[F.lit(c) for c in sorted(sizes)])
+    every_cell = F.sequence(F.lit(NO_PIVOT), F.lit(len(splits) - 2))
 
     homed = cell_of(queries, pivot, "home")
     # Without a pivot value nothing can be ruled out: visit every cell at once.
     first_visits = homed.withColumn("cell", F.explode(
-        F.when(F.col("home") == NO_PIVOT, filled_cells).otherwise(F.array("home"))))
+        F.when(F.col("home") == NO_PIVOT, every_cell).otherwise(F.array("home"))))
     # Read twice below, and the search is the costly part: keep it as a table.
     first = materialize(_top(_search(first_visits, donors, slices, search, schema, key, features, known), key, k), "knn")
 
@@ -158,8 +185,9 @@ def knn_impute(
                     .withColumn("to", F.col(pivot) + F.col("reach")))
     ranged = cell_of(cell_of(open_queries, "from", "first_cell"), "to", "last_cell")
     # Donors without a pivot value were not compared in round one.
-    visited = F.filter(filled_cells, lambda c: (c != F.col("home")) & (
-        (c == NO_PIVOT) | ((c >= F.col("first_cell")) & (c <= F.col("last_cell")))))
+    visited = F.array_remove(F.concat(
+        F.array(F.lit(NO_PIVOT)) if NO_PIVOT in sizes else F.array().cast("array<int>"),
+        F.sequence(F.col("first_cell"), F.col("last_cell"))), F.col("home"))
     second_visits = ranged.withColumn("cell", F.explode(visited)).select("cell", *q_key, *features)
     second = _search(second_visits, donors, slices, search, schema, key, features, known)
     best = _top(first.unionByName(second), key, k)

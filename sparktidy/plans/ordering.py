@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sparktidy.errors import DataValidationError
 from sparktidy.functions.exprs import col
+from sparktidy.plans.quantiles import as_splits, cut_values
 
 RANGES = 256
 RANGE, GROUP = "__range", "__group"
@@ -35,13 +36,18 @@ def _key(df: DataFrame, name: str) -> Column:
     raise DataValidationError(f"cannot order by {name}: {dtype.simpleString()}")
 
 
-def with_ranges(df: DataFrame, order_by: str, ranges: int = RANGES) -> DataFrame:
-    """Add the range number of every row. Cut points come from one sketch pass;
-    they only balance the work and never change a result."""
+def range_cuts(df: DataFrame, columns: list[str], ranges: int = RANGES) -> dict[str, list[float]]:
+    """Cut points of several order keys, from one sketch pass."""
+    probs = [i / ranges for i in range(1, ranges)]
+    found = cut_values(df, {f"c{i}": _key(df, c) for i, c in enumerate(columns)}, probs)
+    return {c: found[f"c{i}"] for i, c in enumerate(columns)}
+
+
+def with_ranges(df: DataFrame, order_by: str, cuts: list[float] | None = None) -> DataFrame:
+    """Add the range number of every row. The cut points only balance the work
+    and never change a result."""
+    splits = as_splits(range_cuts(df, [order_by])[order_by] if cuts is None else cuts)
     keyed = df.withColumn("__key", F.coalesce(_key(df, order_by), F.lit(-math.inf)))
-    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = keyed.agg(F.percentile_approx("__key", probs, 10 * ranges)).first()[0] or []
-    splits = [-math.inf, *sorted({v for v in cuts if math.isfinite(v)}), math.inf]
     if len(splits) == 2:
         return keyed.withColumn(RANGE, F.lit(0)).drop("__key")
     cut = Bucketizer(splits=splits, inputCol="__key", outputCol=RANGE, handleInvalid="keep").transform(keyed)
@@ -87,11 +93,12 @@ def fill_along(
 
 
 def running_total(
-    df: DataFrame, weight: Column, order_by: list[str], name: str, partition_by: list[str] = ()
+    df: DataFrame, weight: Column, order_by: list[str], name: str, partition_by: list[str] = (),
+    cuts: list[float] | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``weight`` along the order key."""
     names = df.columns
-    work = _grouped(with_ranges(df.withColumn("__w", weight), order_by[0]), list(partition_by))
+    work = _grouped(with_ranges(df.withColumn("__w", weight), order_by[0], cuts), list(partition_by))
     so_far = (Window.partitionBy(GROUP, RANGE).orderBy(*[col(c) for c in order_by])
               .rowsBetween(Window.unboundedPreceding, 0))
     earlier = Window.partitionBy(GROUP).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
@@ -107,7 +114,9 @@ def row_numbers(df: DataFrame, order_by: list[str], name: str = "row_number") ->
     return running_total(df, F.lit(1).cast("long"), order_by, name)
 
 
-def average_ranks(counts: DataFrame, value: str, weight: str, name: str) -> DataFrame:
+def average_ranks(
+    counts: DataFrame, value: str, weight: str, name: str, cuts: list[float] | None = None
+) -> DataFrame:
     """Average rank (ties shared) of every distinct value from its count."""
-    upto = running_total(counts, col(weight), [value], "__upto")
+    upto = running_total(counts, col(weight), [value], "__upto", cuts=cuts)
     return upto.withColumn(name, F.col("__upto") - (col(weight) - 1) / 2.0).drop("__upto")
