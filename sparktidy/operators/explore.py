@@ -11,8 +11,7 @@ from sparktidy.errors import UnsupportedOperationError
 from sparktidy.functions import types as kinds
 from sparktidy.functions.exprs import col, correlation_label, skew_label
 from sparktidy.operators.kendall import kendall_pair
-from sparktidy.plans.lookup import lookup
-from sparktidy.plans.ordering import average_ranks, range_cuts
+from sparktidy.plans.ordering import range_cuts, rank_rows
 from sparktidy.plans.quantiles import quantiles
 from sparktidy.plans.sampling import hash_limit
 from sparktidy.plans.shape import long_cells, rows_from
@@ -54,42 +53,23 @@ def _spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     once and correlated in one aggregate; other pairs rank the rows they share."""
     data = _doubles(df, columns)
     counts = data.agg(F.count("*"), *[F.count(col(c)) for c in columns]).first()
-    total, full = counts[0], [c for c, n in zip(columns, counts[1:]) if n == counts[0]]
+    full = [c for c, n in zip(columns, counts[1:]) if n == counts[0]]
     cuts = range_cuts(data, columns)
-    parts = []
-    if len(full) > 1:
-        ranked, names = data.select(*[col(c) for c in full]), {c: f"__rank{i}" for i, c in enumerate(full)}
-        for c in full:
-            values = data.groupBy(col(c)).agg(F.count("*").alias("__n"))
-            ranked = lookup(ranked, average_ranks(values, c, "__n", names[c], cuts[c]), c, "__n", total)
-        pairs = list(combinations(full, 2))
+    groups = [full] if len(full) > 1 else []
+    groups += [[a, b] for a, b in combinations(columns, 2) if a not in full or b not in full]
+    out = None
+    for group in groups:
+        ranked, names = data.select(*[col(c) for c in group]).na.drop(), {c: f"__rank{i}" for i, c in enumerate(group)}
+        for c in group:
+            ranked = rank_rows(ranked, c, names[c], cuts[c])
+        pairs = list(combinations(group, 2))
         wide = ranked.agg(*[F.corr(names[a], names[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-        parts.append(rows_from(wide, [{"column1": F.lit(a), "column2": F.lit(b), "correlation": F.col(f"r{i}")}
-                                      for i, (a, b) in enumerate(pairs)]))
-    parts += [_spearman_pair(data, a, b, cuts) for a, b in combinations(columns, 2) if a not in full or b not in full]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        part = rows_from(wide, [{"column1": F.lit(a), "column2": F.lit(b), "correlation": F.col(f"r{i}")}
+                                for i, (a, b) in enumerate(pairs)])
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def _spearman_pair(data: DataFrame, a: str, b: str, cuts: dict[str, list[float]]) -> DataFrame:
-    """Rank correlation over distinct value pairs weighted by their counts;
-    ranks have the known mean (n + 1) / 2."""
-    both = data.select(col(a).alias("x"), col(b).alias("y")).na.drop()
-    total = both.count()
-    pairs = both.groupBy("x", "y").agg(F.count("*").alias("w"))
-    ranked = pairs
-    for side, c in (("x", a), ("y", b)):
-        values = pairs.groupBy(side).agg(F.sum("w").alias("n"))
-        ranked = lookup(ranked, average_ranks(values, side, "n", f"r{side}", cuts[c]), side, "n", total)
-    mean = F.lit((total + 1) / 2.0)
-    dx, dy, w = F.col("rx") - mean, F.col("ry") - mean, F.col("w")
-    sums = ranked.agg(F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
-    return sums.select(F.lit(a).alias("column1"), F.lit(b).alias("column2"),
-                       F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))).alias("correlation"))
-
-
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None, method: str = "pearson") -> DataFrame:
     """``column1, column2, correlation`` for every pair of numeric columns.
     Pearson drops rows with any null, the rank methods drop nulls per pair."""

@@ -56,7 +56,7 @@ def _within_y_band(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _banded(points: DataFrame, bands: int) -> DataFrame:
-    cuts = cut_values(points, {s: F.col(s) for s in ("x", "y")}, [i / bands for i in range(1, bands)])
+    _, cuts = cut_values(points, {s: F.col(s) for s in ("x", "y")}, bands)
     for side in ("x", "y"):
         inner = set(cuts[side])
         # A repeated cut is a frequent value: a second cut just above fences it in.

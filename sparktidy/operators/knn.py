@@ -150,7 +150,7 @@ def knn_impute(
     pivot = max(features, key=lambda f: facts[f] or 0.0)
     cells = min(max(n // cell_rows, 1), MAX_CELLS)
     donor_pivot = known[features.index(pivot)]
-    cuts = cut_values(donors, {"v": F.col(donor_pivot)}, [i / cells for i in range(1, cells)] or [0.5])["v"]
+    cuts = cut_values(donors, {"v": F.col(donor_pivot)}, cells)[1]["v"]
     splits = as_splits(cuts)
 
     def cell_of(table: DataFrame, source: str, target: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from sparktidy.errors import DataValidationError
 from sparktidy.functions.exprs import col
 from sparktidy.plans.ordering import fill_along
+from sparktidy.plans.quantiles import cut_values
 
 
 def sql(tables: DataFrame | dict[str, DataFrame], query: str) -> DataFrame:
@@ -49,8 +50,7 @@ def range_join(
     """Inner join on ``low <= point < high`` as an equality join on cells of the
     point axis instead of comparing every pair. Cell borders follow the points,
     and points of one cell are spread so that a frequent value stays divisible."""
-    probs = F.array(*[F.lit(i / cells) for i in range(1, cells)])
-    cuts = points.agg(F.percentile_approx(col(point).cast("double"), probs, 100 * cells)).first()[0] or []
+    cuts = cut_values(points, {"v": col(point).cast("double")}, cells)[1]["v"]
     border = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
 
     def cell(c):

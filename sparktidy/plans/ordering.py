@@ -17,7 +17,9 @@ from sparktidy.errors import DataValidationError
 from sparktidy.functions.exprs import col
 from sparktidy.plans.quantiles import as_splits, cut_values
 
-RANGES = 256
+# The number of ranges follows the table, so a range stays one task's work.
+RANGE_ROWS, MIN_RANGES, MAX_RANGES = 500_000, 16, 8192
+SPREAD = 4096
 RANGE, GROUP = "__range", "__group"
 
 
@@ -36,11 +38,17 @@ def _key(df: DataFrame, name: str) -> Column:
     raise DataValidationError(f"cannot order by {name}: {dtype.simpleString()}")
 
 
-def range_cuts(df: DataFrame, columns: list[str], ranges: int = RANGES) -> dict[str, list[float]]:
-    """Cut points of several order keys, from one sketch pass."""
-    probs = [i / ranges for i in range(1, ranges)]
-    found = cut_values(df, {f"c{i}": _key(df, c) for i, c in enumerate(columns)}, probs)
-    return {c: found[f"c{i}"] for i, c in enumerate(columns)}
+def range_cuts(df: DataFrame, columns: list[str]) -> dict[str, list[float]]:
+    """Cut points of several order keys, from one sketch pass. A value that
+    repeats from cut to cut gets a second cut just above it, and so a range of
+    its own."""
+    rows, found = cut_values(df, {f"c{i}": _key(df, c) for i, c in enumerate(columns)}, MAX_RANGES)
+    step = MAX_RANGES // min(max(rows // RANGE_ROWS, MIN_RANGES), MAX_RANGES)
+    out = {}
+    for i, c in enumerate(columns):
+        cuts = found[f"c{i}"][step - 1::step]
+        out[c] = cuts + [math.nextafter(a, math.inf) for a, b in zip(cuts, cuts[1:]) if a == b]
+    return out
 
 
 def with_ranges(df: DataFrame, order_by: str, cuts: list[float] | None = None) -> DataFrame:
@@ -55,7 +63,7 @@ def with_ranges(df: DataFrame, order_by: str, cuts: list[float] | None = None) -
 
 
 def _carry_back(local: DataFrame, carry: DataFrame, grouped: bool) -> DataFrame:
-    """Join the per-range carry. Without groups it has at most RANGES rows."""
+    """Join the per-range carry. Without groups it has one row per range."""
     if grouped:
         return local.join(carry, [GROUP, RANGE], "left")
     return local.join(F.broadcast(carry.drop(GROUP)), [RANGE], "left")
@@ -93,12 +101,11 @@ def fill_along(
 
 
 def running_total(
-    df: DataFrame, weight: Column, order_by: list[str], name: str, partition_by: list[str] = (),
-    cuts: list[float] | None = None,
+    df: DataFrame, weight: Column, order_by: list[str], name: str, partition_by: list[str] = ()
 ) -> DataFrame:
     """Inclusive running sum of ``weight`` along the order key."""
     names = df.columns
-    work = _grouped(with_ranges(df.withColumn("__w", weight), order_by[0], cuts), list(partition_by))
+    work = _grouped(with_ranges(df.withColumn("__w", weight), order_by[0]), list(partition_by))
     so_far = (Window.partitionBy(GROUP, RANGE).orderBy(*[col(c) for c in order_by])
               .rowsBetween(Window.unboundedPreceding, 0))
     earlier = Window.partitionBy(GROUP).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
@@ -114,9 +121,26 @@ def row_numbers(df: DataFrame, order_by: list[str], name: str = "row_number") ->
     return running_total(df, F.lit(1).cast("long"), order_by, name)
 
 
-def average_ranks(
-    counts: DataFrame, value: str, weight: str, name: str, cuts: list[float] | None = None
-) -> DataFrame:
-    """Average rank (ties shared) of every distinct value from its count."""
-    upto = running_total(counts, col(weight), [value], "__upto", cuts=cuts)
-    return upto.withColumn(name, F.col("__upto") - (col(weight) - 1) / 2.0).drop("__upto")
+def rank_rows(df: DataFrame, column: str, name: str, cuts: list[float]) -> DataFrame:
+    """Average rank (ties shared) of every row by a non-null numeric column.
+
+    Rows of a range that holds one value all tie: they take their rank from the
+    range's counts and are spread at random instead of meeting in one task.
+    """
+    names = df.columns
+    work = with_ranges(df, column, cuts)
+    earlier = Window.partitionBy("__all").orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    summary = work.groupBy(RANGE).agg(
+        F.count("*").alias("__n"), F.min(col(column)).alias("__lo"), F.max(col(column)).alias("__hi"))
+    summary = summary.withColumn("__all", F.lit(0)).select(
+        RANGE, "__n", (F.col("__lo") == F.col("__hi")).alias("__tied"),
+        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    spread = F.pmod(F.xxhash64(*[col(c) for c in names]), F.lit(SPREAD))
+    placed = work.join(F.broadcast(summary), RANGE).withColumn(
+        "__spread", F.when(F.col("__tied"), spread).otherwise(F.lit(0)))
+    piece = Window.partitionBy(RANGE, "__spread")
+    local = F.rank().over(piece.orderBy(col(column)))
+    ties = F.count("*").over(Window.partitionBy(RANGE, "__spread", column))
+    ranked = placed.withColumn("__local", local).withColumn("__ties", ties)
+    own = F.when(F.col("__tied"), (F.col("__n") + 1) / 2.0).otherwise(F.col("__local") + (F.col("__ties") - 1) / 2.0)
+    return ranked.select(*[col(c) for c in names], (F.col("__before") + own).alias(name))

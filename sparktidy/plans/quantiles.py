@@ -26,7 +26,7 @@ MAX_DIRECT_PROBS = 32
 CUTS = 256
 # Half-width of the bracket around a wanted quantile, and the sketch size that
 # keeps the quantile inside it (a miss only costs more passes).
-BRACKET, SKETCH_SIZE = 1 / 200, 1000
+BRACKET, SKETCH_SIZE, MAX_SKETCH_SIZE = 1 / 200, 1000, 60_000
 
 
 def exact_quantiles(
@@ -63,8 +63,9 @@ def quantiles(df, columns, probs, accuracy: int | None = None) -> dict[str, list
     return approx_quantiles(df, columns, probs, accuracy) if accuracy else exact_quantiles(df, columns, probs)
 
 
-def _sketch(v: Column) -> Column:
-    return F.kll_sketch_agg_double(F.nanvl(v, F.lit(None)), F.lit(SKETCH_SIZE))
+def _sketch(v: Column, cuts: int = 0) -> Column:
+    """The more cuts are read from a sketch, the larger it is."""
+    return F.kll_sketch_agg_double(F.nanvl(v, F.lit(None)), F.lit(min(max(SKETCH_SIZE, 4 * cuts), MAX_SKETCH_SIZE)))
 
 
 def _read(sketch: str, probs: list[float]) -> Column:
@@ -72,12 +73,15 @@ def _read(sketch: str, probs: list[float]) -> Column:
     return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, ranks))
 
 
-def cut_values(df: DataFrame, values: dict[str, Column], probs: list[float]) -> dict[str, list[float]]:
-    """Approximate quantiles for placing cuts, from one mergeable sketch per
-    expression."""
-    row = (df.agg(*[_sketch(v).alias(n) for n, v in values.items()])
-           .select(*[_read(n, probs).alias(n) for n in values]).first())
-    return {n: list(row[n]) if row[n] is not None else [] for n in values}
+def cut_values(df: DataFrame, values: dict[str, Column], pieces: int) -> tuple[int, dict[str, list[float]]]:
+    """Row count, and per expression the borders of ``pieces`` pieces of about
+    equal frequency, from one pass of mergeable sketches. Borders may repeat."""
+    pieces = max(pieces, 2)
+    spread = F.expr("array(" + ",".join(f"{i / pieces!r}D" for i in range(1, pieces)) + ")")
+    row = (df.agg(F.count("*").alias("__rows"), *[_sketch(v, pieces).alias(n) for n, v in values.items()])
+           .select("__rows", *[F.when(F.kll_sketch_get_n_double(n) > 0, F.kll_sketch_get_quantile_double(n, spread)).alias(n)
+                               for n in values]).first())
+    return row["__rows"], {n: list(row[n]) if row[n] is not None else [] for n in values}
 
 
 def as_splits(values) -> list[float]:
