@@ -110,11 +110,11 @@ def scale_maxabs(spark, d):
     return rounded(scale.scale(_customer(spark, d), "maxabs", columns=CUSTOMER[1:]))
 
 
-KNOT_LIST = "[" + ", ".join(f"{i}::DOUBLE / 999" for i in range(1000)) + "]"
-
-
-@check("scale_quantile_uniform", f"""WITH kn AS (SELECT unnest(quantile_cont(c_acctbal, {KNOT_LIST})) AS q, unnest(range(1000)) / 999.0::DOUBLE AS p
-  FROM customer), near AS (SELECT c_custkey, c_acctbal AS x, max(q) FILTER (q <= c_acctbal) AS ql, min(q) FILTER (q >= c_acctbal) AS qh,
+# Knots are linear quantiles at least(1000, n) evenly spaced ranks.
+@check("scale_quantile_uniform", """WITH s AS (SELECT list_sort(list(c_acctbal)) AS l, count(*) AS n, least(1000, count(*)) AS k FROM customer),
+  g AS (SELECT l, n, i::DOUBLE / (k - 1) AS p, i::DOUBLE / (k - 1) * (n - 1) AS spot FROM (SELECT *, unnest(range(k)) AS i FROM s)),
+  kn AS (SELECT p, l[floor(spot)::BIGINT + 1] * (1 - (spot - floor(spot))) + l[ceil(spot)::BIGINT + 1] * (spot - floor(spot)) AS q FROM g),
+  near AS (SELECT c_custkey, c_acctbal AS x, max(q) FILTER (q <= c_acctbal) AS ql, min(q) FILTER (q >= c_acctbal) AS qh,
   max(p) FILTER (q <= c_acctbal) AS pl, min(p) FILTER (q >= c_acctbal) AS ph, any_value(lo) AS lo, any_value(hi) AS hi
   FROM customer, kn, (SELECT min(q) AS lo, max(q) AS hi FROM kn) GROUP BY 1, 2)
   SELECT c_custkey, round(CASE WHEN x = lo THEN 0.0 WHEN x = hi THEN 1.0 WHEN ql = qh THEN (pl + ph) / 2

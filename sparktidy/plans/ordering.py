@@ -56,8 +56,6 @@ def with_ranges(df: DataFrame, order_by: str, cuts: list[float] | None = None) -
     and never change a result."""
     splits = as_splits(range_cuts(df, [order_by])[order_by] if cuts is None else cuts)
     keyed = df.withColumn("__key", F.coalesce(_key(df, order_by), F.lit(-math.inf)))
-    if len(splits) == 2:
-        return keyed.withColumn(RANGE, F.lit(0)).drop("__key")
     cut = Bucketizer(splits=splits, inputCol="__key", outputCol=RANGE, handleInvalid="keep").transform(keyed)
     return cut.withColumn(RANGE, F.col(RANGE).cast("int")).drop("__key")
 

@@ -85,8 +85,9 @@ def cut_values(df: DataFrame, values: dict[str, Column], pieces: int) -> tuple[i
 
 
 def as_splits(values) -> list[float]:
-    """Strictly increasing borders that cover the whole axis."""
-    return [-math.inf, *sorted({v for v in values if v is not None and math.isfinite(v)}), math.inf]
+    """Strictly increasing borders that cover the whole axis, at least one inside."""
+    inner = sorted({v for v in values if v is not None and math.isfinite(v)})
+    return [-math.inf, *(inner or [0.0]), math.inf]
 
 
 class _Search:

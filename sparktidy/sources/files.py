@@ -15,6 +15,8 @@ from sparktidy.plans.ordering import row_numbers
 
 # File name endings and the formats they stand for.
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "jsonl"}
+# Common names of encodings Spark knows under another name.
+ENCODINGS = {"latin-1": "iso-8859-1", "latin1": "iso-8859-1", "utf8": "utf-8", "ascii": "us-ascii"}
 SAVE_FORMATS = ("csv", "parquet", "json")
 SAVE_MODES = ("error", "overwrite", "append", "ignore")
 # Text formats keep microseconds.
@@ -40,6 +42,8 @@ def load_data(
     """
     fmt = (format or detect_format(path)).lower()
     config = get_config()
+    if "encoding" in options:
+        options["encoding"] = ENCODINGS.get(str(options["encoding"]).lower(), options["encoding"])
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
         settings = {"header": True, "sep": config.csv_delimiter, "encoding": config.default_encoding,
