@@ -22,6 +22,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def double_array(values: list[float]) -> Column:
+    """A literal array; one expression however long the list."""
+    return F.expr("array(" + ",".join(f"{float(v)!r}D" for v in values) + ")")
+
+
 def finite(c: Column) -> Column:
     """Infinite and NaN results become null."""
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), None).otherwise(c)

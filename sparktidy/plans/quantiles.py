@@ -15,7 +15,7 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparktidy.functions.exprs import col
+from sparktidy.functions.exprs import col, double_array
 
 # Rows one task may hold as a value -> count map.
 DIRECT_LIMIT = 1_000_000
@@ -40,7 +40,7 @@ def exact_quantiles(
     data = df.select(*[col(c).cast("double").alias(n) for c, n in zip(columns, names)])
     rows = data.count()
     if rows <= direct_limit and len(probs) <= MAX_DIRECT_PROBS:
-        row = data.agg(*[F.percentile(n, F.array(*map(F.lit, probs))).alias(n) for n in names]).first()
+        row = data.agg(*[F.percentile(n, double_array(probs)).alias(n) for n in names]).first()
         return {c: list(row[n]) if row[n] is not None else [None] * len(probs) for c, n in zip(columns, names)}
     found = _Search(data, names, probs, interval_limit).run(rows)
     return {c: found[n] for c, n in zip(columns, names)}
@@ -53,7 +53,7 @@ def approx_quantiles(
     if not columns:
         return {}
     row = df.agg(*[
-        F.percentile_approx(col(c).cast("double"), F.array(*map(F.lit, probs)), accuracy).alias(f"c{i}")
+        F.percentile_approx(col(c).cast("double"), double_array(probs), accuracy).alias(f"c{i}")
         for i, c in enumerate(columns)
     ]).first()
     return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(columns)}
@@ -69,7 +69,7 @@ def _sketch(v: Column, cuts: int = 0) -> Column:
 
 
 def _read(sketch: str, probs: list[float]) -> Column:
-    ranks = F.array(*map(F.lit, probs))
+    ranks = double_array(probs)
     return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, ranks))
 
 
@@ -77,7 +77,7 @@ def cut_values(df: DataFrame, values: dict[str, Column], pieces: int) -> tuple[i
     """Row count, and per expression the borders of ``pieces`` pieces of about
     equal frequency, from one pass of mergeable sketches. Borders may repeat."""
     pieces = max(pieces, 2)
-    spread = F.expr("array(" + ",".join(f"{i / pieces!r}D" for i in range(1, pieces)) + ")")
+    spread = double_array([i / pieces for i in range(1, pieces)])
     row = (df.agg(F.count("*").alias("__rows"), *[_sketch(v, pieces).alias(n) for n, v in values.items()])
            .select("__rows", *[F.when(F.kll_sketch_get_n_double(n) > 0, F.kll_sketch_get_quantile_double(n, spread)).alias(n)
                                for n in values]).first())
@@ -181,10 +181,9 @@ class _Search:
 
     def _pick(self, splits, wanted) -> dict[str, list[float | None]] | None:
         """Read the wanted ranks; None when one lies outside the wanted intervals."""
-        open_cell = F.lit(False)
-        for n in self.names:
-            if wanted[n]:
-                open_cell = open_cell | ((F.col("name") == self.number[n]) & F.col("part").isin(sorted(wanted[n])))
+        tests = [f"(name = {self.number[n]} AND part IN ({','.join(map(str, sorted(wanted[n])))}))"
+                 for n in self.names if wanted[n]]
+        open_cell = F.expr(" OR ".join(tests) or "false")
         groups = (
             self._cells(splits).select("name", "part", "v", F.when(open_cell, F.col("v")).alias("value"))
             .groupBy("name", "part", "value")
