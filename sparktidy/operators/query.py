@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparktidy.errors import DataValidationError
 from sparktidy.functions.exprs import col
-from sparktidy.plans.ordering import fill_along
-from sparktidy.plans.quantiles import cut_values
+from sparktidy.plans.ordering import RANGE, RANGE_ROWS, fill_along, range_cuts, with_ranges
 
 
 def sql(tables: DataFrame | dict[str, DataFrame], query: str) -> DataFrame:
@@ -44,21 +43,20 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], right_c
         *[F.col(f"__right.`{c}`").alias(c) for c in right_columns])
 
 
-def range_join(
-    points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, cells: int = 64, spread: int = 4
-) -> DataFrame:
+def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str) -> DataFrame:
     """Inner join on ``low <= point < high`` as an equality join on cells of the
-    point axis instead of comparing every pair. Cell borders follow the points,
-    and points of one cell are spread so that a frequent value stays divisible."""
-    cuts = cut_values(points, {"v": col(point).cast("double")}, cells)[1]["v"]
-    border = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-
-    def cell(c):
-        return F.size(F.filter(border, lambda b: b <= c.cast("double")))
-
-    p = points.withColumn("__cell", cell(col(point))).withColumn(
-        "__spread", F.pmod(F.xxhash64(*[col(c) for c in points.columns]), F.lit(spread)).cast("int"))
-    r = (ranges.withColumn("__cell", F.explode(F.sequence(cell(col(low)), cell(col(high)))))
-         .withColumn("__spread", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))))
-    return (p.join(r, ["__cell", "__spread"])
-            .where((col(point) >= col(low)) & (col(point) < col(high))).drop("__cell", "__spread"))
+    point axis instead of comparing every pair. Cells hold about equally many
+    points; a cell that a frequent value fills is divided into pieces, and its
+    intervals are repeated once per piece."""
+    cuts = range_cuts(points, [point])[point]
+    p = with_ranges(points, point, cuts)
+    pieces = p.groupBy(RANGE).agg(F.ceil(F.count("*") / F.lit(RANGE_ROWS)).cast("int").alias("__pieces"))
+    p = p.join(F.broadcast(pieces), RANGE).withColumn(
+        "__piece", F.pmod(F.xxhash64(*[col(c) for c in points.columns]), F.col("__pieces")).cast("int")).drop("__pieces")
+    r = with_ranges(ranges, low, cuts).withColumnRenamed(RANGE, "__first")
+    r = with_ranges(r, high, cuts).withColumnRenamed(RANGE, "__last").where(col(low) < col(high))
+    r = r.withColumn(RANGE, F.explode(F.sequence("__first", "__last"))).drop("__first", "__last")
+    r = (r.join(F.broadcast(pieces), RANGE)
+         .withColumn("__piece", F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1))).drop("__pieces"))
+    return (p.join(r, [RANGE, "__piece"])
+            .where((col(point) >= col(low)) & (col(point) < col(high))).drop(RANGE, "__piece"))

@@ -2,6 +2,7 @@ import pytest
 
 from sparktidy import Config, FastDataLoader, asof_join, get_config, range_join, reset_config, sql, to_records, update_config
 from sparktidy.errors import DataLoadError, TidyError, UnsupportedOperationError
+from sparktidy.operators import query
 from sparktidy.operators.dedup import remove_duplicates
 from sparktidy.operators.encode import fit_encoder
 from sparktidy.operators.repair import clean_text
@@ -109,14 +110,15 @@ def test_sql(spark, sample):
         sql({}, "SELECT 1")
 
 
-def test_joins(spark):
+def test_joins(spark, monkeypatch):
     left = spark.createDataFrame([(1, "a", 5), (2, "a", 9), (3, "b", 1), (4, None, 7)], "id int, g string, t int")
     right = spark.createDataFrame([("a", 5, 50), ("a", 8, 80), ("b", 2, 20), (None, 6, 60)], "g string, t int, v int")
     out = {r.id: r.v for r in asof_join(left, right, "t", ["g"], ["v"]).collect()}
     assert out == {1: 50, 2: 80, 3: None, 4: 60}
     points = spark.range(200).selectExpr("CASE WHEN id % 3 = 0 THEN 50 ELSE id END AS p", "id")
     bands = spark.createDataFrame([(1, 10.0, 20.0), (2, 45.0, 55.0), (3, 300.0, 400.0)], "b int, lo double, hi double")
-    got = range_join(points, bands, "p", "lo", "hi", cells=5)
+    monkeypatch.setattr(query, "RANGE_ROWS", 20)
+    got = range_join(points, bands, "p", "lo", "hi")
     want = points.join(bands, (points.p >= bands.lo) & (points.p < bands.hi))
     assert same(got.select("id", "b"), want.select("id", "b")) and got.count() > 67
 
