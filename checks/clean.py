@@ -333,6 +333,13 @@ def quick_clean_conservative(spark, d):
     return _out(cleaner.quick_clean(dups(spark, d), "conservative_cleaning"))
 
 
-@check("quick_clean_ml_ready")
+@check("quick_clean_ml_ready", f"""WITH {DIRTY}, near AS (SELECT q.event_id, d.value, row_number() OVER (PARTITION BY q.event_id
+  ORDER BY pow(q.event_id - d.event_id, 2) + pow(q.user_id - d.user_id, 2), d.event_id) AS place
+  FROM dirty q, dirty d WHERE q.value IS NULL AND d.value IS NOT NULL),
+  fill AS (SELECT event_id, avg(value) AS v FROM near WHERE place <= 5 GROUP BY 1),
+  f AS (SELECT event_id, user_id, lower(event_type) AS event_type, coalesce(value, v) AS value, lower(props) AS props
+  FROM dirty LEFT JOIN fill USING (event_id))
+  SELECT event_id, user_id, event_type, round(CASE WHEN value < p05 THEN p05 WHEN value > p95 THEN p95 ELSE value END, 6) AS value, props
+  FROM f, (SELECT quantile_cont(value, 0.05) AS p05, quantile_cont(value, 0.95) AS p95 FROM f)""")
 def quick_clean_ml_ready(spark, d):
     return _out(cleaner.quick_clean(dirty(spark, d), "ml_ready", key=["event_id"]))
