@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
-from sparktidy.llm import hostrules
+from sparktidy.llm import bpe, hostrules, mixing, secrets
 
 QUERIES = {}
 ORACLE = {}
@@ -64,3 +65,68 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = hostrules.judge_documents(table(spark, folder, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept", "host_rejected")
+
+
+@query("op7_mix_sources")
+def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix_sizes(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("op2_bpe")
+def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _op10_kind(name: str, pattern: str, value: str, group: int = 0, keep: str = "true") -> str:
+    return f"""
+{name}_cut AS (
+  SELECT r, doc_id, source, regexp_split_to_array(text, '{pattern}') AS gaps,
+         regexp_extract_all(text, '{pattern}', 0) AS found, regexp_extract_all(text, '{pattern}', {group}) AS vals
+  FROM texts),
+{name}_all AS (
+  SELECT r, doc_id, source, unnest(list_transform(range(1, len(found) + 1), lambda i: {{
+      's': list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda m: length(m))), 0),
+      'n': length(found[i]), 'v': vals[i]}})) AS x
+  FROM {name}_cut WHERE len(found) > 0),
+{name} AS (
+  SELECT r, doc_id, source, x.s::INT AS s, {value} AS k, (x.s + x.n)::INT AS e, x.v AS v FROM {name}_all WHERE {keep})"""
+
+
+OP10_SQL = f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+{_op10_kind("assigns", secrets.ASSIGN.replace("'", "''"), "0", 1, "length(x.v) >= 8")},
+{_op10_kind("keys", secrets.ACCESS, "1")},
+{_op10_kind("hexes", secrets.HEX, "2")},
+{_op10_kind("loose", secrets.LOOSE, "3", 0, "regexp_matches(x.v, '[a-z]') AND regexp_matches(x.v, '[A-Z]') AND regexp_matches(x.v, '[0-9]')")},
+base AS (SELECT * FROM assigns UNION ALL SELECT * FROM keys UNION ALL SELECT * FROM hexes),
+spans AS (
+  SELECT * FROM base UNION ALL
+  SELECT * FROM loose l WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = l.r AND b.s < l.e AND l.s < b.e)),
+verdicts AS (
+  SELECT v, count(DISTINCT coalesce('s' || source, 'n')) AS owners,
+         count(DISTINCT coalesce('s' || source, 'n') || ':' || coalesce(doc_id::VARCHAR, 'n')) AS repositories,
+         bool_or(regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 8
+                 AND NOT regexp_matches(lower(v), 'example|changeme|placeholder|your_')) AS live
+  FROM spans GROUP BY v),
+judged AS (
+  SELECT spans.*, CASE WHEN owners > 2 OR repositories > 50 THEN 'example' WHEN live THEN 'live' ELSE 'dull' END AS verdict
+  FROM spans JOIN verdicts USING (v)),
+listed AS (
+  SELECT r, s, k, verdict, ['assign', 'access', 'hex', 'owned'][k + 1] || ':' || s || ':' || e AS span, e FROM judged
+  WHERE k < 3 OR verdict = 'live'),
+per AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         coalesce(string_agg(span, ',' ORDER BY s, k, e) FILTER (k < 3), '') AS base, string_agg(span, ',' ORDER BY s, k, e) AS spans,
+         count(*) FILTER (k = 3) AS n_owned, count(*) FILTER (verdict = 'live') AS n_live,
+         count(*) FILTER (verdict = 'example') AS n_example
+  FROM listed GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned,
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM texts LEFT JOIN per USING (r)"""
+
+
+@query("op10_secrets", OP10_SQL)
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))
