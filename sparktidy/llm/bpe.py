@@ -30,6 +30,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
@@ -202,21 +203,49 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, ids, decoded``: ids as an array of ints, and the text they decode to."""
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The kept columns, ``n_tokens``, ``ids`` and ``round_trip``: whether the ids
+    decode to the text they came from."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    inner = [f"__k{i}" for i in range(len(keep))]
+    narrow = docs.select(*[F.col(k).alias(i) for k, i in zip(keep, inner)], F.col(text).alias("__text"))
+
     def run(batches):
         own = codec(path)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
-                ids = own.encode_batch([t or "" for t in part.column(1).to_pylist()])
-                numbers = [array("I", i).tolist() for i in ids]
+                texts = [t or "" for t in part.column(len(keep)).to_pylist()]
+                ids = own.encode_batch(texts)
+                offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
+                flat = np.frombuffer(b"".join(ids), np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(numbers, pa.list_(pa.int32())), pa.array(map(own.decode, ids), pa.string())],
-                    ["doc_id", "ids", "decoded"])
+                    [*part.columns[:-1], pa.array(np.diff(offsets), pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                     pa.array([own.decode(i) == t for i, t in zip(ids, texts)], pa.bool_())],
+                    [*inner, "n_tokens", "ids", "round_trip"])
+
+    schema = ", ".join([*(f"{i} {kinds[k]}" for k, i in zip(keep, inner)), "n_tokens long, ids array<int>, round_trip boolean"])
+    out = narrow.mapInArrow(run, schema)
+    return out.select(*[F.col(i).alias(k) for k, i in zip(keep, inner)], "n_tokens", "ids", "round_trip")
+
+
+def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """The table with a column ``text`` decoded from its ids in place of them; no
+    ids (null) decode to the empty text."""
+    kept = [c for c in encoded.columns if c != ids]
+    kinds = {f.name: f.dataType.simpleString() for f in encoded.schema.fields}
+    inner = [f"__k{i}" for i in range(len(kept))]
+
+    def run(batches):
+        own = codec(path)
+        for batch in batches:
+            texts = [own.decode(array("I", i or []).tobytes()) for i in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*inner, "__text"])
 
-    narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {dict(narrow.dtypes)['doc_id']}, ids array<int>, decoded string")
+    out = encoded.select(*[F.col(k).alias(i) for k, i in zip(kept, inner)], F.col(ids)).mapInArrow(
+        run, ", ".join([*(f"{i} {kinds[k]}" for k, i in zip(kept, inner)), "__text string"]))
+    return out.select(*[F.col(i).alias(k) for k, i in zip(kept, inner)], F.col("__text").alias("text"))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ prior, and the verdict on the host goes back to its documents.
 Defined cases: a null text has no words and fails the word rule; a null host is
 a host of its own; an empty table gives an empty result; repeated rows are
 judged (and counted) one by one; other columns of the input pass through
-``flag_documents`` and are not read.
+``keep_documents`` and are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparktidy.llm import words as W
+from sparktidy.llm.tables import ddl, hide, show
 from sparktidy.session import materialize
 
 SYMBOLS = np.zeros(256, bool)
@@ -111,6 +112,13 @@ def rule_columns(limits: Limits) -> dict[str, Column]:
     }
 
 
+def any_of(rules: dict[str, Column]) -> Column:
+    failed = F.lit(False)
+    for name in rules:
+        failed = failed | F.coalesce(F.col(name), F.lit(False))
+    return failed
+
+
 def beta_prior(hosts: DataFrame, failed: str, seen: str) -> tuple[float, float]:
     """Prior ``(a, b)`` from the hosts' own counts by moments: their pooled rate
     is its mean, and the spread of their rates beyond chance sets its weight.
@@ -156,10 +164,7 @@ def judge_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
     schema = ", ".join([f"doc_id {dict(narrow.dtypes)['doc_id']}", f"__host {dict(narrow.dtypes)['__host']}",
                         *(f"{c} long" for c in COUNTS)])
     stats = narrow.mapInArrow(count_rules, schema).select("*", *[rule.alias(name) for name, rule in rules.items()])
-    failed = F.lit(False)
-    for name in rules:
-        failed = failed | F.col(name)
-    stats = materialize(stats.withColumn("failed", failed), "rules")
+    stats = materialize(stats.withColumn("failed", any_of(rules)), "rules")
     hosts = judge_hosts(stats, "__host", list(rules), limits).select("host", "host_rate", "host_rejected")
     return (stats.join(hosts, F.col("__host").eqNullSafe(F.col("host")), "left")
             .withColumn("base_failed", F.col("few_words") | F.col("repeated_words"))
@@ -171,20 +176,12 @@ def keep_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that pass, with the columns they came with. Documents and
     their rule failures are written once; only hosts meet in a shuffle."""
     rules = rule_columns(limits)
-    failed = F.lit(False)
-    for name in rules:
-        failed = failed | F.col(name)
-    names = docs.columns
-    inner = [f"__c{i}" for i in range(len(names))]
-    renamed = docs.toDF(*inner)
-    schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(inner, docs.schema.fields)),
-                        *(f"{c} long" for c in COUNTS)])
-    text = inner[names.index("text")]
-    fields = [*(F.col(n) for n in inner), F.col(text).alias("__text")]
-    judged = renamed.select(*fields).mapInArrow(count_rules, schema).withColumn("failed", failed)
-    written = materialize(judged.select(*inner, *[r.alias(n) for n, r in rules.items()], "failed"), "judged")
-    host = inner[names.index("source")]
-    rejected = judge_hosts(written.select(host, *rules, "failed"), host, list(rules), limits).where("host_rejected")
-    kept = written.where("NOT failed").join(
-        rejected.select(F.col("host").alias("__host")), F.col(host).eqNullSafe(F.col("__host")), "left_anti")
-    return kept.select(*[F.col(i).alias(n) for i, n in zip(inner, names)])
+    hidden, inner = hide(docs)
+    counted = hidden.withColumn("__text", F.col(inner["text"])).mapInArrow(
+        count_rules, f"{ddl(hidden)}, " + ", ".join(f"{c} long" for c in COUNTS))
+    flagged = counted.select(*inner.values(), *[rule.alias(name) for name, rule in rules.items()])
+    written = materialize(flagged.withColumn("failed", any_of(rules)), "judged")
+    host = inner["source"]
+    rejected = judge_hosts(written, host, list(rules), limits).where("host_rejected").select("host")
+    kept = written.where("NOT failed").join(rejected, F.col(host).eqNullSafe(F.col("host")), "left_anti")
+    return show(kept, inner)

@@ -3,8 +3,8 @@
 Each source's shuffled token stream is cut into blocks of equal size. Slot k of
 the mix looks at the golden-ratio point ``frac((k + 1) * 0.618...)`` (in whole
 numbers, modulo 2**31, so that no rounding grows with k), which falls into one
-source's share of [0, 1); the r-th slot of a source takes its block ``r mod blocks``. Any stretch of the schedule therefore holds every source close
-to its weight.
+source's share of [0, 1); the r-th slot of a source takes its block ``r mod blocks``.
+Any stretch of the schedule therefore holds every source close to its weight.
 
 Defined cases: a null or empty text has size 0 and is taken 0 times; a null
 source is a source of its own, last in order; an empty table gives an empty
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sparktidy.llm.tables import hide, show
 from sparktidy.session import materialize
 
 GOLDEN, PERIOD = 1327217885, 1 << 31  # the ratio of both is the golden one
@@ -80,7 +81,7 @@ def _shares(targets: DataFrame, mix: Mix) -> DataFrame:
     t = t.withColumn("upto", F.sum("need").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     t = t.withColumn("all_need", F.sum("need").over(whole))
     low = F.coalesce(F.lag("upto").over(order), F.lit(0.0))
-    return t.withColumn("low", low / F.col("all_need")).withColumn(
+    return t.withColumn("low", F.coalesce(F.try_divide(low, F.col("all_need")), F.lit(0.0))).withColumn(
         "high", F.when(F.col("upto") >= F.col("all_need"), F.lit(1.0)).otherwise(F.col("upto") / F.col("all_need")))
 
 
@@ -163,15 +164,13 @@ def mix_sizes(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes its words,
     rounded up or down by a hash of the document so that the sums hold."""
-    names = docs.columns
+    hidden, inner = hide(docs)
     sizes = mix_sizes(docs, mix)
     # rows that repeat in id and text share what was taken of them
-    copies = sizes.where("taken > 0").groupBy(F.col("doc_id").alias("__id"), F.col("order").alias("__order")).agg(
-        F.avg(F.col("taken") / F.col("size")).alias("__times"))
-    copies = copies.select("__id", "__order", F.floor(F.col("__times") + F.pmod(
-        F.xxhash64(F.lit("round"), "__order"), F.lit(1 << 20)) / F.lit(float(1 << 20))).cast("int").alias("__n"))
-    found = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(
-        copies.where("__n > 0").hint("shuffle_hash"),
-        (F.col("__key") == F.col("__order")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(
-        *[docs[c] for c in names])
+    copies = sizes.where("taken > 0").groupBy("doc_id", "order").agg(F.avg(F.col("taken") / F.col("size")).alias("times"))
+    part = F.pmod(F.xxhash64(F.lit("round"), "order"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    copies = copies.select("doc_id", "order", F.floor(F.col("times") + part).cast("int").alias("n")).where("n > 0")
+    keyed = hidden.withColumn("key", F.xxhash64(inner["doc_id"], inner["text"]))
+    found = keyed.join(copies.hint("shuffle_hash"), (F.col("key") == F.col("order"))
+                       & F.col(inner["doc_id"]).eqNullSafe(F.col("doc_id")))
+    return show(found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))), inner)

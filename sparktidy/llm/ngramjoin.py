@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparktidy.llm import words as W
+from sparktidy.llm.tables import ddl, hide, show
 from sparktidy.session import materialize
 
 COUNTERS = 1 << 20  # counters of the global order, 2 MB as it is broadcast
@@ -207,13 +208,11 @@ class _Join:
             _ordered(n, percent, order),
             "doc_id long, size long, m1 long, m2 long, prefix array<long>, spread array<int>"), "prefixes")
         self.nodes = self._classes(listed)
-        shared = self._shared(listed)
-        pairs = self._pivot_pairs(shared)
-        self.sets = self._sets_of(pairs)
-        best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+        entries = self._tokens(self._shared(listed))
+        best = self._pivot_pairs(entries)
         first = materialize(self._verified(best).select("a", "b"), "verified")
         grouped = materialize(components(first), "groups")
-        rest = self._open_pairs(shared, grouped, best)
+        rest = self._open_pairs(entries, grouped, best)
         second = self._verified(rest).select("a", "b")
         links = grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
         final = components(links.unionByName(self._same_id()))
@@ -238,21 +237,13 @@ class _Join:
             F.col("class").alias("a"), "b")
 
     def _shared(self, listed: DataFrame) -> DataFrame:
-        """Prefix entries whose n-gram is in the prefix of another document, with
-        the n-gram's smallest document. Counting combines before the shuffle; in
-        the join back Spark may split an n-gram that many documents share."""
+        """Prefix entries whose n-gram is in the prefix of another document.
+        Counting combines before the shuffle; in the join back Spark may split
+        an n-gram that many documents share."""
         entries = listed.where("doc_id IS NOT NULL").select(
             "doc_id", "size", F.posexplode("prefix").alias("place", "gram"))
-        common = entries.groupBy("gram").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("other"))
-        common = common.where("pivot != other").select("gram", "pivot")
-        return materialize(entries.join(common, "gram"), "shared")
-
-    def _with_class(self, pairs: DataFrame, *sides: str) -> DataFrame:
-        for side in sides:
-            node = self.nodes.where("doc_id IS NOT NULL").select(
-                F.col("doc_id").alias(side), F.col("class").alias(f"{side}_class")).distinct()
-            pairs = pairs.join(node, side).drop(side).withColumnRenamed(f"{side}_class", side)
-        return pairs
+        common = entries.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        return entries.join(common.where("lo != hi").select("gram"), "gram")
 
     def _filtered(self, pairs: DataFrame) -> DataFrame:
         meta = self.nodes.where("size > 0 AND doc_id = class")
@@ -262,27 +253,88 @@ class _Join:
                 F.col("spread").alias(f"spread_{side}")), side)
         return pairs.where(_enough(self.how.percent))
 
-    def _pivot_pairs(self, shared: DataFrame) -> DataFrame:
-        pairs = shared.where("doc_id != pivot").groupBy(
-            F.col("doc_id").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("shared"))
-        pairs = self._with_class(pairs, "a", "b").where("a != b").groupBy("a", "b").agg(F.max("shared").alias("shared"))
-        return materialize(self._filtered(pairs).select("a", "b", "shared"), "pairs")
+    def _pivot_pairs(self, entries: DataFrame) -> DataFrame:
+        """For each class the pivot it shares most prefix entries with."""
+        pivots = entries.groupBy("gram").agg(F.min("class").alias("pivot"), F.max("class").alias("last"))
+        pairs = entries.join(pivots.where("pivot != last").select("gram", "pivot"), "gram").where("class != pivot")
+        pairs = pairs.groupBy(F.col("class").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("shared"))
+        pairs = self._filtered(pairs).groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+        return materialize(pairs, "pairs")
+
+    def _tokens(self, shared: DataFrame) -> DataFrame:
+        """Shared prefix entries by class, copies merged."""
+        classes = self.nodes.where("doc_id IS NOT NULL").select("doc_id", "size", "class").distinct()
+        return materialize(shared.join(classes, ["doc_id", "size"]).select(
+            "gram", "class", "size", "place").distinct(), "entries")
+
+    def _open_pairs(self, entries: DataFrame, grouped: DataFrame, done: DataFrame) -> DataFrame:
+        """Candidate pairs across groups. Of an n-gram whose documents fall into
+        several groups, the largest group's documents are only held against the
+        others; an n-gram of one group makes no pair at all."""
+        placed = entries.join(grouped.withColumnRenamed("node", "class"), "class", "left")
+        placed = placed.withColumn("component", F.coalesce("component", "class"))
+        split = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        mixed = materialize(placed.join(split.where("lo != hi").select("gram"), "gram"), "mixed")
+        main = mixed.groupBy("gram", "component").agg(F.count("*").alias("n")).groupBy("gram").agg(
+            F.max_by("component", F.struct("n", "component")).alias("main"))
+        mixed = mixed.join(main, "gram")
+        side = {s: mixed.select("gram", "main", *[F.col(c).alias(f"{c}_{s}") for c in (
+            "class", "size", "place", "component")]) for s in "ab"}
+        a, b = side["a"].where("component_a != main"), side["b"].drop("main")
+        percent = self.how.percent
+        small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+        # what may still follow this n-gram in both orders, and all that came before it
+        most = F.least("place_a", "place_b") + 1 + F.least(F.col("size_a") - F.col("place_a"),
+                                                           F.col("size_b") - F.col("place_b")) - 1
+        pairs = a.join(b, "gram").where(
+            (F.col("component_a") != F.col("component_b"))
+            & ((F.col("component_b") == F.col("main")) | (F.col("class_a") > F.col("class_b")))
+            & (100 * small >= percent * large) & ((100 + percent) * most >= percent * (small + large)))
+        pairs = pairs.select(F.greatest("class_a", "class_b").alias("a"),
+                             F.least("class_a", "class_b").alias("b")).distinct()
+        done = done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        return materialize(self._filtered(pairs.join(done, ["a", "b"], "left_anti")).select("a", "b"), "open")
 
     def _sets_of(self, pairs: DataFrame) -> DataFrame:
-        """Whole sets of the documents that may still be paired. The bit field
-        spares the others' n-grams; the exact semi-join follows."""
-        wanted = self.wanted = materialize(self._candidates(), "wanted")
+        """Whole sets of the documents in pairs. The bit field spares the n-grams
+        of all others; the exact semi-join follows."""
+        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
         field = self.sc.broadcast(id_filter(wanted))
         found = self.docs.mapInArrow(_sets(self.how.words, field), "id long, grams array<long>")
-        return materialize(found.join(wanted, "id", "left_semi").distinct(), "sets")
-
-    def _candidates(self) -> DataFrame:
-        raise NotImplementedError
+        return materialize(found.join(wanted, "id", "left_semi"), "sets")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose whole sets are similar enough."""
+        sets = self._sets_of(pairs)
         for side in "ab":
-            pairs = pairs.join(self.sets.select(F.col("id").alias(side), F.col("grams").alias(f"grams_{side}")), side)
+            pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("grams").alias(f"grams_{side}")), side)
         both = F.size(F.array_intersect("grams_a", "grams_b"))
         union = F.size("grams_a") + F.size("grams_b") - both
         return pairs.where(100 * both >= self.how.percent * union)
+
+
+def link_documents(docs: DataFrame, how: Jaccard = Jaccard()) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row; see the module's text."""
+    return _Join(docs, how).run()
+
+
+def keep_one(docs: DataFrame, how: Jaccard = Jaccard()) -> DataFrame:
+    """One document of each group, the one with the smallest doc_id, with the
+    columns it came with. Rows without a doc_id stay. Only rows that a bit field
+    of the dropped ids lets through are shuffled; the others stay for certain."""
+    linked = materialize(link_documents(docs, how), "linked")
+    dropped = materialize(linked.where("doc_id != component_id").select("doc_id").distinct(), "dropped")
+    repeated = linked.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
+    suspects = materialize(dropped.unionByName(repeated).distinct(), "suspects")
+    field = docs.sparkSession.sparkContext.broadcast(id_filter(suspects))
+
+    def hit(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(_hit(field.value, batch.column(batch.num_columns - 1)))], [*batch.schema.names, "hit"])
+
+    hidden, inner = hide(docs)
+    marked = hidden.withColumn("id", F.col(inner["doc_id"]).cast("long")).mapInArrow(
+        hit, f"{ddl(hidden)}, id long, hit boolean")
+    tested = marked.where("hit").join(dropped.withColumnRenamed("doc_id", "id"), "id", "left_anti").dropDuplicates(["id"])
+    return show(marked.where("NOT hit"), inner).unionByName(show(tested, inner))

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparktidy.llm.tables import hide, show
 from sparktidy.session import materialize
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -146,22 +147,23 @@ def redact(docs: DataFrame, own: Ownership = Ownership(), mark: str = "[SECRET]"
     """The documents with every live value replaced by ``mark`` and ``n_chars``
     set anew where that column exists. Widely copied examples stay. Texts
     without a candidate go straight through; only the others are shuffled."""
-    names = docs.columns
     _, spans = _judged(docs, own)
     live = spans.where(F.col("verdict") == "live").groupBy(
         F.col("doc_id").alias("__id"), F.col("owner").alias("__owner"), F.col("seen").alias("__seen")).agg(
         F.collect_set("hash").alias("__live"))
-    spotted = docs.withColumn("__spans", candidates(F.col("text")))
-    clean = spotted.where(F.size("__spans") == 0).select(*names)
-    held = spotted.where(F.size("__spans") > 0).withColumn("__key", F.xxhash64("text"))
-    held = held.join(live, (held["__key"] == live["__seen"]) & held["doc_id"].eqNullSafe(live["__id"])
-                     & held["source"].eqNullSafe(live["__owner"]), "left")
-    values = F.array_distinct(F.transform("__spans", lambda s: s["value"]))
+    hidden, inner = hide(docs)
+    text = F.col(inner["text"])
+    spotted = hidden.withColumn("spans", candidates(text))
+    clean = spotted.where(F.size("spans") == 0)
+    held = spotted.where(F.size("spans") > 0).join(
+        live, (F.xxhash64(text) == F.col("__seen")) & F.col(inner["doc_id"]).eqNullSafe(F.col("__id"))
+        & F.col(inner["source"]).eqNullSafe(F.col("__owner")), "left")
+    values = F.array_distinct(F.transform("spans", lambda s: s["value"]))
     values = F.filter(values, lambda v: F.array_contains(F.col("__live"), F.sha2(v, 256)))
     longest = F.transform(F.array_sort(F.transform(values, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))),
                           lambda s: s["v"])
-    masked = F.aggregate(longest, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark)))
-    text = F.when(F.col("__live").isNull(), F.col("text")).otherwise(masked)
-    held = held.withColumn("__text", text)
-    shown = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
-    return clean.unionByName(held.select(*[shown[n].alias(n) if n in shown else held[n] for n in names]))
+    masked = F.aggregate(longest, text, lambda t, v: F.replace(t, v, F.lit(mark)))
+    held = held.withColumn(inner["text"], F.when(F.col("__live").isNull(), text).otherwise(masked))
+    if "n_chars" in inner:
+        held = held.withColumn(inner["n_chars"], F.length(text).cast("long"))
+    return show(clean, inner).unionByName(show(held, inner))

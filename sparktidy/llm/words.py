@@ -37,8 +37,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=4)
 def _powers(n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[1], np.full(n - 1, BASE, np.uint64)]).astype(np.uint64))
+    steps = np.full(n, BASE, np.uint64)  # kept in 64 whole bits: a float in between would lose the low ones
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
