@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparktidy.llm import words as W
 from sparktidy.llm.tables import ddl, hide, show
@@ -37,7 +37,8 @@ from sparktidy.session import materialize
 
 COUNTERS = 1 << 20  # counters of the global order, 2 MB as it is broadcast
 LANES = 64  # counters per row while they are summed
-RANGES = 16  # hash ranges of the filter on the rest of the sets
+RANGE_BITS = 6  # of the hash ranges in the filter on the rest of the sets
+PIVOTS = 3  # that a class is held against before all others
 BITS = 1 << 24  # bits of the filter that spares uninvolved texts, 2 MB
 
 
@@ -108,7 +109,7 @@ def _ordered(n: int, percent: int, order):
                 prefix = own[by[: prefix_length(len(own), percent)]] if len(own) else own
                 sizes.append(len(own))
                 prefixes.append(prefix.view(np.int64))
-                spread.append(np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=RANGES).astype(np.int32))
+                spread.append(np.bincount((own >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS))
                 with np.errstate(over="ignore"):
                     marks.append((int(own.sum(dtype=np.uint64).view(np.int64)) if len(own) else 0,
                                   int(W.mix(own + np.uint64(W.BASE)).sum(dtype=np.uint64).view(np.int64)) if len(own) else 0))
@@ -195,6 +196,15 @@ def _enough(percent: int) -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * most >= percent * (a + b))
 
 
+def _reachable(percent: int) -> Column:
+    """Whether an entry may be the first one that two sets share: if so, they can
+    share no more than what follows it in either order. Every pair that is
+    similar enough has such an entry, and the sizes have to be close."""
+    a, b = F.col("size_a"), F.col("size_b")
+    most = F.least(a - F.col("place_a"), b - F.col("place_b"))
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * most >= percent * (a + b))
+
+
 class _Join:
     def __init__(self, docs: DataFrame, how: Jaccard):
         self.how, self.spark = how, docs.sparkSession
@@ -241,9 +251,11 @@ class _Join:
         Counting combines before the shuffle; in the join back Spark may split
         an n-gram that many documents share."""
         entries = listed.where("doc_id IS NOT NULL").select(
-            "doc_id", "size", F.posexplode("prefix").alias("place", "gram"))
-        common = entries.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        return entries.join(common.where("lo != hi").select("gram"), "gram")
+            "doc_id", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("place", "gram"))
+        # of two sets the smaller one shares an entry this early, or none that matters
+        early = (100 + self.how.percent) * (F.col("size") - F.col("place")) >= 2 * self.how.percent * F.col("size")
+        common = entries.groupBy("gram").agg(F.count("*").alias("n"), F.max(early).alias("early"))
+        return entries.join(common.where("n > 1 AND early").select("gram"), "gram")
 
     def _filtered(self, pairs: DataFrame) -> DataFrame:
         meta = self.nodes.where("size > 0 AND doc_id = class")
@@ -254,12 +266,23 @@ class _Join:
         return pairs.where(_enough(self.how.percent))
 
     def _pivot_pairs(self, entries: DataFrame) -> DataFrame:
-        """For each class the pivot it shares most prefix entries with."""
-        pivots = entries.groupBy("gram").agg(F.min("class").alias("pivot"), F.max("class").alias("last"))
-        pairs = entries.join(pivots.where("pivot != last").select("gram", "pivot"), "gram").where("class != pivot")
-        pairs = pairs.groupBy(F.col("class").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("shared"))
-        pairs = self._filtered(pairs).groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-        return materialize(pairs, "pairs")
+        """Each class with up to ``PIVOTS`` pivots: of each of its shared entries
+        the most central class, the one whose own entries are shared most, and
+        of those pivots the ones it shares most entries with."""
+        common = entries.groupBy("gram").agg(F.count("*").alias("n"))
+        weight = entries.join(common, "gram").groupBy("class").agg(F.sum("n").alias("weight"))
+        weighed = entries.select("gram", "class").distinct().join(weight, "class")
+        pivots = weighed.groupBy("gram").agg(F.max(F.struct("weight", -F.col("class"))).alias("top"), F.min("class").alias("lo"),
+                                             F.max("class").alias("hi")).where("lo != hi")
+        pivots = pivots.select("gram", F.explode(F.array_distinct(F.array(-F.col("top.col2"), "lo"))).alias("class"))
+        side = {x: entries.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "size", "place")]) for x in "ab"}
+        pivots = side["b"].join(pivots.withColumnRenamed("class", "class_b"), ["gram", "class_b"])
+        pairs = side["a"].join(pivots, "gram").where((F.col("class_a") != F.col("class_b")) & _reachable(self.how.percent))
+        pairs = pairs.groupBy(F.greatest("class_a", "class_b").alias("a"), F.least("class_a", "class_b").alias("b")).agg(
+            F.count("*").alias("shared"))
+        best = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
+        pairs = self._filtered(pairs).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= PIVOTS)
+        return materialize(pairs.select("a", "b"), "pairs")
 
     def _tokens(self, shared: DataFrame) -> DataFrame:
         """Shared prefix entries by class, copies merged."""
@@ -281,15 +304,10 @@ class _Join:
         side = {s: mixed.select("gram", "main", *[F.col(c).alias(f"{c}_{s}") for c in (
             "class", "size", "place", "component")]) for s in "ab"}
         a, b = side["a"].where("component_a != main"), side["b"].drop("main")
-        percent = self.how.percent
-        small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-        # what may still follow this n-gram in both orders, and all that came before it
-        most = F.least("place_a", "place_b") + 1 + F.least(F.col("size_a") - F.col("place_a"),
-                                                           F.col("size_b") - F.col("place_b")) - 1
         pairs = a.join(b, "gram").where(
             (F.col("component_a") != F.col("component_b"))
             & ((F.col("component_b") == F.col("main")) | (F.col("class_a") > F.col("class_b")))
-            & (100 * small >= percent * large) & ((100 + percent) * most >= percent * (small + large)))
+            & _reachable(self.how.percent))
         pairs = pairs.select(F.greatest("class_a", "class_b").alias("a"),
                              F.least("class_a", "class_b").alias("b")).distinct()
         done = done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
