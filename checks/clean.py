@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.common import DIRTY, DUPS, SPIKY, TEXTS, check, dirty, dups, rounded, spiky, table, texts
+from sparktidy.config import get_config
 from sparktidy.operators import cleaner, repair
 from sparktidy.operators.dedup import remove_duplicates
 from sparktidy.operators.impute import impute, null_ratios
@@ -74,7 +75,14 @@ def impute_custom(spark, d):
     return _out(impute(dirty(spark, d), "custom", ["event_type"], "unknown"))
 
 
-@check("impute_distribution")
+def _uniform(part):
+    text = f"event_id || '|value|{get_config().random_state}|{part}'"
+    return f"((('0x' || substr(md5({text}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE)"
+
+
+@check("impute_distribution", f"""WITH {DIRTY}, m AS (SELECT avg(value) AS a, stddev_samp(value) AS s FROM dirty)
+  SELECT event_id, user_id, event_type, round(coalesce(value, a + s * sqrt(-2 * ln({_uniform(1)})) * cos(2 * pi() * {_uniform(2)})), 6) AS value, props
+  FROM dirty, m""")
 def impute_distribution(spark, d):
     return _out(impute(dirty(spark, d), "distribution", ["value"], key=["event_id"]))
 

@@ -5,6 +5,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from checks.common import DIRTY, SPIKY, check, dirty, rounded, spiky, table, union_all
+from sparktidy.config import get_config
 from sparktidy.operators import explore, normality, outliers
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -65,10 +66,46 @@ def corr_pearson_wide(spark, d):
     return rounded(explore._vector_pairs(df, LINE))
 
 
-@check("corr_spearman", "WITH pairs AS (" + union_all([ranks_sql("lineitem", a, b) for a, b in combinations(LINE[:3], 2)])
+# A constant column and one with NaN make every pair with them undefined: no row reaches the threshold.
+ODD = "odd AS (SELECT l_quantity, l_extendedprice, l_discount, 7.5::DOUBLE AS flat FROM lineitem)"
+
+
+def _odd(spark, d):
+    return table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", F.lit(7.5).alias("flat"))
+
+
+@check("corr_constant", f"WITH {ODD}, pairs AS ({pearson_sql('odd', LINE[:3], '')}) {PAIR_OUT}")
+def corr_constant(spark, d):
+    return rounded(explore.correlations(_odd(spark, d), [*LINE[:3], "flat"], min_correlation=0.0))
+
+
+@check("corr_constant_spearman", f"WITH {ODD}, pairs AS (" + union_all(
+    [ranks_sql("odd", a, b) for a, b in combinations(LINE[:3], 2)]) + f") {PAIR_OUT}")
+def corr_constant_spearman(spark, d):
+    return rounded(explore.correlations(_odd(spark, d), [*LINE[:3], "flat"], "spearman", 0.0))
+
+
+SHIFTS = [(i, c) for i in range(11) for c in LINE]
+
+
+@check("corr_constant_wide", "WITH wide AS (SELECT " + ", ".join(
+    f"{c} * {i + 1} + l_tax * {i} AS w{k}" for k, (i, c) in enumerate(SHIFTS)) + " FROM lineitem), pairs AS ("
+    + union_all([f"SELECT 'w{i}' AS column1, 'w{j}' AS column2, corr(w{i}, w{j}) AS correlation FROM wide"
+                 for i, j in combinations(range(len(SHIFTS)), 2) if i % 9 == 0 and j % 7 == 0]) + f") {PAIR_OUT}")
+def corr_constant_wide(spark, d):
+    wide = table(spark, d, "lineitem").select(
+        *[(F.col(c) * (i + 1) + F.col("l_tax") * i).alias(f"w{k}") for k, (i, c) in enumerate(SHIFTS)], F.lit(1.0).alias("flat"))
+    number = [F.substring(c, 2, 3).cast("int") for c in ("column1", "column2")]
+    got = explore.correlations(wide, min_correlation=0.0)
+    if got.where("column1 = 'flat' OR column2 = 'flat'").head(1):
+        raise AssertionError("a constant column has a correlation")
+    return rounded(got.where((number[0] % 9 == 0) & (number[1] % 7 == 0)))
+
+
+@check("corr_spearman", "WITH pairs AS (" + union_all([ranks_sql("lineitem", a, b) for a, b in combinations(LINE, 2)])
        + f") {PAIR_OUT}")
 def corr_spearman(spark, d):
-    return rounded(explore.correlations(table(spark, d, "lineitem"), LINE[:3], "spearman", 0.0))
+    return rounded(explore.correlations(table(spark, d, "lineitem"), LINE, "spearman", 0.0))
 
 
 @check("corr_spearman_nulls", f"WITH {DIRTY}, pairs AS (" + union_all(
@@ -203,6 +240,15 @@ def normality_jb(spark, d):
     return rounded(normality.jarque_bera(table(spark, d, "customer")))
 
 
+@check("normality_repeated_rows", """SELECT 'v' AS "column", 60 * count(*) AS n_total, true AS drawn FROM lineitem""")
+def normality_repeated_rows(spark, d):
+    """Ten values, each in very many equal rows."""
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") % 10).cast("double").alias("v"),
+                                              F.explode(F.sequence(F.lit(1), F.lit(60))).alias("copy")).select("v")
+    out = normality.shapiro_test(rows, ["v"])
+    return out.select("column", "n_total", F.col("n").between(4000, 5000).alias("drawn"))
+
+
 @check("normality_sw")
 def normality_sw(spark, d):
     return normality.shapiro_test(table(spark, d, "lineitem"), LINE)
@@ -213,7 +259,18 @@ def normality_sw(spark, d):
   SELECT i::INTEGER AS bin, round(lo + i * w, 6) AS lower, round(lo + (i + 1) * w, 6) AS upper, coalesce(n, 0) AS "count"
   FROM (SELECT unnest(range(20)) AS i) g CROSS JOIN b LEFT JOIN c ON c.bin = g.i""")
 def histogram(spark, d):
-    return rounded(explore.histogram(table(spark, d, "lineitem"), "l_extendedprice", 20))
+    return rounded(explore.histogram(table(spark, d, "lineitem"), "l_extendedprice", 20).drop("not_finite"))
+
+
+@check("histogram_nan", """WITH t AS (SELECT l_extendedprice AS v FROM lineitem WHERE l_orderkey % 10 > 1),
+  b AS (SELECT min(v) AS lo, (max(v) - min(v)) / 20 AS w FROM t), c AS (SELECT least(floor((v - lo) / w), 19)::INTEGER AS bin, count(*) AS n FROM t, b GROUP BY 1)
+  SELECT i::INTEGER AS bin, round(lo + i * w, 6) AS lower, round(lo + (i + 1) * w, 6) AS upper, coalesce(n, 0) AS "count",
+  (SELECT count(*) FROM lineitem WHERE l_orderkey % 10 <= 1) AS not_finite
+  FROM (SELECT unnest(range(20)) AS i) g CROSS JOIN b LEFT JOIN c ON c.bin = g.i""")
+def histogram_nan(spark, d):
+    odd = table(spark, d, "lineitem").select(F.expr(
+        "CASE l_orderkey % 10 WHEN 0 THEN double('NaN') WHEN 1 THEN double('-Infinity') ELSE l_extendedprice END AS v"))
+    return rounded(explore.histogram(odd, "v", 20))
 
 
 @check("histogram_gaps", f"""WITH {SPIKY}, b AS (SELECT min(value) AS lo, (max(value) - min(value)) / 50 AS w FROM spiky),
@@ -221,7 +278,7 @@ def histogram(spark, d):
   SELECT i::INTEGER AS bin, round(lo + i * w, 6) AS lower, round(lo + (i + 1) * w, 6) AS upper, coalesce(n, 0) AS "count"
   FROM (SELECT unnest(range(50)) AS i) g CROSS JOIN b LEFT JOIN c ON c.bin = g.i""")
 def histogram_gaps(spark, d):
-    return rounded(explore.histogram(spiky(spark, d), "value", 50))
+    return rounded(explore.histogram(spiky(spark, d), "value", 50).drop("not_finite"))
 
 
 @check("pair_corr", f"""WITH {DIRTY}, p AS (SELECT count(*) AS n, corr(user_id, value) AS correlation FROM dirty
@@ -230,7 +287,8 @@ def pair_corr(spark, d):
     return rounded(explore.pair_correlation(dirty(spark, d), "user_id", "value"))
 
 
-@check("scatter_sample")
+@check("scatter_sample", f"""WITH {DIRTY} SELECT event_id, user_id, value FROM dirty WHERE user_id IS NOT NULL AND value IS NOT NULL
+  ORDER BY ('0x' || substr(md5(event_id || '|{get_config().random_state}'), 1, 13))::BIGINT, event_id LIMIT 1000""")
 def scatter_sample(spark, d):
     return explore.scatter_sample(dirty(spark, d), "user_id", "value", ["event_id"])
 

@@ -110,15 +110,15 @@ dup AS (SELECT (SELECT count(*) FROM dups) AS n, (SELECT count(*) FROM (SELECT D
 SELECT CASE WHEN missing_pct > 50 THEN 'high_missing_values' ELSE 'moderate_missing_values' END AS type,
   CASE WHEN missing_pct > 50 THEN 'high' ELSE 'medium' END AS severity, "column",
   printf('%.1f%% missing values', missing_pct) AS details,
-  CASE WHEN missing_pct > 50 THEN 'Consider dropping this column or using advanced imputation'
-       ELSE 'Consider imputation strategies' END AS recommendation FROM p WHERE missing_pct > 20
+  CASE WHEN missing_pct > 50 THEN 'mostly empty: leave it out, or fill it from other columns'
+       ELSE 'fill the gaps before modelling' END AS recommendation FROM p WHERE missing_pct > 20
 UNION ALL SELECT 'constant_column', 'medium', "column", 'Column has only one unique value',
-  'Consider dropping this column as it provides no information' FROM p WHERE unique_count = 1
+  'one value throughout: it separates nothing' FROM p WHERE unique_count = 1
 UNION ALL SELECT 'potential_id_column', 'low', "column", printf('%.1f%% unique values', unique_pct),
-  'This might be an ID column - consider removing for modeling' FROM p WHERE unique_pct > 95 AND unique_count > 100
+  'nearly every value is its own: looks like a key, not a feature' FROM p WHERE unique_pct > 95 AND unique_count > 100
 UNION ALL SELECT 'duplicate_rows', CASE WHEN (n - d) * 100.0::DOUBLE / n > 10 THEN 'high' WHEN (n - d) * 100.0::DOUBLE / n > 1 THEN 'medium'
   ELSE 'low' END, 'entire_dataset', format('{{:,}}', n - d) || printf(' duplicate rows (%.1f%%)', (n - d) * 100.0::DOUBLE / n),
-  'Consider removing duplicate rows' FROM dup WHERE n > d""")
+  'some rows are repeated: deduplicate' FROM dup WHERE n > d""")
 def detect_issues(spark, d):
     messy = dups(spark, d).withColumns({
         "constant": F.lit("x"), "sparse": F.expr("CASE WHEN event_id % 3 = 0 THEN value END"),
@@ -130,7 +130,7 @@ def detect_issues(spark, d):
     "o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
     "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}, pct=lambda e: e)})
 SELECT 'potential_id_column' AS type, 'low' AS severity, "column", printf('%.1f%% unique values', unique_pct) AS details,
-  'This might be an ID column - consider removing for modeling' AS recommendation
+  'nearly every value is its own: looks like a key, not a feature' AS recommendation
 FROM p WHERE unique_pct > 95 AND unique_count > 100""")
 def detect_issues_ids(spark, d):
     return profile.detect_issues(table(spark, d, "orders"))
@@ -175,6 +175,15 @@ def report_columns(spark, d):
     return profile.profile_report(dirty(spark, d), ["event_id"])["columns"]
 
 
+@check("report_numeric_only", """SELECT 0::BIGINT AS top_rows, count(*) AS "rows", 4::BIGINT AS cols FROM lineitem""")
+def report_numeric_only(spark, d):
+    """A table without a text column, with a constant one."""
+    report = profile.profile_report(table(spark, d, "lineitem").select(
+        "l_orderkey", "l_quantity", "l_discount", F.lit(1).alias("flat")), ["l_orderkey"])
+    rows = report["overview"].select("rows", F.col("cols").cast("bigint").alias("cols"))
+    return rows.withColumn("top_rows", F.lit(report["top_values"].count()).cast("bigint"))
+
+
 @check("report_sample", f"""WITH {DIRTY} SELECT event_id, user_id, event_type, value, props FROM dirty
   ORDER BY event_id LIMIT 10""")
 def report_sample(spark, d):

@@ -42,6 +42,31 @@ def json_roundtrip(spark, d):
     return _events_out(files.load_data(spark, path, schema=df.schema))
 
 
+@check("json_roundtrip_json", EVENTS_OUT)
+def json_roundtrip_json(spark, d):
+    df, path = table(spark, d, "events"), work_folder(spark, "events") + ".json"
+    files.save_data(df, path)
+    return _events_out(files.load_data(spark, path, schema=df.schema))
+
+
+@check("convert_to_json", "SELECT p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice FROM part")
+def convert_to_json(spark, d):
+    first, path = work_folder(spark, "part") + ".csv", work_folder(spark, "part") + ".json"
+    files.save_data(table(spark, d, "part"), first, sep=";")
+    files.convert_format(spark, first, path, read_options={"sep": ";"})
+    return files.load_data(spark, path).select(
+        "p_partkey", "p_name", "p_brand", "p_type", F.col("p_size").cast("bigint").alias("p_size"), "p_retailprice")
+
+
+@check("csv_newlines", """SELECT doc_id, replace(replace(text, 'e', chr(10)), 'a', '",' || chr(13) || chr(10)) AS text, lang
+       FROM documents""")
+def csv_newlines(spark, d):
+    df, path = table(spark, d, "documents"), work_folder(spark, "documents") + ".csv"
+    text = F.replace(F.replace("text", F.lit("e"), F.lit("\n")), F.lit("a"), F.lit('",\r\n'))
+    files.save_data(df.select("doc_id", text.alias("text"), "lang"), path)
+    return files.load_data(spark, path, schema="doc_id long, text string, lang string")
+
+
 @check("parquet_roundtrip", EVENTS_OUT)
 def parquet_roundtrip(spark, d):
     df, path = table(spark, d, "events"), work_folder(spark, "events") + ".parquet"

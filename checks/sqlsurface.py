@@ -62,6 +62,20 @@ def asof_join_query(spark, d):
     return asof_join(events.select("event_id", "ts", "user_id"), purchases, "ts", ["user_id"], ["last_purchase"]).drop("ts")
 
 
+HOLES = """e AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS ts,
+  CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id END AS user_id, event_type, value FROM events)"""
+
+
+@check("asof_join_nulls", f"""WITH {HOLES}, p AS (SELECT ts, user_id, value AS last_purchase FROM e WHERE event_type = 'purchase'
+  AND ts IS NOT NULL AND user_id IS NOT NULL) SELECT event_id, user_id, last_purchase FROM e ASOF LEFT JOIN p USING (user_id, ts)""")
+def asof_join_nulls(spark, d):
+    events = table(spark, d, "events").select(
+        "event_id", F.expr("CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS ts"),
+        F.expr("CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id END AS user_id"), "event_type", "value")
+    purchases = events.where("event_type = 'purchase'").select("ts", "user_id", F.col("value").alias("last_purchase"))
+    return asof_join(events.select("event_id", "ts", "user_id"), purchases, "ts", ["user_id"], ["last_purchase"]).drop("ts")
+
+
 _both("sql_rank", "orders", """SELECT o_custkey, o_orderkey, place, dense, ties FROM (SELECT o_custkey, o_orderkey,
   CAST(row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS place,
   CAST(dense_rank() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderpriority) AS INT) AS dense,

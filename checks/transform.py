@@ -2,6 +2,7 @@
 
 from itertools import combinations_with_replacement
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from checks.common import DIRTY, check, dirty, rounded, table, union_all
@@ -78,6 +79,34 @@ def encode_target_large(spark, d):
     return rounded(encode.encode(df, "target", columns=["l_partkey"], target="l_quantity"))
 
 
+@check("encode_target_skewed", """WITH t AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 > 0 THEN -1 ELSE l_partkey END AS k,
+  l_quantity FROM lineitem), m AS (SELECT k, avg(l_quantity) AS e FROM t GROUP BY 1)
+  SELECT l_orderkey, l_linenumber, round(e, 6) AS k, l_quantity FROM t JOIN m USING (k)""")
+def encode_target_skewed(spark, d):
+    """Two thirds of the rows hold one value."""
+    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr(
+        "CASE WHEN l_orderkey % 3 > 0 THEN -1 ELSE l_partkey END AS k"), "l_quantity")
+    return rounded(encode.encode(df, "target", columns=["k"], target="l_quantity"))
+
+
+@check("encode_unknown_large", """SELECT l_orderkey, l_linenumber, CASE WHEN p_partkey IS NOT NULL THEN (k.code)::INTEGER END AS l_partkey
+  FROM lineitem LEFT JOIN (SELECT p_partkey, dense_rank() OVER (ORDER BY p_partkey) - 1 AS code FROM part WHERE p_partkey % 2 = 0) k
+  ON l_partkey = p_partkey""")
+def encode_unknown_large(spark, d):
+    """A map learned from half of the keys meets the other half: null codes, or an error if asked for."""
+    known = table(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("l_partkey"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    strict = encode.fit_encoder(known, "ordinal", columns=["l_partkey"], handle_unknown="error")
+    try:
+        strict.transform(rows).agg(F.max("l_partkey")).collect()
+    except PySparkException as error:
+        if "unknown category" not in str(error):
+            raise
+    else:
+        raise AssertionError("an unseen category passed")
+    return encode.fit_encoder(known, "ordinal", columns=["l_partkey"]).transform(rows)
+
+
 def scaled(expr):
     cols = ", ".join(f"round({expr.format(c=c)}, 6) AS {c}" for c in CUSTOMER[1:])
     return f"SELECT c_custkey, {cols} FROM customer"

@@ -7,6 +7,11 @@ from dataclasses import asdict, dataclass, fields, replace
 from pathlib import Path
 
 
+#: What a setting has to fulfil, for those that cannot take any value of their type.
+RULES = {"random_state": lambda v: v >= 0, "chunk_size": lambda v: v >= 1, "sample_size": lambda v: v >= 1,
+         "missing_value_threshold": lambda v: 0 < v <= 1, "correlation_threshold": lambda v: 0 < v <= 1}
+
+
 @dataclass(frozen=True)
 class Config:
     # Defaults every operator falls back to.
@@ -27,14 +32,9 @@ class Config:
     export_compression: str | None = None
 
     def __post_init__(self):
-        if self.random_state < 0:
-            raise ValueError("random_state must be non-negative")
-        for name in ("missing_value_threshold", "correlation_threshold"):
-            if not 0 < getattr(self, name) <= 1:
-                raise ValueError(f"{name} must lie in (0, 1]")
-        for name in ("chunk_size", "sample_size"):
-            if getattr(self, name) <= 0:
-                raise ValueError(f"{name} must be positive")
+        wrong = [name for name, fits in RULES.items() if not fits(getattr(self, name))]
+        if wrong:
+            raise ValueError(f"settings out of range: {', '.join(sorted(wrong))}")
 
     def update(self, **changes) -> "Config":
         unknown = set(changes) - {f.name for f in fields(self)}

@@ -37,7 +37,7 @@ def _label(c: Column, limits, floor: str, strict: bool) -> Column:
     for limit, text in limits:
         hit = c > limit if strict else c >= limit
         out = F.when(hit, text) if out is None else out.when(hit, text)
-    return F.when(c.isNotNull(), out.otherwise(floor))
+    return F.when(finite(c).isNotNull(), out.otherwise(floor))
 
 
 def correlation_label(r: Column) -> Column:

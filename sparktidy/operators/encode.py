@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparktidy.config import get_config
 from sparktidy.errors import DataValidationError, UnsupportedOperationError
@@ -18,7 +18,7 @@ from sparktidy.session import materialize
 
 METHODS = ("label", "onehot", "ordinal", "target")
 # Up to this many categories a map is part of the expression; beyond it the
-# map stays a table and is joined.
+# map stays a table and is joined. Results, errors and saving are the same.
 INLINE_LIMIT = 1000
 
 
@@ -28,10 +28,14 @@ def unique_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return column_counts(df, columns).select("column", (F.col("distinct") + missing).alias("unique_count"))
 
 
-def encode_eligibility(df: DataFrame, columns: list[str] | None = None, method: str = "label") -> DataFrame:
-    """Which columns may be encoded: more than one value, not above the limit."""
+def encode_eligibility(df: DataFrame, columns: list[str] | None = None, method: str = "label",
+                       max_values: int | None = None) -> DataFrame:
+    """Which columns may be encoded: more than one value, not above the limit
+    (``max_values``, or the configured one of the method)."""
     columns = columns or kinds.categorical_columns(df)
     limits = {"onehot": get_config().max_features_for_onehot, "label": get_config().max_features_for_label}
+    if max_values is not None:
+        limits[method] = max_values
     n = F.col("unique_count")
     over = n > F.lit(limits[method]) if method in limits else F.lit(False)
     reason = F.when(over, "too many values").when(n == 1, "single value").otherwise("")
@@ -41,7 +45,8 @@ def encode_eligibility(df: DataFrame, columns: list[str] | None = None, method:
 @dataclass
 class EncodeModel:
     """Fitted encoder. ``classes`` holds the ordered values (or value -> target
-    mean) of each column; ``tables`` holds maps too large for an expression."""
+    mean) of each column; ``tables`` holds maps too large for an expression,
+    ``skipped`` the columns left alone with the reason."""
 
     method: str
     classes: dict[str, list[Any]] = field(default_factory=dict)
@@ -49,20 +54,25 @@ class EncodeModel:
     default: float | None = None
     drop_original: bool = True
     handle_unknown: str = "ignore"
-    tables: dict[str, tuple[DataFrame, int]] = field(default_factory=dict)
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+    skipped: dict[str, str] = field(default_factory=dict)
     kind = "encode"
 
     def _code(self, c: str) -> Column:
         values = self.classes[c]
         position = F.nullif(F.array_position(F.array(*map(F.lit, values)), col(c)), F.lit(0)).cast("int")
-        if self.handle_unknown == "error":
-            message = F.concat(F.lit(f"unknown category in {c}: "), col(c).cast("string"))
-            position = F.when(col(c).isNotNull() & position.isNull(), F.raise_error(message).cast("int")).otherwise(position)
-        return position
+        return self._known(c, position.isNotNull(), position)
+
+    def _known(self, c: str, found: Column, value: Column) -> Column:
+        """``value``; an unseen category is an error if the model says so."""
+        if self.handle_unknown != "error":
+            return value
+        message = F.concat(F.lit(f"unknown category in {c}: "), col(c).cast("string"))
+        return F.when(col(c).isNotNull() & ~found, F.raise_error(message).cast("int")).otherwise(value)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        for c, (table, total) in self.tables.items():
-            df = self._joined(df, c, table, total)
+        for c, table in self.tables.items():
+            df = self._joined(df, c, table)
         out: list[Column] = []
         extra: list[Column] = []
         for name in df.columns:
@@ -71,7 +81,9 @@ class EncodeModel:
                 continue
             values = self.classes[name]
             if self.method == "onehot":
-                extra += [(col(name) == F.lit(v)).cast("tinyint").alias(f"{name}_{v}") for v in values]
+                seen = col(name).isin(values)
+                extra += [self._known(name, seen, (col(name) == F.lit(v)).cast("int")).cast("tinyint").alias(f"{name}_{v}")
+                          for v in values]
                 if not self.drop_original:
                     out.append(col(name))
                 continue
@@ -89,23 +101,36 @@ class EncodeModel:
                 extra.append(code.alias(f"{name}_encoded"))
         return df.select(*out, *extra)
 
-    def _joined(self, df: DataFrame, c: str, table: DataFrame, total: int) -> DataFrame:
-        out = lookup(df, table, c, "__n", total)
+    def _joined(self, df: DataFrame, c: str, table: DataFrame) -> DataFrame:
+        out = lookup(df, table, c, "__n")
+        if self.handle_unknown == "error" and self.method != "target":
+            out = out.withColumn("__code", self._known(c, F.col("__code").isNotNull(), F.col("__code")))
         if self.method == "target":
             out = out.withColumn("__code", F.when(col(c).isNotNull(), F.coalesce("__code", F.lit(self.default))))
         if not self.drop_original:
             return out.withColumnRenamed("__code", f"{c}_encoded")
         return out.select(*[F.col("__code").alias(c) if x == c else col(x) for x in df.columns])
 
-    def to_dict(self) -> dict[str, Any]:
-        if self.tables:
-            raise UnsupportedOperationError(f"maps of {sorted(self.tables)} are tables; write them with DataFrame.write")
+    def to_dict(self, folder: str | None = None) -> dict[str, Any]:
+        """Parameters for JSON. Maps that are tables are written below ``folder``,
+        which has to be one that every executor reaches."""
+        if self.tables and folder is None:
+            raise UnsupportedOperationError(f"maps of {sorted(self.tables)} are tables; a folder is needed to store them")
+        paths = {c: f"{folder}/{i}" for i, c in enumerate(self.tables)}
+        for c, table in self.tables.items():
+            table.write.mode("overwrite").parquet(paths[c])
         return {"kind": self.kind, "method": self.method, "classes": self.classes, "means": self.means,
-                "default": self.default, "drop_original": self.drop_original, "handle_unknown": self.handle_unknown}
+                "default": self.default, "drop_original": self.drop_original, "handle_unknown": self.handle_unknown,
+                "skipped": self.skipped, "tables": paths}
 
     @classmethod
     def from_dict(cls, d: dict[str, Any]) -> "EncodeModel":
-        return cls(**{k: v for k, v in d.items() if k != "kind"})
+        stored = d.get("tables") or {}
+        model = cls(**{k: v for k, v in d.items() if k not in ("kind", "tables")})
+        if stored:
+            spark = SparkSession.getActiveSession()
+            model.tables = {c: spark.read.parquet(path) for c, path in stored.items()}
+        return model
 
 
 def _category_table(df: DataFrame, c: str, *aggs: Column) -> tuple[DataFrame, list | None]:
@@ -125,7 +150,7 @@ def _sort_key(v: Any):
 def fit_encoder(
     df: DataFrame, method: str = "label", columns: list[str] | None = None, drop_original: bool = True,
     handle_unknown: str = "ignore", order: dict[str, list[Any]] | None = None, target: str | None = None,
-    smoothing: float = 0.0,
+    smoothing: float = 0.0, max_values: int | None = None,
 ) -> EncodeModel:
     """Fit an encoder on the eligible columns.
 
@@ -143,12 +168,11 @@ def fit_encoder(
     model = EncodeModel(method, drop_original=drop_original, handle_unknown=handle_unknown)
     if not columns:
         return model
-    eligible = {r["column"] for r in encode_eligibility(df, columns, method).collect() if r["eligible"]}
-    columns = [c for c in columns if c in eligible]
-    total = 0
+    reasons = {r["column"]: r["reason"] for r in encode_eligibility(df, columns, method, max_values).collect()}
+    model.skipped = {c: reasons[c] for c in columns if reasons[c]}
+    columns = [c for c in columns if not reasons[c]]
     if method == "target":
-        facts = df.where(col(target).isNotNull()).agg(F.count("*"), F.avg(col(target).cast("double"))).first()
-        total, model.default = facts[0], facts[1]
+        model.default = df.where(col(target).isNotNull()).agg(F.avg(col(target).cast("double"))).first()[0]
     for c in columns:
         if method == "ordinal" and order and c in order:
             model.classes[c] = list(order[c])
@@ -165,10 +189,9 @@ def fit_encoder(
             if method == "target":
                 model.means[c] = [r["__code"] for r in few]
             continue
-        if method == "ordinal":
+        if method in ("ordinal", "label"):
             table = row_numbers(table, [c], "__code").withColumn("__code", (F.col("__code") - 1).cast("int"))
-            total = df.count()
-        model.tables[c] = (table, total)
+        model.tables[c] = table
     return model
 
 

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import isfinite
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparktidy.config import get_config
 from sparktidy.errors import UnsupportedOperationError
 from sparktidy.functions import types as kinds
-from sparktidy.functions.exprs import col, correlation_label, skew_label
+from sparktidy.functions.exprs import col, correlation_label, finite, skew_label
 from sparktidy.operators.kendall import kendall_pair
-from sparktidy.plans.ordering import range_cuts, rank_rows
+from sparktidy.plans.lookup import lookup
+from sparktidy.plans.ordering import running_total
 from sparktidy.plans.quantiles import quantiles
-from sparktidy.plans.sampling import hash_limit
+from sparktidy.plans.sampling import hash_limit, key_bits
 from sparktidy.plans.shape import long_cells, rows_from
 
 PAIR_COLUMNS = ("column1", "column2", "correlation")
-# Above this width one vector aggregate replaces a corr() per pair.
+# Above this width one vector aggregate replaces an aggregate per pair; the results are the same.
 WIDE_COLUMNS = 40
 
 
@@ -25,13 +27,20 @@ def _doubles(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[col(c).cast("double").alias(c) for c in columns])
 
 
+def _corr(a: Column, b: Column) -> Column:
+    """Pearson's r; null where it is undefined (a constant column, NaN or
+    infinite values, no rows)."""
+    r = finite(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
+    return F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+
+
 def _pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """All pairs over the rows complete in every column, in one aggregate."""
     data = _doubles(df, columns).na.drop()
     pairs = list(combinations(columns, 2))
     if len(columns) > WIDE_COLUMNS:
         return _vector_pairs(data, columns)
-    wide = data.agg(*[F.corr(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    wide = data.agg(*[_corr(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     return rows_from(wide, [{"column1": F.lit(a), "column2": F.lit(b), "correlation": F.col(f"r{i}")}
                             for i, (a, b) in enumerate(pairs)])
 
@@ -43,28 +52,44 @@ def _vector_pairs(data: DataFrame, columns: list[str]) -> DataFrame:
 
     names = [f"c{i}" for i in range(len(columns))]
     vectors = VectorAssembler(inputCols=names, outputCol="v").transform(data.toDF(*names)).select("v")
+    if not data.head(1):
+        return data.sparkSession.createDataFrame([(a, b, None) for a, b in combinations(columns, 2)],
+                                                 "column1 string, column2 string, correlation double")
     matrix = Correlation.corr(vectors, "v", "pearson").first()[0].toArray()
-    rows = [(a, b, float(matrix[i][j])) for (i, a), (j, b) in combinations(enumerate(columns), 2)]
+    rows = [(a, b, float(matrix[i][j]) if isfinite(matrix[i][j]) else None) for (i, a), (j, b) in combinations(enumerate(columns), 2)]
     return data.sparkSession.createDataFrame(rows, "column1 string, column2 string, correlation double")
 
 
+def _value_ranks(data: DataFrame, c: str) -> DataFrame:
+    """``v, n, r`` per value: rows that hold it and their average rank, from a
+    running sum over the counts of the values."""
+    counts = data.where(col(c).isNotNull()).groupBy(col(c).alias("v")).agg(F.count("*").alias("n"))
+    upto = running_total(counts, F.col("n"), ["v"], "upto")
+    return upto.select("v", "n", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("r"))
+
+
 def _spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of average ranks. Columns without nulls are ranked
-    once and correlated in one aggregate; other pairs rank the rows they share."""
-    data = _doubles(df, columns)
-    counts = data.agg(F.count("*"), *[F.count(col(c)) for c in columns]).first()
-    full = [c for c, n in zip(columns, counts[1:]) if n == counts[0]]
-    cuts = range_cuts(data, columns)
+    """Pearson correlation of average ranks. Values are ranked by their counts and
+    the ranks joined back, so no window ever holds rows and ties cost nothing.
+    Columns without nulls are ranked once and correlated in one aggregate; other
+    pairs rank the rows they share."""
+    names = [f"c{i}" for i in range(len(columns))]
+    data = _doubles(df, columns).toDF(*names)
+    data = data.select(*[F.when(F.isnan(n), None).otherwise(F.col(n) + F.lit(0.0)).alias(n) for n in names])
+    counts = data.agg(F.count("*"), *[F.count(n) for n in names]).first()
+    full = [n for n, present in zip(names, counts[1:]) if present == counts[0]]
     groups = [full] if len(full) > 1 else []
-    groups += [[a, b] for a, b in combinations(columns, 2) if a not in full or b not in full]
-    out = None
+    groups += [[a, b] for a, b in combinations(names, 2) if a not in full or b not in full]
+    of, out = dict(zip(names, columns)), None
     for group in groups:
-        ranked, names = data.select(*[col(c) for c in group]).na.drop(), {c: f"__rank{i}" for i, c in enumerate(group)}
-        for c in group:
-            ranked = rank_rows(ranked, c, names[c], cuts[c])
+        ranked = data.select(*group).na.drop()
+        rows = ranked
+        for n in group:
+            table = _value_ranks(rows, n).select(F.col("v").alias(n), "n", F.col("r").alias(f"rank_{n}"))
+            ranked = lookup(ranked, table, n, "n")
         pairs = list(combinations(group, 2))
-        wide = ranked.agg(*[F.corr(names[a], names[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-        part = rows_from(wide, [{"column1": F.lit(a), "column2": F.lit(b), "correlation": F.col(f"r{i}")}
+        wide = ranked.agg(*[_corr(F.col(f"rank_{a}"), F.col(f"rank_{b}")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+        part = rows_from(wide, [{"column1": F.lit(of[a]), "column2": F.lit(of[b]), "correlation": F.col(f"r{i}")}
                                 for i, (a, b) in enumerate(pairs)])
         out = part if out is None else out.unionByName(part)
     return out
@@ -112,7 +137,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None, method:
 def pair_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson r of two columns over rows where both are present, with its label."""
     both = _doubles(df, [x, y]).toDF("x", "y").na.drop()
-    out = both.agg(F.count("*").alias("n"), F.corr("x", "y").alias("correlation"))
+    out = both.agg(F.count("*").alias("n"), _corr(F.col("x"), F.col("y")).alias("correlation"))
     return out.withColumn("strength", correlation_label(F.col("correlation")))
 
 
@@ -120,7 +145,7 @@ def scatter_sample(df: DataFrame, x: str, y: str, key: list[str], n: int = 1000,
     """``n`` rows with both values, chosen by a seeded hash of a unique key, so
     the choice does not depend on how the table is partitioned."""
     seed = get_config().random_state if seed is None else seed
-    pick = F.xxhash64(*[col(k) for k in key], F.lit(seed))
+    pick = key_bits([col(k) for k in key], seed)
     both = df.where(col(x).isNotNull() & col(y).isNotNull())
     near = both.where(pick <= F.lit(hash_limit(both.count(), n)))
     return (near.orderBy(pick, *[col(k) for k in key]).limit(n)
@@ -171,12 +196,13 @@ def categorical_analysis(
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """Equal-width bins with counts, empty bins included."""
-    v = col(column).cast("double")
-    lo, hi = df.agg(F.min(v), F.max(v)).first()
+    """Equal-width bins with counts, empty bins included. NaN and infinite
+    values are in no bin; ``not_finite`` says how many there are."""
+    v = finite(col(column).cast("double"))
+    lo, hi, odd = df.agg(F.min(v), F.max(v), F.count_if(col(column).isNotNull() & v.isNull())).first()
     spark = df.sparkSession
     if lo is None:
-        return spark.createDataFrame([], "bin int, lower double, upper double, count long")
+        return spark.createDataFrame([], "bin int, lower double, upper double, count long, not_finite long")
     width = (hi - lo) / bins
     spot = F.least(F.floor((v - lo) / width), F.lit(bins - 1)).cast("int") if width else F.lit(0)
     counts = df.where(v.isNotNull()).groupBy(spot.alias("bin")).agg(F.count("*").alias("count"))
@@ -184,7 +210,8 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
         F.col("id").cast("int").alias("bin"), (F.lit(lo) + F.col("id") * width).alias("lower"),
         (F.lit(lo) + (F.col("id") + 1) * width).alias("upper"))
     return frame.join(F.broadcast(counts), "bin", "left").select(
-        "bin", "lower", "upper", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+        "bin", "lower", "upper", F.coalesce("count", F.lit(0)).cast("long").alias("count"),
+        F.lit(odd).cast("long").alias("not_finite"))
 
 
 def class_balance(df: DataFrame, target: str) -> DataFrame:

@@ -15,6 +15,7 @@ from sparktidy.functions.exprs import col, null_share
 from sparktidy.operators.knn import knn_impute
 from sparktidy.plans.ordering import fill_along
 from sparktidy.plans.quantiles import quantiles
+from sparktidy.plans.sampling import BITS, key_bits
 from sparktidy.plans.shape import rows_from
 
 STRATEGIES = ("drop", "mean", "median", "mode", "ffill", "bfill", "custom", "distribution", "knn")
@@ -105,8 +106,7 @@ def draw_normal(df: DataFrame, columns: list[str], key: list[str] | None = None,
             continue
 
         def uniform(part: int):
-            bits = F.pmod(F.xxhash64(*keys, F.lit(c), F.lit(seed), F.lit(part)), F.lit(2**52))
-            return (bits + 0.5) / float(2**52)
+            return (key_bits(keys, c, seed, part) + 0.5) / float(2**BITS)
 
         normal = F.sqrt(-2.0 * F.ln(uniform(1))) * F.cos(2.0 * math.pi * uniform(2))
         fills[c] = F.coalesce(col(c).cast("double"), F.lit(row[f"m{i}"]) + F.lit(row[f"s{i}"] or 0.0) * normal)

@@ -13,7 +13,7 @@ from sparktidy.functions import types as kinds
 from sparktidy.functions.exprs import col
 from sparktidy.functions.normal import inverse_normal, upper_tail
 from sparktidy.plans.shape import rows_from
-from sparktidy.plans.sampling import hash_limit
+from sparktidy.plans.sampling import BITS, key_bits
 
 SAMPLE_LIMIT = 5000
 
@@ -67,32 +67,41 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
 
 
 def shapiro_test(
-    df: DataFrame, columns: list[str] | None = None, alpha: float = 0.05, key: list[str] | None = None,
-    seed: int | None = None,
+    df: DataFrame, columns: list[str] | None = None, alpha: float = 0.05, seed: int | None = None,
+    most: int = SAMPLE_LIMIT,
 ) -> DataFrame:
-    """Shapiro-Wilk per column on at most 5000 values, chosen by a seeded hash
-    of the row. A limit on the hash keeps all but about a sample's worth of rows
-    out of the shuffle."""
+    """Shapiro-Wilk per column; ``n`` values tested of ``n_total``.
+
+    The test is defined for up to 5000 values, ``most``. Longer columns are
+    sampled by value counts: a value that holds a share of the rows gets that
+    share of the sample, the rest of it decided by a seeded hash of the value. So
+    the draw repeats, needs no key, and repeated rows are no trouble.
+    """
     columns = columns or kinds.numeric_columns(df)
     seed = get_config().random_state if seed is None else seed
-    pick = F.xxhash64(*[col(k) for k in key or df.columns], F.lit(seed))
-    counts = df.agg(*[F.count(col(c)) for c in columns]).first()
-    cells = F.array(*[
-        F.when(pick <= F.lit(hash_limit(n, SAMPLE_LIMIT)),
-               F.struct(F.lit(c).alias("column"), pick.alias("pick"), col(c).cast("double").alias("value")))
-        for c, n in zip(columns, counts)])
-    near = df.select(F.inline(F.filter(cells, lambda s: s.isNotNull()))).where(F.col("value").isNotNull())
-    order = Window.partitionBy("column").orderBy("pick", "value")
-    sample = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_LIMIT)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("value")) for c in columns])
+    counts = df.select(F.inline(cells)).where("value IS NOT NULL AND NOT isnan(value)").groupBy("column", "value").agg(
+        F.count("*").alias("copies"))
+    totals = counts.groupBy("column").agg(F.sum("copies").alias("n_total"))
+    wanted = F.when(F.col("n_total") <= most, F.col("copies").cast("double")).otherwise(
+        F.col("copies") * (most - 4 * math.sqrt(most)) / F.col("n_total"))
+    unit = key_bits([F.col("column"), F.col("value")], seed) / float(2**BITS)
+    drawn = counts.join(F.broadcast(totals), "column").withColumn("times", F.floor(wanted + unit).cast("int"))
+    drawn = drawn.withColumn("times", F.when(F.col("n_total") <= most, F.col("copies").cast("int")).otherwise(F.col("times")))
+    pick = key_bits([F.col("column"), F.col("value")], seed, "order")
+    sample = drawn.where("times > 0").select("column", "value", "n_total", pick.alias("pick"),
+                                             F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    order = Window.partitionBy("column").orderBy("pick", "value", "copy")
+    sample = sample.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         n = len(pdf)
         w, p = shapiro_wilk(pdf["value"].to_numpy()) if n >= 3 else (None, None)
-        return pd.DataFrame({"column": [pdf["column"].iloc[0]], "n": [n], "statistic": [w], "p_value": [p],
+        return pd.DataFrame({"column": [pdf["column"].iloc[0]], "n": [n], "n_total": [pdf["n_total"].iloc[0]], "statistic": [w], "p_value": [p],
                              "is_normal": [None if p is None else bool(p > alpha)]})
 
     return sample.groupBy("column").applyInPandas(
-        test, "column string, n long, statistic double, p_value double, is_normal boolean")
+        test, "column string, n long, n_total long, statistic double, p_value double, is_normal boolean")
 
 
 def jarque_bera(df: DataFrame, columns: list[str] | None = None, alpha: float = 0.05) -> DataFrame:

@@ -110,6 +110,8 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 10) ->
     """The ``k`` most frequent non-null values per column, count descending then
     value ascending. Counts are pre-aggregated before the shuffle."""
     columns = columns or kinds.categorical_columns(df)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, value string, count long, rank int")
     counts = (long_cells(df, columns).where(F.col("value").isNotNull())
               .groupBy("column", "value").agg(F.count("*").alias("count")))
     order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
@@ -146,16 +148,16 @@ def quality_summary(df: DataFrame, approx: bool = False) -> DataFrame:
     return left.join(F.broadcast(right), "__one").drop("__one")
 
 
-# Limits and texts of the issue rules.
+# Limits of the issue rules.
 HIGH_MISSING, MODERATE_MISSING = 50.0, 20.0
 ID_UNIQUE_PCT, ID_UNIQUE_COUNT = 95.0, 100
 HIGH_DUPLICATES, MEDIUM_DUPLICATES = 10.0, 1.0
 ADVICE = {
-    "high_missing_values": "Consider dropping this column or using advanced imputation",
-    "moderate_missing_values": "Consider imputation strategies",
-    "constant_column": "Consider dropping this column as it provides no information",
-    "potential_id_column": "This might be an ID column - consider removing for modeling",
-    "duplicate_rows": "Consider removing duplicate rows",
+    "high_missing_values": "mostly empty: leave it out, or fill it from other columns",
+    "moderate_missing_values": "fill the gaps before modelling",
+    "constant_column": "one value throughout: it separates nothing",
+    "potential_id_column": "nearly every value is its own: looks like a key, not a feature",
+    "duplicate_rows": "some rows are repeated: deduplicate",
 }
 
 

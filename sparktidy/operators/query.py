@@ -28,7 +28,16 @@ def to_records(df: DataFrame) -> DataFrame:
 def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], right_columns: list[str]) -> DataFrame:
     """For each left row the latest right row of the same group at or before it.
     Both sides share one ordered pass that carries the right values forward, so
-    a group holding much of the table is spread over ranges of the order key."""
+    a group holding much of the table is spread over ranges of the order key.
+    As in SQL, null keys match nothing: such right rows are left out, such left
+    rows have nulls on the right."""
+    all_left, right = left, right.na.drop(subset=[on, *by])
+    left = all_left.na.drop(subset=[on, *by])
+    lost = F.lit(False)
+    for k in (on, *by):
+        lost = lost | col(k).isNull()
+    unmatched = all_left.where(lost).select(
+        *[col(c) for c in all_left.columns], *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right_columns])
     carried = F.struct(*[col(c) for c in right_columns])
     names = [c for c in left.columns if c not in (on, *by)]
     keys = [*by, on]
@@ -40,7 +49,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], right_c
     filled = fill_along(a.unionByName(b), ["__right"], [on, "__side"], by)
     return filled.where(F.col("__side") == 1).select(
         *[F.col(f"__left.`{c}`").alias(c) if c in names else col(c) for c in left.columns],
-        *[F.col(f"__right.`{c}`").alias(c) for c in right_columns])
+        *[F.col(f"__right.`{c}`").alias(c) for c in right_columns]).unionByName(unmatched)
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str) -> DataFrame:

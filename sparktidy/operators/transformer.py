@@ -48,8 +48,10 @@ class FittedSteps:
             df = model.transform(df)
         return df
 
-    def to_dict(self) -> dict[str, Any]:
-        return {"steps": [{"name": name, **model.to_dict()} for name, model in self.steps]}
+    def to_dict(self, folder: str | None = None) -> dict[str, Any]:
+        """Parameters of all steps; large maps are written below ``folder``."""
+        return {"steps": [{"name": name, **(model.to_dict(f"{folder}/{i}") if folder and getattr(model, "tables", None)
+                                            else model.to_dict())} for i, (name, model) in enumerate(self.steps)]}
 
     @classmethod
     def from_dict(cls, d: dict[str, Any]) -> "FittedSteps":
@@ -59,8 +61,11 @@ class FittedSteps:
             steps.append((s["name"], MODELS[s["kind"]].from_dict(body)))
         return cls(steps)
 
-    def save(self, path: str | Path) -> None:
-        Path(path).write_text(json.dumps(self.to_dict()), encoding="utf-8")
+    def save(self, path: str | Path, tables: str | None = None) -> None:
+        """One JSON file; maps too large for it go to the folder ``tables``, by
+        default one beside the file."""
+        folder = tables or f"{path}.tables"
+        Path(path).write_text(json.dumps(self.to_dict(folder)), encoding="utf-8")
 
     @classmethod
     def load(cls, path: str | Path) -> "FittedSteps":

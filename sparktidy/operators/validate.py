@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sparktidy.functions import types as kinds
 from sparktidy.functions.exprs import col, null_share
-from sparktidy.plans.shape import rows_from
+from sparktidy.plans.shape import column_counts, rows_from
 
 VIOLATION = "column string, check string, severity string, message string, actual string, expected string"
 SHOWN_VALUES = 5
@@ -129,7 +129,7 @@ def _structure(df: DataFrame, schema: DataSchema) -> list[tuple]:
 def _counted(df: DataFrame, specs: list[ColumnSchema]) -> DataFrame | None:
     """Null, uniqueness and range checks: one aggregate over all columns."""
     numeric = set(kinds.numeric_columns(df))
-    aggs, tests = [F.count("*").alias("n")], []
+    aggs, tests, distinct = [F.count("*").alias("n")], [], {}
     n = F.col("n")
     for i, s in enumerate(specs):
         v, present = col(s.name), F.col(f"p{i}")
@@ -147,7 +147,7 @@ def _counted(df: DataFrame, specs: list[ColumnSchema]) -> DataFrame | None:
                 s.name, "max_missing_pct", "warning", F.format_string("%.1f%% missing exceeds the limit", pct),
                 F.format_string("%.1f%%", pct), f"≤{s.max_missing_pct:.1f}%")))
         if s.unique:
-            aggs.append(F.count_distinct(v).alias(f"u{i}"))
+            distinct[s.name] = f"u{i}"
             extra = present - F.col(f"u{i}")
             tests.append(F.when(extra > 0, _violation(
                 s.name, "unique", "error", F.format_string("%d duplicate value(s)", extra), F.col(f"u{i}"),
@@ -162,7 +162,12 @@ def _counted(df: DataFrame, specs: list[ColumnSchema]) -> DataFrame | None:
                 s.name, "max_value", "error", F.lit("maximum is above the limit"), F.col(f"hi{i}"), f"≤{s.max_value}")))
     if not tests:
         return None
-    return df.agg(*aggs).select(F.inline(F.filter(F.array(*tests), lambda t: t.isNotNull())))
+    row = df.agg(*aggs)
+    if distinct:  # counted in one pass over cells; several count(DISTINCT) would repeat every row
+        counts = column_counts(df, list(distinct)).agg(*[
+            F.max(F.when(F.col("column") == c, F.col("distinct"))).alias(u) for c, u in distinct.items()])
+        row = row.withColumn("__one", F.lit(1)).join(F.broadcast(counts.withColumn("__one", F.lit(1))), "__one")
+    return row.select(F.inline(F.filter(F.array(*tests), lambda t: t.isNotNull())))
 
 
 def _whitelisted(df: DataFrame, specs: list[ColumnSchema]) -> DataFrame | None:

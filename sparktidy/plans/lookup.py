@@ -7,34 +7,28 @@ from pyspark.sql import DataFrame, functions as F
 from sparktidy.functions.exprs import col
 
 HOT_LIMIT = 1000
-SPREAD = 4096
 
 
-def lookup(df: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+def lookup(df: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
     """Left join ``df`` with ``table`` (one row per ``key`` value, carrying the
     value's row count in ``weight``). Null keys match nothing.
 
-    Values above a 1/HOT_LIMIT share of all rows number at most HOT_LIMIT, so
-    they are broadcast. In the shuffle join, the rows they already served and
-    the rows without a key are spread by a salt that matches nothing, so no task
-    receives a hot value.
+    The HOT_LIMIT most frequent values of ``df`` itself (on a stream: of the
+    table, by weight), known to the table or not, are matched by a broadcast of
+    as many rows. Their rows and those without a key are not shuffled at all;
+    only the others meet the table in a shuffle join, where no value is frequent.
     """
     payload = [c for c in table.columns if c not in (key, weight)]
-    is_hot = col(weight) > F.lit(max(total // HOT_LIMIT, 1))
-    hot = table.where(is_hot).select(
-        col(key), F.lit(True).alias("__hot"), *[col(c).alias(f"__hot_{c}") for c in payload])
-    cold = table.where(~is_hot & col(key).isNotNull()).select(
-        F.xxhash64(col(key)).alias("__place"), col(key).alias("__cold_key"),
-        *[col(c).alias(f"__cold_{c}") for c in payload])
-    # Rows still to be matched go where their key's table row is; the others
-    # go to one of SPREAD places and fail the key comparison.
-    spread = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(SPREAD))
-    served = F.col("__hot") | col(key).isNull()
-    tagged = df.join(F.broadcast(hot), key, "left").withColumn(
-        "__place", F.when(served, spread).otherwise(F.xxhash64(col(key))))
-    same = ((F.col("a.__place") == F.col("b.__place")) & F.col("a.__hot").isNull()
-            & (F.col(f"a.`{key}`") == F.col("b.__cold_key")))
-    joined = tagged.alias("a").join(cold.alias("b"), same, "left")
-    return joined.select(
-        *[F.col(f"a.`{c}`") for c in df.columns],
-        *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in payload])
+    if df.isStreaming:
+        most = table.select(col(key).alias("__hot_key"), col(weight).alias("__freq"))
+    else:
+        most = df.where(col(key).isNotNull()).groupBy(col(key).alias("__hot_key")).agg(F.count("*").alias("__freq"))
+    most = most.orderBy(F.desc("__freq"), "__hot_key").limit(HOT_LIMIT).select("__hot_key")
+    known = table.select(col(key).alias("__known"), *[col(c).alias(f"__of_{c}") for c in payload])
+    hot = most.join(known, F.col("__hot_key") == F.col("__known"), "left").drop("__known").withColumn("__hot", F.lit(True))
+    tagged = df.join(F.broadcast(hot), col(key) == F.col("__hot_key"), "left")
+    served = F.col("__hot").isNotNull() | col(key).isNull()
+    names = [col(c) for c in df.columns]
+    done = tagged.where(served).select(*names, *[F.col(f"__of_{c}").alias(c) for c in payload])
+    rest = tagged.where(~served).select(*names).join(known, col(key) == F.col("__known"), "left")
+    return done.unionByName(rest.select(*names, *[F.col(f"__of_{c}").alias(c) for c in payload]))

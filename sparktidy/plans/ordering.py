@@ -1,9 +1,10 @@
 """Order-dependent work over a whole table without one giant window.
 
-Rows are cut into ranges of the order key. A window runs inside each range, a
-summary with one row per (group, range) carries state across ranges, and a join
+Rows are cut into ranges of the whole order key. A window runs inside each range,
+a summary with one row per (group, range) carries state across ranges, and a join
 brings the carry back.  A group that holds a third of the table is spread over
-many ranges instead of landing in one task.
+many ranges instead of landing in one task, and so is a first key column that
+many rows share.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from sparktidy.errors import DataValidationError
 from sparktidy.functions.exprs import col
 from sparktidy.plans.quantiles import as_splits, cut_values
+from sparktidy.session import materialize
 
-# The number of ranges follows the table, so a range stays one task's work.
+# The number of ranges follows the table, so a range stays one task's work. The
+# upper limit holds for cuts of a numeric axis only, where oversized cells are divided.
 RANGE_ROWS, MIN_RANGES, MAX_RANGES = 500_000, 16, 8192
-SPREAD = 4096
 RANGE, GROUP = "__range", "__group"
 
 
@@ -32,9 +34,6 @@ def _key(df: DataFrame, name: str) -> Column:
         return F.unix_date(c).cast("double")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(dtype, T.StringType):
-        head = F.rpad(F.substring(F.hex(c), 1, 12), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
     raise DataValidationError(f"cannot order by {name}: {dtype.simpleString()}")
 
 
@@ -60,6 +59,16 @@ def with_ranges(df: DataFrame, order_by: str, cuts: list[float] | None = None) -
     return cut.withColumn(RANGE, F.col(RANGE).cast("int")).drop("__key")
 
 
+def ordered_ranges(df: DataFrame, order_by: list[str]) -> DataFrame:
+    """Add the range number of every row along the complete key list, texts in
+    full. Spark samples the cut points; the table is written once so that every
+    later read sees the same ranges. Their number follows the rows, without an
+    upper limit."""
+    ranges = max(MIN_RANGES, -(-df.count() // RANGE_ROWS))
+    placed = df.repartitionByRange(ranges, *[col(c).asc_nulls_first() for c in order_by])
+    return materialize(placed.withColumn(RANGE, F.spark_partition_id()), "ranges")
+
+
 def _carry_back(local: DataFrame, carry: DataFrame, grouped: bool) -> DataFrame:
     """Join the per-range carry. Without groups it has one row per range."""
     if grouped:
@@ -79,7 +88,7 @@ def fill_along(
     if not order_by:
         raise DataValidationError("forward and backward fill need order_by")
     names = df.columns
-    work = _grouped(with_ranges(df, order_by[0]), list(partition_by))
+    work = _grouped(ordered_ranges(df, order_by), list(partition_by))
     order = [col(c).asc() if forward else col(c).desc() for c in order_by]
     range_order = F.col(RANGE).asc() if forward else F.col(RANGE).desc()
     rank = F.struct(*[col(c) for c in order_by])
@@ -103,7 +112,7 @@ def running_total(
 ) -> DataFrame:
     """Inclusive running sum of ``weight`` along the order key."""
     names = df.columns
-    work = _grouped(with_ranges(df.withColumn("__w", weight), order_by[0]), list(partition_by))
+    work = _grouped(ordered_ranges(df.withColumn("__w", weight), order_by), list(partition_by))
     so_far = (Window.partitionBy(GROUP, RANGE).orderBy(*[col(c) for c in order_by])
               .rowsBetween(Window.unboundedPreceding, 0))
     earlier = Window.partitionBy(GROUP).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
@@ -117,28 +126,3 @@ def running_total(
 def row_numbers(df: DataFrame, order_by: list[str], name: str = "row_number") -> DataFrame:
     """1-based position of every row along the order key."""
     return running_total(df, F.lit(1).cast("long"), order_by, name)
-
-
-def rank_rows(df: DataFrame, column: str, name: str, cuts: list[float]) -> DataFrame:
-    """Average rank (ties shared) of every row by a non-null numeric column.
-
-    Rows of a range that holds one value all tie: they take their rank from the
-    range's counts and are spread at random instead of meeting in one task.
-    """
-    names = df.columns
-    work = with_ranges(df, column, cuts)
-    earlier = Window.partitionBy("__all").orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    summary = work.groupBy(RANGE).agg(
-        F.count("*").alias("__n"), F.min(col(column)).alias("__lo"), F.max(col(column)).alias("__hi"))
-    summary = summary.withColumn("__all", F.lit(0)).select(
-        RANGE, "__n", (F.col("__lo") == F.col("__hi")).alias("__tied"),
-        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    spread = F.pmod(F.xxhash64(*[col(c) for c in names]), F.lit(SPREAD))
-    placed = work.join(F.broadcast(summary), RANGE).withColumn(
-        "__spread", F.when(F.col("__tied"), spread).otherwise(F.lit(0)))
-    piece = Window.partitionBy(RANGE, "__spread")
-    local = F.rank().over(piece.orderBy(col(column)))
-    ties = F.count("*").over(Window.partitionBy(RANGE, "__spread", column))
-    ranked = placed.withColumn("__local", local).withColumn("__ties", ties)
-    own = F.when(F.col("__tied"), (F.col("__n") + 1) / 2.0).otherwise(F.col("__local") + (F.col("__ties") - 1) / 2.0)
-    return ranked.select(*[col(c) for c in names], (F.col("__before") + own).alias(name))

@@ -39,7 +39,13 @@ def load_data(
 
     Declare ``schema`` for large CSV or JSON inputs: inference costs a pass.
     CSV cells that do not parse become null.
+
+    ``json_lines``: True reads one record per line, False whole files (an array,
+    or an object over several lines: one task per file). By default the first
+    line decides. ``multiLine`` does the same for CSV cells that hold line ends;
+    by default one pass looks for quotes that a line leaves open.
     """
+    json_lines = options.pop("json_lines", None)
     fmt = (format or detect_format(path)).lower()
     config = get_config()
     if "encoding" in options:
@@ -47,12 +53,16 @@ def load_data(
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
         settings = {"header": True, "sep": config.csv_delimiter, "encoding": config.default_encoding,
-                    "mode": "PERMISSIVE", "escape": '"', "multiLine": False}
+                    "mode": "PERMISSIVE", "escape": '"'}
+        if "multiLine" not in options:
+            settings["multiLine"] = _open_quotes(spark, path, options.get("quote", '"'))
         if schema is None:
             settings |= {"inferSchema": True, "samplingRatio": CSV_INFER_RATIO}
         reader, source = reader.options(**{**settings, **options}), "csv"
     elif fmt == "json":
-        reader, source = reader.options(**{"multiLine": True, **options}), "json"
+        if "multiLine" not in options:
+            options["multiLine"] = not (_one_record_a_line(spark, path) if json_lines is None else json_lines)
+        reader, source = reader.options(**options), "json"
     elif fmt == "jsonl":
         reader, source = reader.options(**options), "json"
     elif fmt == "parquet":
@@ -65,6 +75,29 @@ def load_data(
         raise DataLoadError(f"cannot load {path}: {error.getMessage() or error}") from error
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.text(str(path)).where(F.trim("value") != "")
+    except AnalysisException as error:
+        raise DataLoadError(f"cannot load {path}: {error.getMessage() or error}") from error
+
+
+def _one_record_a_line(spark: SparkSession, path: str) -> bool:
+    """Whether the first line is a whole object. Only its ends reach the driver."""
+    line = F.trim(F.translate("value", "\t\r\ufeff", "   "))
+    ends = _lines(spark, path).select(F.substring(line, 1, 1), F.substring(line, -1, 1)).head(1)
+    return not ends or tuple(ends[0]) == ("{", "}")
+
+
+def _open_quotes(spark: SparkSession, path: str, quote: str) -> bool:
+    """Whether a line holds an odd number of quotes, as it does where a cell goes
+    on in the next line. Stops at the first one found."""
+    if not quote:
+        return False
+    n = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))
+    return bool(_lines(spark, path).where(n % 2 == 1).select(F.lit(1)).head(1))
+
+
 def scan_lazy(spark: SparkSession, path: str, **options: Any) -> DataFrame:
     """Every Spark table is lazy; filters and columns reach the scan."""
     return load_data(spark, path, **options)
@@ -114,7 +147,8 @@ def save_data(
     config = get_config()
     settings: dict[str, Any] = {}
     if fmt == "csv":
-        settings = {"header": True, "sep": config.csv_delimiter, "escape": '"', "emptyValue": '""', **WRITTEN_TIMES}
+        settings = {"header": True, "sep": config.csv_delimiter, "escape": '"', "emptyValue": '""',
+                    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, **WRITTEN_TIMES}
     if fmt == "json":
         settings = {"ignoreNullFields": False, **WRITTEN_TIMES}
     if config.export_compression:
@@ -128,9 +162,11 @@ def save_data(
         raise ExportError(f"cannot write {path}: {error.getMessage() or error}") from error
 
 
-def convert_format(spark: SparkSession, source: str, target: str, format: str | None = None, **options: Any) -> None:
-    """Rewrite a table in another format, the one asked for."""
-    save_data(load_data(spark, source), target, format=format, **options)
+def convert_format(spark: SparkSession, source: str, target: str, format: str | None = None,
+                   read_options: dict[str, Any] | None = None, **options: Any) -> None:
+    """Rewrite a table in another format, the one asked for. ``read_options`` go
+    to the reader, the others to the writer."""
+    save_data(load_data(spark, source, **(read_options or {})), target, format=format, **options)
 
 
 def processed_name(path: str) -> str:

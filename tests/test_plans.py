@@ -5,10 +5,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sparktidy.operators import explore
 from sparktidy.plans import ordering
 from sparktidy.plans.lookup import lookup
 from sparktidy.plans.quantiles import exact_quantiles
-from sparktidy.plans.sampling import hash_limit
+from sparktidy.plans.sampling import hash_limit, key_bits
 
 PROBS = [0.0, 0.05, 0.25, 1 / 3, 0.5, 0.9, 1.0]
 
@@ -71,10 +72,30 @@ def test_row_numbers(skewed, many_ranges):
 def test_ranks_with_ties(skewed, many_ranges):
     df, pdf = skewed
     for c in ("k", "w"):
-        cuts = ordering.range_cuts(df, [c])[c]
-        got = ordering.rank_rows(df, c, "r", cuts).toPandas().set_index("id").r.sort_index()
-        want = pdf.set_index("id")[c].rank().sort_index()
-        assert np.allclose(got, want), c
+        got = explore._value_ranks(df.select(F.col(c).cast("double").alias(c)), c).toPandas().set_index("v").r
+        want = pdf[c].rank().groupby(pdf[c]).first()
+        assert np.allclose(got.sort_index(), want.sort_index()), c
+
+
+def rows_per_range(df, order_by):
+    return [r["count"] for r in ordering.ordered_ranges(df, order_by).groupBy(ordering.RANGE).count().collect()]
+
+
+def test_ranges_cut_on_the_whole_key(spark, many_ranges):
+    """A tied first column and a long common prefix do not fill one range."""
+    df = spark.range(4000).select("id", F.lit(1).alias("tied"), F.format_string("a common beginning %06d", "id").alias("t"))
+    for key in (["tied", "id"], ["t"]):
+        assert max(rows_per_range(df, key)) < 400
+    got = ordering.row_numbers(df, ["tied", "t"]).toPandas()
+    assert (got.row_number == got.id + 1).all()
+
+
+def test_served_rows_are_not_shuffled(spark):
+    """Half of the rows hold one value the table does not know."""
+    df = spark.range(4000).select(F.expr("CASE WHEN id % 2 = 0 THEN -1 ELSE id END").alias("k"))
+    table = spark.range(4000).select(F.col("id").alias("k"), F.lit(1).alias("n"), (F.col("id") * 3).alias("v"))
+    out = lookup(df, table, "k", "n")
+    assert out.where("k = -1 AND v IS NULL").count() == 2000 and out.where("v = k * 3").count() == 2000
 
 
 def test_order_by_text_and_dates(spark, many_ranges):
@@ -88,14 +109,14 @@ def test_order_by_text_and_dates(spark, many_ranges):
 def test_lookup_with_hot_and_missing_keys(spark):
     df = spark.range(9000).select("id", F.expr("CASE WHEN id % 3 = 0 THEN 5 WHEN id % 10 = 1 THEN NULL ELSE id END").alias("k"))
     table = df.where("k IS NOT NULL AND k % 7 <> 1").groupBy("k").agg(F.count("*").alias("n"), (F.max("k") * 2).alias("double"))
-    got = lookup(df, table, "k", "n", 9000).toPandas()
+    got = lookup(df, table, "k", "n").toPandas()
     want = np.where(got.k.isna() | (got.k % 7 == 1), np.nan, got.k * 2)
     assert len(got) == 9000
     assert np.allclose(got["double"].to_numpy("float64"), want, equal_nan=True)
 
 
 def test_hash_limit_keeps_enough(spark):
-    near = spark.range(100_000).where(F.xxhash64("id") <= F.lit(hash_limit(100_000, 1000))).count()
+    near = spark.range(100_000).where(key_bits([F.col("id")]) <= F.lit(hash_limit(100_000, 1000))).count()
     assert 1000 <= near < 2000
 
 
