@@ -75,7 +75,7 @@ def _lines(texts: list[str | None]) -> tuple[list[int], list[int]]:
 
 def count_rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The counts behind the rules for batches whose last column is the text."""
-    for batch in batches:
+    for batch in W.parts(batches):
         texts = batch.column(batch.num_columns - 1)
         found = {name: np.zeros(len(texts), np.int64) for name in COUNTS}
         for first, last, raw, offsets in W.slices(texts):

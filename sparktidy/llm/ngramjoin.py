@@ -69,7 +69,7 @@ def sets_of(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
 def _count(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        for batch in W.parts(batches):
             found = [s for _, s in sets_of(batch.column(0), n)]
             if found:
                 total += np.bincount((np.concatenate(found) % np.uint64(COUNTERS)).astype(np.int64),
@@ -102,7 +102,7 @@ def prefix_length(size: int, percent: int) -> int:
 def _ordered(n: int, percent: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = order.value
-        for batch in batches:
+        for batch in W.parts(batches):
             sizes, prefixes, spread, marks = [], [], [], []
             for _, own in sets_of(batch.column(1), n):
                 by = np.lexsort((own, rank[(own % np.uint64(COUNTERS)).astype(np.int64)]))
@@ -153,7 +153,7 @@ def _hit(field: np.ndarray, column: pa.Array) -> np.ndarray:
 
 def _sets(n: int, field):
     def run(batches):
-        for batch in batches:
+        for batch in W.parts(batches):
             batch = batch.filter(pa.array(_hit(field.value, batch.column(0))))
             found = [s.view(np.int64) for _, s in sets_of(batch.column(1), n)]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)

@@ -101,7 +101,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
 def measure(docs: DataFrame) -> DataFrame:
     """``doc_id, stats`` of whole texts, written once: a hundred bytes a row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.parts(batches):
             found = statistics(batch.column(1)).astype(np.float32)
             offsets = np.arange(0, found.size + 1, len(NAMES), dtype=np.int32)
             yield pa.RecordBatch.from_arrays(

@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparktidy.llm.words import parts
+
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
     "а": "a", "ɑ": "a", "α": "a", "в": "b", "ь": "b", "β": "b", "с": "c", "ϲ": "c", "ԁ": "d", "е": "e", "ε": "e",
@@ -224,7 +226,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, how: Learning = Learning
     a, b = calibrate(seen.column("x").to_numpy(), seen.column("label").to_numpy().astype(float))
 
     def scored(batches):
-        for batch in batches:
+        for batch in parts(batches):
             folded = [fold(t) for t in batch.column(1).to_pylist()]
             hits = [matcher.hits(t) for t in folded]
             x = np.array([sum(h.values()) / math.log(2 + t.count(" ")) for h, t in zip(hits, folded)], float)

@@ -35,6 +35,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that what a task derives from a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 @lru_cache(maxsize=4)
 def _powers(n: int) -> np.ndarray:
     steps = np.full(n, BASE, np.uint64)  # kept in 64 whole bits: a float in between would lose the low ones
@@ -47,9 +54,11 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     whole texts; ``offsets`` count from the slice's start. Null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
         return
+    texts = texts.cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
     _, places, data = texts.buffers()
     offsets = np.frombuffer(places, np.int64)[texts.offset: texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
