@@ -35,8 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-MEMORY_WORDS = 400_000  # distinct words whose encodings a Python worker keeps
-BATCH_ROWS = 512  # texts whose words form one trie
+from sparktidy.llm.tables import small_batches
+
+MEMORY_WORDS = 150_000  # distinct words whose encodings a Python worker keeps
+MEMORY_PAIRS = 200_000  # token pairs whose verdicts it keeps
+TRIE_ROWS = 512  # texts whose words form one trie
 
 
 def _classes(last: int) -> tuple[str, str, str]:
@@ -90,7 +93,7 @@ class Codec:
             self.merged[a, b] = rank
             if whole not in self.rank:
                 self.rank[whole], self.parts[whole] = rank, (a, b)
-        self.joint: dict[tuple[int, int], bool] = {}
+        self.joint: dict[int, bool] = {}  # by left << 32 | right
         #: Tokens that their own bytes encode to: both halves are, and they stay side by side until they are merged.
         self.reach = {t for t in self.ids.values() if len(self.bytes[t]) == 1}
         for whole in sorted(self.rank, key=self.rank.get):
@@ -110,9 +113,11 @@ class Codec:
         Undo the merges inside both, the later one first: the pieces at the
         border must never form a merge that comes before the merges undone so
         far, as that merge would have been made first."""
-        known = self.joint.get((left, right))
+        known = self.joint.get(left << 32 | right)
         if known is None:
-            known = self.joint[left, right] = self._apart(left, right, (len(self.merged), 0))
+            if len(self.joint) >= MEMORY_PAIRS:
+                self.joint.clear()
+            known = self.joint[left << 32 | right] = self._apart(left, right, (len(self.merged), 0))
         return known
 
     def _apart(self, left: int, right: int, before: tuple[int, int]) -> bool:
@@ -152,7 +157,7 @@ class Codec:
                     if begin == 0:
                         break
                     left = last[begin - 1]
-                    good = joint.get((left, token))
+                    good = joint.get(left << 32 | token)
                     if good is None:
                         good = fits(left, token)
                     if good:
@@ -206,6 +211,7 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns, ``n_tokens``, ``ids`` and ``round_trip``: whether the ids
     decode to the text they came from."""
+    small_batches(docs.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     inner = [f"__k{i}" for i in range(len(keep))]
     narrow = docs.select(*[F.col(k).alias(i) for k, i in zip(keep, inner)], F.col(text).alias("__text"))
@@ -213,8 +219,8 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text
     def run(batches):
         own = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for at in range(0, batch.num_rows, TRIE_ROWS):
+                part = batch.slice(at, TRIE_ROWS)
                 texts = [t or "" for t in part.column(len(keep)).to_pylist()]
                 ids = own.encode_batch(texts)
                 offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
@@ -251,11 +257,13 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per document. One stage
     without a shuffle; ids and decoded texts leave the worker as digests."""
+    small_batches(docs.sparkSession)
+
     def run(batches):
         own, sha = codec(path), hashlib.sha256
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for at in range(0, batch.num_rows, TRIE_ROWS):
+                part = batch.slice(at, TRIE_ROWS)
                 ids = own.encode_batch([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()),

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparktidy.llm import words as W
-from sparktidy.llm.tables import ddl, hide, show
+from sparktidy.llm.tables import ddl, hide, show, small_batches
 from sparktidy.session import materialize
 
 SYMBOLS = np.zeros(256, bool)
@@ -159,6 +159,7 @@ def judge_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
     The text is read once and dropped at once; what follows moves a few numbers
     per document. A document goes if it fails a rule itself or if its host is
     rejected."""
+    small_batches(docs.sparkSession)
     rules = rule_columns(limits)
     narrow = docs.select(F.col(key).alias("doc_id"), F.col(host).alias("__host"), F.col(text).alias("__text"))
     schema = ", ".join([f"doc_id {dict(narrow.dtypes)['doc_id']}", f"__host {dict(narrow.dtypes)['__host']}",
@@ -175,6 +176,7 @@ def judge_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
 def keep_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that pass, with the columns they came with. Documents and
     their rule failures are written once; only hosts meet in a shuffle."""
+    small_batches(docs.sparkSession)
     rules = rule_columns(limits)
     hidden, inner = hide(docs)
     counted = hidden.withColumn("__text", F.col(inner["text"])).mapInArrow(

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparktidy.llm.tables import small_batches
+
 SIZE = 1024  # components of a vector
 GRAM = 3
 BLOCK_LETTERS = 1 << 19  # letters whose n-grams are counted at once
@@ -170,4 +172,5 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
 
 
 def identify(docs: DataFrame, how: Profiles = Profiles()) -> DataFrame:
+    small_batches(docs.sparkSession)
     return predict(docs, learn(docs, how))

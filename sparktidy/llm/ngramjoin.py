@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparktidy.llm import words as W
-from sparktidy.llm.tables import ddl, hide, show
+from sparktidy.llm.tables import ddl, hide, show, small_batches
 from sparktidy.session import materialize
 
 COUNTERS = 1 << 20  # counters of the global order, 2 MB as it is broadcast
@@ -208,6 +208,7 @@ def _reachable(percent: int) -> Column:
 class _Join:
     def __init__(self, docs: DataFrame, how: Jaccard):
         self.how, self.spark = how, docs.sparkSession
+        small_batches(self.spark)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.sc = self.spark.sparkContext
 

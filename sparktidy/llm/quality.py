@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparktidy.llm import words as W
 from sparktidy.llm.toxicity import held_out, labelled_sample
+from sparktidy.llm.tables import small_batches
 from sparktidy.session import materialize
 
 NAMES = ["log_words", "word_chars", "long_words", "capitals", "digits", "signs", "marks", "beyond_ascii", "log_lines",
@@ -108,6 +109,7 @@ def measure(docs: DataFrame) -> DataFrame:
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))],
                 ["doc_id", "stats"])
 
+    small_batches(docs.sparkSession)
     narrow = docs.select("doc_id", "text")
     return materialize(narrow.mapInArrow(run, f"doc_id {dict(narrow.dtypes)['doc_id']}, stats array<float>"), "stats")
 

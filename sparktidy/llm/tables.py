@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts travel to Python in batches of so many rows at most: Spark's
+    usual ten thousand would be gigabytes of long texts. A lower setting stays."""
+    now = int(spark.conf.get(BATCH_SETTING, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
 
 def hide(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

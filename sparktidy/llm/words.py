@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20  # bytes of text that are cut at once; one longer text is a slice of its own
+SLICE_BYTES = 1 << 20  # bytes of text that are cut at once; one longer text is a slice of its own
 GAPS = np.zeros(256, bool)
 GAPS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -97,7 +97,7 @@ def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(lengths)])
     first = 0
     while first < len(starts):  # some words at a time, so that the arrays per byte stay small
-        last = max(first + 1, int(np.searchsorted(total, total[first] + (1 << 20), "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(total, total[first] + (1 << 18), "right")) - 1)
         own, opens = lengths[first:last], total[first:last] - total[first]
         place = np.arange(total[last] - total[first]) - np.repeat(opens, own)
         with np.errstate(over="ignore"):
