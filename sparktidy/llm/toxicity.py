@@ -23,7 +23,7 @@ import math
 import re
 import unicodedata
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import ahocorasick
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparktidy.llm.tables import small_batches
 from sparktidy.llm.words import parts
 
 # Letters of other scripts that look like Latin ones.
@@ -48,6 +49,7 @@ HIDDEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"  # fixed: characters without wid
 LETTERS = str.maketrans(LOOKALIKES | {"l": "i"} | dict.fromkeys(HIDDEN))
 MARKS = re.compile("[\u0300-\u036f]+")
 SUBSTITUTED = re.compile(r"(?<=[a-z])[0-9@$!|]+(?=[a-z])|(?<![0-9a-z@$!|])[@$](?=[a-z])|(?<![0-9a-z])[0-9]{1,2}(?=[a-z])|(?<=[a-z])[0-9]{1,2}(?![0-9a-z])")
+STAND_INS = re.compile("[0-9@$!|]")
 GAP = re.compile(r"[\W_]+")
 
 
@@ -55,8 +57,9 @@ GAP = re.compile(r"[\W_]+")
 class Learning:
     """Bounds and limits of the fit; all rows are scored."""
 
-    most_toxic: int = 10_000  # labelled documents of either kind in the sample
-    most_other: int = 20_000
+    most_toxic: int = 5_000  # labelled documents of either kind in the sample
+    most_other: int = 10_000
+    most_candidates: int = 100_000  # entries of toxic documents, by support
     least_support: int = 6  # different words before an entry, in toxic documents
     least_weight: float = 2.5  # log odds
     most_entries: int = 20_000
@@ -71,7 +74,8 @@ def fold(text: str | None) -> str:
     if not text.isascii():
         text = MARKS.sub("", unicodedata.normalize("NFKD", text)).lower()
     text = text.translate(LETTERS) if not text.isascii() else text.replace("l", "i")
-    text = SUBSTITUTED.sub(lambda m: m[0].translate(STANDS_FOR), text).replace("l", "i")
+    if STAND_INS.search(text):
+        text = SUBSTITUTED.sub(lambda m: m[0].translate(STANDS_FOR), text).replace("l", "i")
     return f" {GAP.sub(' ', text).strip()} "
 
 
@@ -93,40 +97,63 @@ def labelled_sample(labels: DataFrame, name: str, most: dict[int, int]) -> DataF
     return usable.where(draw < share)
 
 
+def _entries(word: str, beginnings: tuple[int, ...]) -> list[str]:
+    """What a folded word may be in the lexicon as: itself and its beginnings."""
+    if len(word) < 3:
+        return []
+    return [f" {word} ", *(f" {word[:n]}" for n in beginnings if len(word) > n)]
+
+
 def _supports(beginnings: tuple[int, ...]):
     def run(batches):
         for batch in batches:
             seen = set()
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text in batch.column(0).to_pylist():
                 before = 0
                 for word in fold(text).split():
-                    own = zlib.crc32(word.encode())
-                    if len(word) >= 3:
-                        seen.add((f" {word} ", before, label))
-                        for n in beginnings:
-                            if len(word) > n:
-                                seen.add((f" {word[:n]}", before, label))
-                    before = own
-            rows = list(zip(*seen)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32())],
-                ["entry", "before", "label"])
+                    seen.update((entry, before) for entry in _entries(word, beginnings))
+                    before = zlib.crc32(word.encode())
+            rows = list(zip(*seen)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64())],
+                                             ["entry", "before"])
+
+    return run
+
+
+def _occurrences(wanted: frozenset[str], beginnings: tuple[int, ...]):
+    def run(batches):
+        for batch in batches:
+            seen: Counter[str] = Counter()
+            for text in batch.column(0).to_pylist():
+                for word, n in Counter(fold(text).split()).items():
+                    for entry in _entries(word, beginnings):
+                        if entry in wanted:
+                            seen[entry] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
+                                             ["entry", "n"])
 
     return run
 
 
 def learn_lexicon(sample: DataFrame, how: Learning) -> dict[str, float]:
-    """Entries with their log odds from ``text, label`` rows."""
-    found = sample.select("text", "label").mapInArrow(
-        _supports(how.beginnings), "entry string, before long, label int").distinct()
-    counts = found.groupBy("entry").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("f"))
-    total = counts.where(F.col("entry").endswith(" ")).agg(F.sum("t"), F.sum("f")).first()
-    if not total[0] or not total[1]:
+    """Entries with their log odds from ``text, label`` rows. Toxic documents name
+    the candidates, with their support; the others are only asked how often they
+    hold them."""
+    words = {r["label"]: r["n"] for r in sample.groupBy("label").agg(
+        F.sum(F.size(F.split("text", r"\s+"))).alias("n")).collect()}
+    if not words.get(1) or not words.get(0):
         return {}
-    weight = F.log((F.col("t") + 0.5) / F.lit(total[0] + 1.0)) - F.log((F.col("f") + 0.5) / F.lit(total[1] + 1.0))
-    kept = counts.where(F.col("t") >= how.least_support).withColumn("weight", weight).where(
-        F.col("weight") >= how.least_weight).orderBy(F.desc(F.col("t") * F.col("weight")), "entry").limit(how.most_entries)
-    return {r["entry"]: r["weight"] for r in kept.select("entry", "weight").collect()}
+    found = sample.where("label = 1").select("text").mapInArrow(
+        _supports(how.beginnings), "entry string, before long").distinct()
+    named = found.groupBy("entry").agg(F.count("*").alias("t")).where(F.col("t") >= how.least_support)
+    support = {r["entry"]: r["t"] for r in named.orderBy(F.desc("t"), "entry").limit(how.most_candidates).collect()}
+    held = sample.where("label = 0").select("text").mapInArrow(
+        _occurrences(frozenset(support), how.beginnings), "entry string, n long")
+    other = {r["entry"]: r["n"] for r in held.groupBy("entry").agg(F.sum("n").alias("n")).collect()}
+    weights = {e: math.log((t + 0.5) / (words[1] + 1)) - math.log((other.get(e, 0) + 0.5) / (words[0] + 1))
+               for e, t in support.items()}
+    kept = sorted((e for e, w in weights.items() if w >= how.least_weight), key=lambda e: (-support[e] * weights[e], e))
+    return {e: weights[e] for e in kept[: how.most_entries]}
 
 
 class Matcher:
@@ -211,6 +238,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
 
 def score_documents(docs: DataFrame, labels: DataFrame, how: Learning = Learning()) -> DataFrame:
     """``doc_id, held_out, score, predicted, n_hits`` per document."""
+    small_batches(docs.sparkSession)
     chosen = labelled_sample(labels, "toxic", {0: how.most_other, 1: how.most_toxic})
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
     lexicon = learn_lexicon(sample, how)
