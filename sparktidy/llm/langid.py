@@ -124,7 +124,8 @@ def learn(docs: DataFrame, how: Profiles = Profiles()) -> dict[str, np.ndarray]:
     counts = usable.groupBy("lang").agg(F.count("*").alias("n")).withColumn("share", F.least(
         F.lit(1.0), F.lit(float(how.most_per_language)) / F.col("n"))).select("lang", "share")
     draw = F.pmod(F.xxhash64(F.lit("profile"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.join(counts, "lang").where(draw < F.col("share")).select("lang", "text")
+    # one row a language, as many as there are prototypes; texts stay where they are
+    sample = usable.join(F.broadcast(counts), "lang").where(draw < F.col("share")).select("lang", "text")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
