@@ -3,7 +3,8 @@
 Patterns find candidates in the whole text. Every candidate value is hashed, and
 the hashes are counted over the corpus by distinct repositories (here: documents
 of a source) and distinct owners (sources). A value that many owners hold is a
-widely copied example; one that few hold and that looks random is taken as live.
+widely copied example; one that few hold and that looks random is taken as live,
+in however many of their documents it stands.
 
 Defined cases: a null text is empty and has no spans (their digest is that of the
 empty string); a null owner is an owner of its own; repeated rows each get their
@@ -33,7 +34,6 @@ class Ownership:
     """When a value counts as somebody's own."""
 
     most_owners: int = 2
-    most_repositories: int = 50
     least_distinct: int = 8  # different characters of a value that looks random
 
 
@@ -90,8 +90,7 @@ def ownership(spans: DataFrame, own: Ownership = Ownership()) -> DataFrame:
     owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.max("live").alias("live"))
     counted = owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"),
                                          F.max("live").alias("live"))
-    few = (F.col("owners") <= own.most_owners) & (F.col("repositories") <= own.most_repositories)
-    return counted.select("hash", "owners", "repositories", F.when(~few, "example").when(
+    return counted.select("hash", "owners", "repositories", F.when(F.col("owners") > own.most_owners, "example").when(
         F.col("live"), "live").otherwise("dull").alias("verdict"))
 
 

@@ -51,6 +51,14 @@ def test_ownership(docs_of):
     assert found[200].spans == ""  # widely copied: nothing is added
 
 
+def test_many_documents_of_few_owners(docs_of):
+    for n in (1, 51, 400):
+        docs = docs_of([(i, f"footer {OWN} of page {i}", "s1") for i in range(n)] + [(1000, f"token={KEY}z9", "s2")])
+        found = {r.doc_id: r for r in secrets.scan(docs).collect()}
+        assert all(found[i].spans == "owned:7:29" and found[i].n_live == 1 and found[i].n_example == 0 for i in range(n))
+        assert not any(OWN in r.text for r in secrets.redact(docs).collect())
+
+
 def test_redact(docs_of, clashing):
     rows = ROWS + [(50 + i, "demo token=Ex4mpleK3yY9zz end", f"s{i}") for i in range(4)] + [(9, ROWS[8][1], "a")]
     docs = clashing(docs_of(rows))
