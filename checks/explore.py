@@ -102,6 +102,24 @@ def corr_constant_wide(spark, d):
     return rounded(got.where((number[0] % 9 == 0) & (number[1] % 7 == 0)))
 
 
+def _every_pair_sql(columns):
+    """One scan computes the correlations of all pairs, which then become rows."""
+    pairs = ", ".join(f'corr({a}, {b}) AS "{a} {b}"' for a, b in combinations(columns, 2))
+    return f"""every AS (SELECT {pairs} FROM wide), pairs AS (
+  SELECT split_part(pair, ' ', 1) AS column1, split_part(pair, ' ', 2) AS column2, correlation
+  FROM (UNPIVOT every ON COLUMNS(*) INTO NAME pair VALUE correlation))"""
+
+
+@check("corr_wide_pairs", "WITH wide AS (SELECT " + ", ".join(
+    f"{c} * {i + 1} + l_tax * {i} AS w{k}" for k, (i, c) in enumerate(SHIFTS)) + " FROM lineitem), "
+    + _every_pair_sql([f"w{k}" for k in range(len(SHIFTS))]) + f" {PAIR_OUT}")
+def corr_wide_pairs(spark, d):
+    """All 946 pairs of 44 columns; a pair with the constant column would be one row too many."""
+    wide = table(spark, d, "lineitem").select(
+        *[(F.col(c) * (i + 1) + F.col("l_tax") * i).alias(f"w{k}") for k, (i, c) in enumerate(SHIFTS)], F.lit(1.0).alias("flat"))
+    return rounded(explore.correlations(wide, min_correlation=0.0))
+
+
 @check("corr_spearman", "WITH pairs AS (" + union_all([ranks_sql("lineitem", a, b) for a, b in combinations(LINE, 2)])
        + f") {PAIR_OUT}")
 def corr_spearman(spark, d):

@@ -25,3 +25,11 @@ def test_query(spark, duck, key):
 def test_entry(spark):
     assert entry.entry(spark).count() == 11
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_wide_pairs_are_all_compared(spark, duck):
+    columns = [f"w{k}" for k in range(44)]
+    wanted = {(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]}
+    found = [(r.column1, r.column2) for r in entry.queries()["corr_wide_pairs"](spark, FOLDER).collect()]
+    assert set(found) == wanted and len(found) == 946
+    assert set(duck.sql(f"SELECT column1, column2 FROM ({entry.oracle_sql()['corr_wide_pairs']})").fetchall()) == wanted
