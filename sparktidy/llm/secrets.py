@@ -3,8 +3,9 @@
 Patterns find candidates in the whole text. Every candidate value is hashed, and
 the hashes are counted over the corpus by distinct repositories (here: documents
 of a source) and distinct owners (sources). A value that many owners hold is a
-widely copied example; one that few hold and that looks random is taken as live,
-in however many of their documents it stands.
+widely copied example; one that few hold is taken as live, in however many of
+their documents it stands, if a base pattern finds it and it is no placeholder, or
+if it looks random.
 
 Defined cases: a null text is empty and has no spans (their digest is that of the
 empty string); a null owner is an owner of its own; repeated rows each get their
@@ -34,7 +35,7 @@ class Ownership:
     """When a value counts as somebody's own."""
 
     most_owners: int = 2
-    least_distinct: int = 8  # different characters of a value that looks random
+    least_distinct: int = 8  # different characters of a loose value that looks random
 
 
 def _starts(gaps: Column, found: Column) -> Column:
@@ -75,11 +76,12 @@ def candidates(text: Column) -> Column:
         base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
 
 
-def looks_live(value: Column, own: Ownership = Ownership()) -> Column:
-    """Letters and digits mixed, and enough different characters."""
-    return (value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-            & (F.size(F.array_distinct(F.split(value, ""))) >= own.least_distinct)
-            & ~F.lower(value).rlike("example|changeme|placeholder|your_"))
+def looks_live(value: Column, kind: Column, own: Ownership = Ownership()) -> Column:
+    """No placeholder; a loose value also has letters and digits mixed, and enough
+    different characters. The word ``password`` itself is a placeholder."""
+    random = (value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+              & (F.size(F.array_distinct(F.split(value, ""))) >= own.least_distinct))
+    return ((kind < 3) | random) & ~F.lower(value).rlike("example|changeme|placeholder|your_|^password$")
 
 
 def ownership(spans: DataFrame, own: Ownership = Ownership()) -> DataFrame:
@@ -98,7 +100,7 @@ def _judged(docs: DataFrame, own: Ownership) -> tuple[DataFrame, DataFrame]:
     """Documents with their spans (values hashed), and those spans' verdicts."""
     hashed = F.transform(candidates(F.col("text")), lambda s: F.struct(
         s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"),
-        F.sha2(s["value"], 256).alias("hash"), looks_live(s["value"], own).alias("live")))
+        F.sha2(s["value"], 256).alias("hash"), looks_live(s["value"], s["kind"], own).alias("live")))
     scanned = materialize(docs.select("doc_id", F.col("source").alias("owner"), F.xxhash64("text").alias("seen"),
                                       hashed.alias("spans")), "spans")
     spans = scanned.where(F.size("spans") > 0).select(
