@@ -24,6 +24,7 @@ component; an empty table gives an empty result; further columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -337,23 +338,68 @@ def link_documents(docs: DataFrame, how: Jaccard = Jaccard()) -> DataFrame:
     return _Join(docs, how).run()
 
 
-def keep_one(docs: DataFrame, how: Jaccard = Jaccard()) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with the
-    columns it came with. Rows without a doc_id stay. Only rows that a bit field
-    of the dropped ids lets through are shuffled; the others stay for certain."""
-    linked = materialize(link_documents(docs, how), "linked")
-    dropped = materialize(linked.where("doc_id != component_id").select("doc_id").distinct(), "dropped")
-    repeated = linked.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    suspects = materialize(dropped.unionByName(repeated).distinct(), "suspects")
-    field = docs.sparkSession.sparkContext.broadcast(id_filter(suspects))
+def _further_texts(docs: DataFrame) -> DataFrame | None:
+    """Where rows repeat a doc_id with other texts: a key of its own for each text
+    but the one of the smallest hash, as ``doc_id, seen, key``; None without any.
+    Keys are hashes, drawn again as long as one of them is taken."""
+    seen = materialize(docs.select("doc_id", F.xxhash64("text").alias("seen")).where("doc_id IS NOT NULL").distinct(), "seen")
+    first = seen.groupBy("doc_id").agg(F.min("seen").alias("lo"), F.max("seen").alias("hi")).where("lo != hi")
+    further = materialize(seen.join(first.select("doc_id", "lo"), "doc_id").where("seen != lo").select("doc_id", "seen"), "further")
+    if not further.head(1):
+        return None
+    salt = 0
+    while True:
+        keyed = further.withColumn("key", F.xxhash64(F.lit(salt), "doc_id", "seen"))
+        taken = seen.select(F.col("doc_id").alias("key")).distinct().unionByName(keyed.select("key"))
+        if not taken.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").head(1):
+            return materialize(keyed, "keyed")
+        salt += 1
 
-    def hit(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(_hit(field.value, batch.column(batch.num_columns - 1)))], [*batch.schema.names, "hit"])
 
+def keep_one(docs: DataFrame, how: Jaccard = Jaccard()) -> DataFrame:
+    """One document of each group, the one with the smallest doc_id, with the
+    columns it came with. Rows without a doc_id stay. Different texts under one
+    doc_id are documents of their own here, in the order of their hashes, so only
+    equal or linked texts fall together; of rows with equal id and text the one
+    with the smallest hash over its columns stays. Only rows that a bit field of
+    the dropped or repeated ids lets through are shuffled; the others stay for
+    certain."""
+    sc = docs.sparkSession.sparkContext
     hidden, inner = hide(docs)
-    marked = hidden.withColumn("id", F.col(inner["doc_id"]).cast("long")).mapInArrow(
-        hit, f"{ddl(hidden)}, id long, hit boolean")
-    tested = marked.where("hit").join(dropped.withColumnRenamed("doc_id", "id"), "id", "left_anti").dropDuplicates(["id"])
-    return show(marked.where("NOT hit"), inner).unionByName(show(tested, inner))
+    names, row = hidden.columns, ddl(hidden)
+
+    def marked(df: DataFrame, ids: DataFrame) -> DataFrame:
+        field = sc.broadcast(id_filter(ids))
+
+        def hit(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_hit(field.value, batch.column(batch.num_columns - 1)))],
+                                                 [*batch.schema.names, "hit"])
+
+        return df.mapInArrow(hit, f"{row}, id long, hit boolean")
+
+    small_batches(docs.sparkSession)
+    keyed = hidden.withColumn("id", F.col(inner["doc_id"]).cast("long"))
+    further = _further_texts(keyed.select(F.col("id").alias("doc_id"), F.col(inner["text"]).alias("text")))
+    if further is not None:
+        tested = marked(keyed, further.select("doc_id").distinct())
+        other = tested.where("hit").withColumn("seen", F.xxhash64(inner["text"])).join(
+            further.withColumnRenamed("doc_id", "id"), ["id", "seen"], "left").withColumn("id", F.coalesce("key", "id"))
+        keyed = materialize(tested.where("NOT hit").select(*names, "id").unionByName(other.select(*names, "id")), "keyed-texts")
+    linked = materialize(link_documents(keyed.select(F.col("id").alias("doc_id"), F.col(inner["text"]).alias("text")), how), "linked")
+    if further is None:
+        dropped = linked.where("doc_id != component_id").select("doc_id").distinct()
+    else:
+        ids = linked.where("doc_id IS NOT NULL").distinct().join(
+            further.select(F.col("key").alias("further"), F.col("doc_id").alias("own"), "seen"),
+            F.col("doc_id") == F.col("further"), "left")
+        order = F.struct(F.coalesce("own", "doc_id").alias("own"), F.col("further").isNotNull().alias("later"), "seen", "doc_id")
+        stays = ids.groupBy("component_id").agg(F.min(order)["doc_id"].alias("doc_id")).select("doc_id")
+        dropped = ids.select("doc_id").distinct().join(stays, "doc_id", "left_anti")
+    dropped = materialize(dropped, "dropped")
+    repeated = linked.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
+    tested = marked(keyed, materialize(dropped.unionByName(repeated).distinct(), "suspects"))
+    hashable = [f.name for f in hidden.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+    kept = tested.where("hit").join(dropped.withColumnRenamed("doc_id", "id"), "id", "left_anti").groupBy("id").agg(
+        F.min_by(F.struct(*names), F.xxhash64(*hashable)).alias("row")).select("row.*")
+    return show(tested.where("NOT hit"), inner).unionByName(show(kept, inner))

@@ -126,6 +126,23 @@ def test_keep_one(docs_of, clashing):
     assert sorted(i for i in found if i is not None) == sorted(wanted) and found.count(None) == 1
 
 
+def test_keep_one_of_reused_ids(docs_of, clashing):
+    words = [" ".join(f"t{k}w{j}" for j in range(40)) for k in range(6)]
+    rows = [(7, words[0], "a"), (7, words[1], "b"), (7, words[1] + " more", "c"), (7, words[2], "d"), (3, words[2], "e"),
+            (9, words[3], "f"), (9, words[3], "g"), (9, words[3] + " more", "h"), (9, words[4], "i"), (11, words[4], "j"),
+            (12, None, "k"), (12, "", "l"), (12, words[5], "m"), (None, words[5], "n")]
+    found = []
+    for parts in (1, 3, 7):
+        out = ngramjoin.keep_one(clashing(docs_of(rows, parts))).collect()
+        found.append(sorted(((r.doc_id, r.text, r.source) for r in out), key=str))
+    assert found[0] == found[1] == found[2]
+    kept = [(i, t) for i, t, _ in found[0]]
+    assert len(set(kept)) == len(kept) == 9
+    assert {(7, words[0]), (3, words[2]), (9, words[4]), (12, None), (12, ""), (12, words[5]), (None, words[5])} <= set(kept)
+    assert (7, words[2]) not in kept and (11, words[4]) not in kept
+    assert sum(i == 7 and t.startswith(words[1]) for i, t in kept) == sum(i == 9 and t.startswith(words[3]) for i, t in kept) == 1
+
+
 def test_empty(docs_of):
     assert ngramjoin.link_documents(docs_of([])).count() == 0 and ngramjoin.keep_one(docs_of([])).count() == 0
     only = ngramjoin.link_documents(docs_of([(1, None, "a"), (2, "", "b")])).collect()
