@@ -140,6 +140,15 @@ def corr_kendall(spark, d):
     return rounded(explore.correlations(table(spark, d, "lineitem"), ["l_quantity", "l_linenumber"], "kendall", 0.0))
 
 
+STEPS = ["l_quantity", "l_linenumber", "l_discount", "l_tax"]
+_TAUS = [tau_sql("lineitem", a, b) for a, b in combinations(STEPS, 2)]
+
+
+@check("corr_kendall_columns", "WITH pairs AS (" + union_all([f"SELECT * FROM (WITH {g} {tau})" for tau, g in _TAUS]) + f") {PAIR_OUT}")
+def corr_kendall_columns(spark, d):
+    return rounded(explore.correlations(table(spark, d, "lineitem"), STEPS, "kendall", 0.0))
+
+
 _TAU2 = tau_sql("customer", "c_acctbal", "c_nationkey")
 
 

@@ -33,3 +33,8 @@ def test_wide_pairs_are_all_compared(spark, duck):
     found = [(r.column1, r.column2) for r in entry.queries()["corr_wide_pairs"](spark, FOLDER).collect()]
     assert set(found) == wanted and len(found) == 946
     assert set(duck.sql(f"SELECT column1, column2 FROM ({entry.oracle_sql()['corr_wide_pairs']})").fetchall()) == wanted
+
+
+def test_kendall_of_several_columns(spark):
+    found = [(r.column1, r.column2) for r in entry.queries()["corr_kendall_columns"](spark, FOLDER).collect()]
+    assert len(set(found)) == len(found) == 6
