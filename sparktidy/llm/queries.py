@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparktidy.llm import bpe, hostrules, infill, langid, mixing, neighbours, ngramjoin, quality, secrets, toxicity, warc
+from sparktidy.llm import bpe, hostrules, importance, infill, langid, mixing, neighbours, ngramjoin, quality, secrets, toxicity, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -219,3 +219,46 @@ FROM parts"""
 @query("op11_fill_in_middle", OP11_SQL)
 def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return infill.digests(table(spark, folder, "documents"))
+
+
+OP13_SQL = r"""
+WITH bits AS (
+  SELECT range AS i, list_reduce(range(9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, range) AS c
+  FROM range(256)),
+steps AS (SELECT list(c ORDER BY i) AS t FROM bits),
+cut AS (
+  SELECT true AS own, row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT false, row_number() OVER (), NULL, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+runs AS (
+  SELECT own, r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM cut),
+grams AS (SELECT own, r, f, count(*) AS n FROM runs GROUP BY ALL),
+names AS (SELECT DISTINCT f FROM grams),
+bytes AS (
+  SELECT f, list_transform(range(strlen(f)), lambda i: ('0x' || substr(hex(encode(f)), 1 + 2 * i, 2))::BIGINT) AS b FROM names),
+crcs AS (
+  SELECT f, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+  FROM bytes, steps),
+hashed AS (SELECT own, r, bucket, n FROM grams JOIN crcs USING (f)),
+sums AS (SELECT sum(n) FILTER (own)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT own), 0)::DOUBLE AS t FROM hashed),
+buckets AS (
+  SELECT bucket, floor(1000 * ln((coalesce(sum(n) FILTER (NOT own), 0) + 1) * (any_value(sums.s) + 10000)
+         / ((coalesce(sum(n) FILTER (own), 0) + 1) * (any_value(sums.t) + 10000))))::BIGINT AS gain
+  FROM hashed, sums GROUP BY bucket),
+sized AS (SELECT r, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM hashed JOIN buckets USING (bucket) WHERE own GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w) AS words, greatest(2 * len(w) - 1, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                              / 4294967296)))::BIGINT AS score
+  FROM cut LEFT JOIN sized USING (r) WHERE own),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS p, count(*) OVER (PARTITION BY words >= 20) AS n
+  FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND p <= 25 * n // 100 THEN p END AS rank FROM ranked"""
+
+
+@query("op13_importance", OP13_SQL)
+def op13_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
