@@ -103,27 +103,30 @@ base AS (SELECT * FROM assigns UNION ALL SELECT * FROM keys UNION ALL SELECT * F
 spans AS (
   SELECT * FROM base UNION ALL
   SELECT * FROM loose l WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = l.r AND b.s < l.e AND l.s < b.e)),
+places AS (
+  SELECT v, source, count(DISTINCT coalesce(doc_id::VARCHAR, 'null')) AS repositories,
+         bool_or((k < 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 8))
+                 AND NOT regexp_matches(lower(v), 'example|changeme|placeholder|your_|^password$')) AS live
+  FROM spans GROUP BY v, source),
 verdicts AS (
-  SELECT v, count(DISTINCT coalesce('s' || source, 'n')) AS owners,
-         count(DISTINCT coalesce('s' || source, 'n') || ':' || coalesce(doc_id::VARCHAR, 'n')) AS repositories,
-         bool_or(regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 8
-                 AND NOT regexp_matches(lower(v), 'example|changeme|placeholder|your_')) AS live
-  FROM spans GROUP BY v),
+  SELECT v, count(*) AS owners, sum(repositories)::BIGINT AS repositories, max(repositories) AS most, bool_or(live) AS live
+  FROM places GROUP BY v),
 judged AS (
-  SELECT spans.*, CASE WHEN owners > 2 OR repositories > 50 THEN 'example' WHEN live THEN 'live' ELSE 'dull' END AS verdict
+  SELECT spans.*, owners || ':' || repositories AS held, CASE WHEN owners > 2 AND most < repositories * 0.9 THEN 'example' WHEN live THEN 'live' ELSE 'dull' END AS verdict
   FROM spans JOIN verdicts USING (v)),
 listed AS (
-  SELECT r, s, k, verdict, ['assign', 'access', 'hex', 'owned'][k + 1] || ':' || s || ':' || e AS span, e FROM judged
+  SELECT r, s, k, verdict, held, ['assign', 'access', 'hex', 'owned'][k + 1] || ':' || s || ':' || e AS span, e FROM judged
   WHERE k < 3 OR verdict = 'live'),
 per AS (
   SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
          coalesce(string_agg(span, ',' ORDER BY s, k, e) FILTER (k < 3), '') AS base, string_agg(span, ',' ORDER BY s, k, e) AS spans,
+         string_agg(held, ',' ORDER BY s, k, e) AS held_by,
          count(*) FILTER (k = 3) AS n_owned, count(*) FILTER (verdict = 'live') AS n_live,
          count(*) FILTER (verdict = 'example') AS n_example
   FROM listed GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned,
-       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(held_by, '') AS held_by
 FROM texts LEFT JOIN per USING (r)"""
 
 

@@ -2,15 +2,18 @@
 
 Patterns find candidates in the whole text. Every candidate value is hashed, and
 the hashes are counted over the corpus by distinct repositories (here: documents
-of a source) and distinct owners (sources). A value that many owners hold is a
-widely copied example; one that few hold is taken as live, in however many of
-their documents it stands, if a base pattern finds it and it is no placeholder, or
-if it looks random.
+of a source) and distinct owners (sources). A value that more than two owners hold
+is a widely copied example, unless nine tenths of the repositories that hold it are
+one owner's: then the others have copied that owner's credential. A value that is
+no example is taken as live if a base pattern finds it and it is no placeholder, or
+if it looks random. Both measures are ratios or owners, so a verdict does not turn
+with the number of documents alone.
 
 Defined cases: a null text is empty and has no spans (their digest is that of the
 empty string); a null owner is an owner of its own; repeated rows each get their
 result; an empty table gives an empty result; further columns are not read by
-``scan`` and are kept by ``redact``.
+``scan`` and are kept by ``redact``. Work is linear in a text's matches, however
+long the text (spans are sorted once).
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparktidy.llm.spans import apart, let, masked, matches
 from sparktidy.llm.tables import hide, show
 from sparktidy.session import materialize
 
@@ -35,17 +39,10 @@ class Ownership:
     """When a value counts as somebody's own."""
 
     most_owners: int = 2
+    main_share: float = 0.9  # share of its repositories that makes one owner's value the owner's, whoever else holds it
     least_distinct: int = 8  # different characters of a loose value that looks random
 
 
-def _starts(gaps: Column, found: Column) -> Column:
-    """Start of each match, in code points: all gaps up to it and all matches before it."""
-    step = F.zip_with(gaps, found, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0)))
-    step = F.slice(step, 1, F.size(found))
-    ends = F.transform(step, lambda _, i: F.aggregate(F.slice(step, 1, i + 1), F.lit(0), lambda a, b: a + b))
-    return F.zip_with(ends, found, lambda e, m: e - F.length(m))
-
-
 def find(text: Column, kind: int) -> Column:
     """Spans of one kind, leftmost first and without overlap; null text has none.
 
@@ -53,27 +50,25 @@ def find(text: Column, kind: int) -> Column:
     a match. An assignment's value has eight characters or more; shorter ones
     are matched as well, as they use up their text, and dropped afterwards."""
     pattern = [ASSIGN, ACCESS, HEX, LOOSE][kind]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if kind == 0 else found
-    spans = F.zip_with(
-        F.zip_with(_starts(F.split(text, pattern, -1), found), found,
-                   lambda s, m: F.struct(s.alias("start"), (s + F.length(m)).alias("end"))),
-        value, lambda p, v: F.struct(p["start"].alias("start"), F.lit(kind).alias("kind"), p["end"].alias("end"),
-                                     v.alias("value")))
+    spans = matches(text, pattern, 1 if kind == 0 else 0)
     if kind == 0:
         spans = F.filter(spans, lambda s: F.length(s["value"]) >= 8)
     if kind == 3:
         spans = F.filter(spans, lambda s: s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]")
                          & s["value"].rlike("[0-9]"))
+    spans = F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
     test = F.contains(text, F.lit("AKIA")) if kind == 1 else text.rlike(pattern)
     return F.when(test, spans).otherwise(F.array()).cast(SPAN)
 
 
 def candidates(text: Column) -> Column:
-    """Base spans and, where they touch no base span, loose ones."""
+    """Base spans and, where they touch no base span, loose ones. Each pattern
+    runs once."""
     base = F.concat(*[find(text, k) for k in range(3)])
-    return F.concat(base, F.filter(find(text, 3), lambda s: ~F.exists(
-        base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+    both = F.struct(base.alias("base"), find(text, 3).alias("loose"))
+    return let(both, lambda x: F.when(F.size(x["loose"]) == 0, x["base"]).otherwise(
+        F.concat(x["base"], apart(x["loose"], x["base"]))))
 
 
 def looks_live(value: Column, kind: Column, own: Ownership = Ownership()) -> Column:
@@ -85,48 +80,53 @@ def looks_live(value: Column, kind: Column, own: Ownership = Ownership()) -> Col
 
 
 def ownership(spans: DataFrame, own: Ownership = Ownership()) -> DataFrame:
-    """Per value hash: distinct repositories, distinct owners, verdict. Pairs are
-    made distinct before the count, so a value in a third of all documents is
-    spread over its documents first and over its owners next."""
+    """Per value hash: distinct owners and repositories, verdict. Pairs are made
+    distinct before the count, so a value in a third of all documents is spread
+    over its documents first and over its owners next."""
     pairs = spans.groupBy("hash", "owner", "repository").agg(F.max("live").alias("live"))
     owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.max("live").alias("live"))
     counted = owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"),
-                                         F.max("live").alias("live"))
-    return counted.select("hash", "owners", "repositories", F.when(F.col("owners") > own.most_owners, "example").when(
-        F.col("live"), "live").otherwise("dull").alias("verdict"))
+                                         F.max("repositories").alias("most"), F.max("live").alias("live"))
+    example = (F.col("owners") > own.most_owners) & (F.col("most") < F.col("repositories") * own.main_share)
+    return counted.select("hash", "owners", "repositories",
+                          F.when(example, "example").when(F.col("live"), "live").otherwise("dull").alias("verdict"))
 
 
-def _judged(docs: DataFrame, own: Ownership) -> tuple[DataFrame, DataFrame]:
-    """Documents with their spans (values hashed), and those spans' verdicts."""
-    hashed = F.transform(candidates(F.col("text")), lambda s: F.struct(
+def _scanned(docs: DataFrame, own: Ownership, inner: dict[str, str], keep: list[str]) -> DataFrame:
+    """Rows with their spans, written once: patterns run once over each text.
+    Values are hashed; ``from`` is where a span's value starts."""
+    text = F.col(inner["text"])
+    hashed = F.transform(candidates(text), lambda s: F.struct(
         s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"),
-        F.sha2(s["value"], 256).alias("hash"), looks_live(s["value"], s["kind"], own).alias("live")))
-    scanned = materialize(docs.select("doc_id", F.col("source").alias("owner"), F.xxhash64("text").alias("seen"),
-                                      hashed.alias("spans")), "spans")
-    spans = scanned.where(F.size("spans") > 0).select(
-        "doc_id", "owner", "seen", F.explode("spans").alias("span")).select(
-        "doc_id", "owner", "seen", F.col("span.start").alias("start"), F.col("span.kind").alias("kind"),
-        F.col("span.end").alias("end"), F.col("span.hash").alias("hash"), F.col("span.live").alias("live"))
-    verdicts = ownership(spans.withColumn("repository", F.col("doc_id")), own)
-    return scanned, spans.join(verdicts, "hash")
+        (s["end"] - F.length(s["value"])).alias("from"), F.sha2(s["value"], 256).alias("hash"),
+        looks_live(s["value"], s["kind"], own).alias("live")))
+    return materialize(docs.select(*keep, F.col(inner["doc_id"]).alias("id"), F.col(inner["source"]).alias("owner"),
+                                   F.xxhash64(text).alias("seen"), hashed.alias("spans")), "spans")
 
 
-def _key(a: DataFrame, b: DataFrame) -> Column:
-    same = a["seen"] == b["__seen"]
-    return same & a["doc_id"].eqNullSafe(b["__id"]) & a["owner"].eqNullSafe(b["__owner"])
+def _judged(scanned: DataFrame, own: Ownership) -> DataFrame:
+    """One row per document with spans: ``found``, its spans with their verdicts.
+    Only spans are shuffled. Rows that repeat in id, owner and text share it."""
+    spans = scanned.where(F.size("spans") > 0).select(
+        "id", "owner", "seen", F.explode("spans").alias("span")).select("id", "owner", "seen", "span.*")
+    verdicts = ownership(spans.withColumn("repository", F.col("id")), own)
+    found = spans.join(verdicts, "hash").groupBy(
+        F.col("id").alias("__id"), F.col("owner").alias("__owner"), F.col("seen").alias("__seen")).agg(
+        F.collect_set(F.struct("start", "kind", "end", "from", "verdict", "owners", "repositories")).alias("found"))
+    same = (F.col("seen") == F.col("__seen")) & F.col("id").eqNullSafe(F.col("__id")) & F.col("owner").eqNullSafe(
+        F.col("__owner"))
+    return scanned.join(found, same, "left")
 
 
 def scan(docs: DataFrame, own: Ownership = Ownership()) -> DataFrame:
-    """Counts, base digest and all spans per document. The text is read once;
-    only spans and hashes are shuffled."""
-    scanned, spans = _judged(docs, own)
-    spans = spans.where((F.col("kind") < 3) | (F.col("verdict") == "live"))
-    per_doc = spans.groupBy(F.col("doc_id").alias("__id"), F.col("owner").alias("__owner"),
-                            F.col("seen").alias("__seen")).agg(
-        F.collect_set(F.struct("start", "kind", "end", "verdict")).alias("found"))
-    joined = scanned.join(per_doc, _key(scanned, per_doc), "left")
-    joined = joined.withColumn("found", F.array_sort(F.coalesce(F.col("found"), F.array().cast(
-        "array<struct<start:int,kind:int,`end`:int,verdict:string>>"))))
+    """Counts, base digest and all spans per document, and for each span how many
+    owners and repositories hold its value (``held_by``)."""
+    names = {c: c for c in ("doc_id", "text", "source")}
+    judged = _judged(_scanned(docs.select(*names), own, names, []), own)
+    nothing = F.array().cast("array<struct<start:int,kind:int,`end`:int,from:int,verdict:string,owners:bigint,repositories:bigint>>")
+    found = F.filter(F.array_sort(F.coalesce(F.col("found"), nothing)),
+                     lambda s: (s["kind"] < 3) | (s["verdict"] == "live"))
+    judged = judged.withColumn("found", found)
     kinds = F.array(*[F.lit(k) for k in KINDS])
 
     def listed(spans: Column) -> Column:
@@ -134,37 +134,31 @@ def scan(docs: DataFrame, own: Ownership = Ownership()) -> DataFrame:
             ":", kinds[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     base = F.filter("found", lambda s: s["kind"] < 3)
+    held_by = F.array_join(F.transform("found", lambda s: F.concat_ws(
+        ":", s["owners"].cast("string"), s["repositories"].cast("string"))), ",")
 
     def number(field: str, wanted) -> Column:
         return F.size(F.filter("found", lambda s: s[field] == F.lit(wanted))).cast("long")
 
     counts = [number("kind", k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     verdict = [number("verdict", v).alias(f"n_{v}") for v in ("live", "example")]
-    return joined.select("doc_id", *counts[:3], F.sha2(listed(base), 256).alias("base_sha256"),
-                         listed(F.col("found")).alias("spans"), counts[3], *verdict)
+    return judged.select(F.col("id").alias("doc_id"), *counts[:3], F.sha2(listed(base), 256).alias("base_sha256"),
+                         listed(F.col("found")).alias("spans"), counts[3], *verdict, held_by.alias("held_by"))
 
 
 def redact(docs: DataFrame, own: Ownership = Ownership(), mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every live value replaced by ``mark`` and ``n_chars``
-    set anew where that column exists. Widely copied examples stay. Texts
-    without a candidate go straight through; only the others are shuffled."""
-    _, spans = _judged(docs, own)
-    live = spans.where(F.col("verdict") == "live").groupBy(
-        F.col("doc_id").alias("__id"), F.col("owner").alias("__owner"), F.col("seen").alias("__seen")).agg(
-        F.collect_set("hash").alias("__live"))
+    """The documents with the value of every live span replaced by ``mark`` where
+    it stands, and ``n_chars`` set anew where that column exists. Widely copied
+    examples stay. Texts are scanned once and written once with their spans; those
+    without a candidate go straight through, only the others are shuffled."""
     hidden, inner = hide(docs)
+    scanned = _scanned(hidden, own, inner, list(inner.values()))
+    clean = scanned.where(F.size("spans") == 0)
+    live = F.filter("found", lambda s: s["verdict"] == "live")
+    held = _judged(scanned.where(F.size("spans") > 0), own).withColumn("live", F.transform(
+        live, lambda s: F.struct(s["from"].alias("start"), s["end"].alias("end"))))
     text = F.col(inner["text"])
-    spotted = hidden.withColumn("spans", candidates(text))
-    clean = spotted.where(F.size("spans") == 0)
-    held = spotted.where(F.size("spans") > 0).join(
-        live, (F.xxhash64(text) == F.col("__seen")) & F.col(inner["doc_id"]).eqNullSafe(F.col("__id"))
-        & F.col(inner["source"]).eqNullSafe(F.col("__owner")), "left")
-    values = F.array_distinct(F.transform("spans", lambda s: s["value"]))
-    values = F.filter(values, lambda v: F.array_contains(F.col("__live"), F.sha2(v, 256)))
-    longest = F.transform(F.array_sort(F.transform(values, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))),
-                          lambda s: s["v"])
-    masked = F.aggregate(longest, text, lambda t, v: F.replace(t, v, F.lit(mark)))
-    held = held.withColumn(inner["text"], F.when(F.col("__live").isNull(), text).otherwise(masked))
+    held = held.withColumn(inner["text"], F.when(F.size("live") > 0, masked(text, F.col("live"), mark)).otherwise(text))
     if "n_chars" in inner:
         held = held.withColumn(inner["n_chars"], F.length(text).cast("long"))
     return show(clean, inner).unionByName(show(held, inner))

@@ -2,8 +2,11 @@
 
 import hashlib
 import re
+import time
 
-from sparktidy.llm import secrets
+import duckdb
+
+from sparktidy.llm import queries, secrets
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
@@ -91,3 +94,49 @@ def test_empty(docs_of):
 def test_no_python_on_the_executors(docs_of):
     plan = secrets.scan(docs_of(ROWS))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_one_main_owner(docs_of):
+    other = "pk_Test4zYxW9vUt2sRqPo"
+    rows = [(i, f"mine {OWN} x", "s1") for i in range(40)] + [(100 + i, f"copied {OWN} y", f"t{i}") for i in range(3)]
+    rows += [(200 + i, f"sample {other} x", "s1") for i in range(10)] + [(300 + i, f"sample {other} y", f"t{i}") for i in range(3)]
+    found = {r.doc_id: r for r in secrets.scan(docs_of(rows)).collect()}
+    assert found[0].n_live == found[101].n_live == 1 and found[0].held_by == "4:43"
+    assert found[200].spans == found[300].spans == ""  # ten of thirteen are not nine tenths
+
+
+def test_very_long_text(docs_of):
+    lines = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(14_000)]
+    docs = docs_of([(1, "\n".join(f"{h}  file{i}" for i, h in enumerate(lines)), "a"), (2, "nothing", "b")])
+    start = time.time()
+    row = next(r for r in secrets.scan(docs).collect() if r.doc_id == 1)
+    assert row.n_hex == row.n_live == 14_000
+    text = next(r.text for r in secrets.redact(docs).collect() if r.doc_id == 1)
+    assert text == "\n".join(f"[SECRET]  file{i}" for i in range(14_000))
+    assert time.time() - start < 60
+
+
+def test_masked_at_spans_only(docs_of):
+    docs = docs_of([(1, f"{OWN} and x{OWN}y, token = {OWN};\nsecret: {HASH}", "a"), (2, "token=horsehorse horsehorse", "b")])
+    text = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert text == {1: "[SECRET] and [SECRET], token = [SECRET];\nsecret: [SECRET]", 2: "token=[SECRET] horsehorse"}
+
+
+def test_patterns_run_once_per_text(docs_of):
+    plan = secrets.redact(docs_of(ROWS))._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan and "split(" not in plan  # the written table holds the spans
+
+
+def test_the_twin_states_the_rule(spark, docs_of, tmp_path):
+    rows = [(i, f"footer {OWN} {i}", "s1") for i in range(60)]  # one owner, many repositories
+    rows += [(100, "x password = correcthorsebattery y", "s2"), (101, "token=password", "s2"), (102, "token=Password passwd=password", "s3")]
+    rows += [(200 + i, f"mine {KEY} x", "s4") for i in range(30)] + [(300 + i, f"copied {KEY} y", f"t{i}") for i in range(3)]
+    rows += [(400 + i, f"token=plainplain{i % 2} {OWN}z", f"u{i}") for i in range(6)] + ROWS
+    docs_of(rows).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    twin = con.execute(queries.ORACLE["op10_secrets"])
+    names = [d[0] for d in twin.description]
+    found = queries.QUERIES["op10_secrets"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, found)) == sorted(twin.fetchall())
+    assert sum(r.n_live for r in found) > 60 and sum(r.n_example for r in found) >= 6
