@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparktidy.llm import bpe, hostrules, importance, infill, langid, mixing, neighbours, ngramjoin, quality, secrets, toxicity, warc
+from sparktidy.llm import (bpe, hostrules, importance, infill, langid, mixing, neighbours, ngramjoin, personal, quality,
+                           secrets, toxicity, warc)
 
 QUERIES = {}
 ORACLE = {}
@@ -265,3 +266,8 @@ SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND p <= 25 * n
 @query("op13_importance", OP13_SQL)
 def op13_importance(spark: SparkSession, folder: str) -> DataFrame:
     return importance.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_pii")
+def op12_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.scan(table(spark, folder, "documents"))

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparktidy.llm.spans import apart, let, masked, matches
+from sparktidy.llm.spans import Pattern, apart, let, masked, matches
 from sparktidy.llm.tables import hide, show
 from sparktidy.session import materialize
 
@@ -31,7 +31,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 LOOSE = r"[A-Za-z0-9_-]{20,}"
 KINDS = ["assign", "access", "hex", "owned"]
-SPAN = "array<struct<start:int,kind:int,`end`:int,value:string>>"
+#: An assignment's value has eight characters or more; shorter ones match as well, as they use up their text.
+PATTERNS = [Pattern(ASSIGN, 1), Pattern(ACCESS, needs="AKIA"), Pattern(HEX), Pattern(LOOSE)]
 
 
 @dataclass(frozen=True)
@@ -43,32 +44,17 @@ class Ownership:
     least_distinct: int = 8  # different characters of a loose value that looks random
 
 
-def find(text: Column, kind: int) -> Column:
-    """Spans of one kind, leftmost first and without overlap; null text has none.
-
-    The cheap test decides first, so the span arithmetic runs only on texts with
-    a match. An assignment's value has eight characters or more; shorter ones
-    are matched as well, as they use up their text, and dropped afterwards."""
-    pattern = [ASSIGN, ACCESS, HEX, LOOSE][kind]
-    spans = matches(text, pattern, 1 if kind == 0 else 0)
-    if kind == 0:
-        spans = F.filter(spans, lambda s: F.length(s["value"]) >= 8)
-    if kind == 3:
-        spans = F.filter(spans, lambda s: s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]")
-                         & s["value"].rlike("[0-9]"))
-    spans = F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
-    test = F.contains(text, F.lit("AKIA")) if kind == 1 else text.rlike(pattern)
-    return F.when(test, spans).otherwise(F.array()).cast(SPAN)
-
-
 def candidates(text: Column) -> Column:
     """Base spans and, where they touch no base span, loose ones. Each pattern
-    runs once."""
-    base = F.concat(*[find(text, k) for k in range(3)])
-    both = F.struct(base.alias("base"), find(text, 3).alias("loose"))
-    return let(both, lambda x: F.when(F.size(x["loose"]) == 0, x["base"]).otherwise(
-        F.concat(x["base"], apart(x["loose"], x["base"]))))
+    runs once, and only the texts it is in are worked on further."""
+    def sorted_out(x: Column) -> Column:
+        base = F.filter(x, lambda s: F.when(s["kind"] == 0, F.length(s["value"]) >= 8).otherwise(s["kind"] < 3))
+        loose = F.filter(x, lambda s: (s["kind"] == 3) & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]")
+                         & s["value"].rlike("[0-9]"))
+        return let(F.struct(base.alias("base"), loose.alias("loose")), lambda y: F.when(
+            F.size(y["loose"]) == 0, y["base"]).otherwise(F.concat(y["base"], apart(y["loose"], y["base"]))))
+
+    return let(matches(F.coalesce(text, F.lit("")), PATTERNS), lambda x: F.when(F.size(x) == 0, x).otherwise(sorted_out(x)))
 
 
 def looks_live(value: Column, kind: Column, own: Ownership = Ownership()) -> Column:

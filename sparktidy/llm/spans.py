@@ -8,6 +8,7 @@ count code points, ends are exclusive.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
@@ -37,27 +38,42 @@ def running(values: Column, zero: Column, op: Callable[[Column, Column], Column]
         values, lambda _, i: F.aggregate(F.slice(values, i - i % width + 1, i % width), ahead[F.shiftright(i, WIDTH_BITS)], merge))))
 
 
-def matches(text: Column, pattern: str, group: int = 0, around: int = 0) -> Column:
-    """Leftmost non-overlapping matches as ``struct<start, end, value>``, in order;
-    ``value`` is the given group. With ``around`` also up to so many characters
-    ``before`` and ``after`` a match, back to the last and up to the next match."""
-    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")]
-    if group:
-        parts.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+@dataclass(frozen=True)
+class Pattern:
+    """What to look for: leftmost matches without overlap, the value being the
+    given group. Texts that do not hold ``needs`` are not searched further."""
+
+    pattern: str
+    group: int = 0
+    needs: str | None = None
+
+
+def matches(text: Column, patterns: list[Pattern], around: int = 0) -> Column:
+    """All matches as ``struct<start, kind, end, value>``, in order of their
+    pattern's number (``kind``) and place. With ``around`` also up to so many
+    characters ``before`` and ``after`` a match, back to the last and up to the
+    next match of its pattern. A null text has none."""
+    def searched(kind: int, p: Pattern) -> Column:
+        found = F.regexp_extract_all(text, F.lit(p.pattern), F.lit(0))
+        value = F.regexp_extract_all(text, F.lit(p.pattern), F.lit(p.group)) if p.group else F.lit(None).cast("array<string>")
+        test = text.rlike(p.pattern) if p.needs is None else F.contains(text, F.lit(p.needs))
+        return F.when(test, F.struct(F.lit(kind).alias("kind"), found.alias("found"), value.alias("value"),
+                                     F.split(text, p.pattern, -1).alias("gaps")))
 
     def placed(x: Column) -> Column:
         step = F.zip_with(F.slice(x["gaps"], 1, F.size(x["found"])), x["found"], lambda g, m: F.length(g) + F.length(m))
         return let(step, lambda s: let(running(s, F.lit(0), lambda a, b: a + b), lambda ahead: F.transform(
-            x["found"], lambda m, i: one(x, m, i, ahead[i]))))
+            x["found"], lambda m, i: let(ahead[i] + F.length(x["gaps"][i]), lambda start: one(x, m, i, start)))))
 
-    def one(x: Column, m: Column, i: Column, ahead: Column) -> Column:
-        start = ahead + F.length(x["gaps"][i])
+    def one(x: Column, m: Column, i: Column, start: Column) -> Column:
         near = []
         if around:
             near = [F.right(x["gaps"][i], F.lit(around)).alias("before"), F.left(x["gaps"][i + 1], F.lit(around)).alias("after")]
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), (x["value"][i] if group else m).alias("value"), *near)
+        return F.struct(start.alias("start"), x["kind"].alias("kind"), (start + F.length(m)).alias("end"),
+                        F.coalesce(x["value"][i], m).alias("value"), *near)
 
-    return let(F.struct(*parts), placed)
+    found = F.array(*[searched(k, p) for k, p in enumerate(patterns)])
+    return F.flatten(F.transform(F.filter(found, lambda x: x.isNotNull()), placed))
 
 
 def apart(spans: Column, taken: Column) -> Column:
