@@ -3,8 +3,10 @@
 In byte-pair encoding a sequence of tokens is the encoding of its bytes exactly
 if every two neighbours are: no merge of lower rank could have joined bytes
 across their border. So the encoding of a prefix is known from its last token
-alone, and the last token of the prefix that ends one byte later is the one
-vocabulary entry that ends there and fits the last token before it.
+alone, and the last token of the prefix that ends one byte later is the longest
+vocabulary entry that ends there and fits the last token before it. The entries
+that end at a byte follow from a state of the vocabulary's own trie with suffix
+links, so only entries that do end there are tried.
 
 The distinct words of a batch form a trie. It is kept as their sorted list, in
 which the words below a node stand side by side, so that walking the list is the
@@ -37,8 +39,9 @@ from tokenizers import Tokenizer
 
 from sparktidy.llm.tables import small_batches
 
-MEMORY_WORDS = 150_000  # distinct words whose encodings a Python worker keeps
-MEMORY_PAIRS = 200_000  # token pairs whose verdicts it keeps
+MEMORY_WORDS = 200_000  # distinct words of a generation; a Python worker keeps the encodings of two
+MEMORY_PAIRS = 400_000  # token pairs whose verdicts it keeps
+MEMORY_MOVES = 400_000  # moves between states of the vocabulary's trie it keeps
 TRIE_ROWS = 512  # texts whose words form one trie
 
 
@@ -100,9 +103,10 @@ class Codec:
             a, b = self.parts[whole]
             if a in self.reach and b in self.reach and self._apart(a, b, (self.rank[whole], 0)):
                 self.reach.add(whole)
-        self.longest = max(map(len, self.ids))
+        self._link()
         self.size = {i: len(t) for i, t in self.bytes.items()}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # encodings of the younger generation
+        self.elder: dict[str, bytes] = {}
         self.pack = [array("I", [i]).tobytes() for i in range(max(self.bytes) + 1)]
         self.cutter = Tokenizer.from_file(path).pre_tokenizer
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -135,34 +139,81 @@ class Codec:
             else:
                 before, right = (b, 1), self.parts[right][0]
 
+    def _link(self) -> None:
+        """The trie of reachable tokens: ``child[state << 8 | byte]``, the state of
+        the longest proper suffix, and the tokens that end in a state with their
+        lengths, longest first."""
+        self.child: dict[int, int] = {}
+        token, parents = [-1], [(0, 0, 0)]  # depth, parent, byte
+        for spelled, i in self.ids.items():
+            if i not in self.reach:
+                continue
+            state = 0
+            for depth, byte in enumerate(spelled):
+                key = state << 8 | byte
+                state = self.child.get(key, 0)
+                if not state:
+                    state = self.child[key] = len(token)
+                    token.append(-1)
+                    parents.append((depth + 1, key >> 8, byte))
+            token[state] = i
+        self.suffix, self.ends = [0] * len(token), [()] * len(token)
+        for state in sorted(range(1, len(token)), key=parents.__getitem__):
+            depth, parent, byte = parents[state]
+            if parent:
+                self.suffix[state] = self._next(self.suffix[parent], byte)
+            own = ((token[state], depth),) if token[state] >= 0 else ()
+            self.ends[state] = own + self.ends[self.suffix[state]]
+        self.moves: dict[int, int] = {}
+
+    def _next(self, state: int, byte: int) -> int:
+        while True:
+            found = self.child.get(state << 8 | byte, 0)
+            if found or not state:
+                return found
+            state = self.suffix[state]
+
+    def _move(self, key: int) -> int:
+        if len(self.moves) >= MEMORY_MOVES:
+            self.moves.clear()
+        found = self.moves[key] = self._next(key >> 8, key & 255)
+        return found
+
     def walk(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Encodings of distinct words, by the traversal described above."""
+        """Encodings of distinct words, by the traversal described above. A word
+        that is a token on its own is no further matter."""
         spelled = sorted((w.encode("utf-8"), w) for w in words)
-        ids, joint, fits, longest = self.ids, self.joint, self.fits, self.longest
-        reach, size = self.reach, self.size
-        path, last = b"", []  # last[d]: last token of the path's first d + 1 bytes
+        ids, joint, fits, reach, size, pack = self.ids, self.joint, self.fits, self.reach, self.size, self.pack
+        moves, move, ends = self.moves, self._move, self.ends
+        path, last, states = b"", [], [0]  # last[d]: last token of the path's first d + 1 bytes; states[d]: of its first d
         for raw, word in spelled:
+            whole = ids.get(raw)
+            if whole in reach:
+                yield word, pack[whole]
+                continue
             shared = 0
             for x, y in zip(path, raw):
                 if x != y:
                     break
                 shared += 1
-            del last[shared:]
-            path = raw
-            for end in range(shared + 1, len(raw) + 1):
-                for begin in range(max(0, end - longest), end):
-                    token = ids.get(raw[begin:end])
-                    if token is None or token not in reach:
-                        continue
-                    if begin == 0:
+            del last[shared:], states[shared + 1:]
+            path, state = raw, states[shared]
+            for at in range(shared, len(raw)):
+                key = state << 8 | raw[at]
+                state = moves.get(key)
+                if state is None:
+                    state = move(key)
+                for token, length in ends[state]:
+                    if length > at:
                         break
-                    left = last[begin - 1]
+                    left = last[at - length]
                     good = joint.get(left << 32 | token)
                     if good is None:
                         good = fits(left, token)
                     if good:
                         break
                 last.append(token)
+                states.append(state)
             found, end = [], len(raw)
             while end:
                 found.append(last[end - 1])
@@ -181,16 +232,22 @@ class Codec:
         for text in texts:
             parts = self.cut_special.split(text) if self.cut_special else [text]
             cut.append([self.split(p) if i % 2 == 0 else p for i, p in enumerate(parts)])
-        known = self.words
-        new = {w for parts in cut for p in parts if isinstance(p, list) for w in p if w not in known}
-        if len(known) + len(new) > MEMORY_WORDS:
-            new = {w for parts in cut for p in parts if isinstance(p, list) for w in p}
-            known.clear()
-        known.update(self.walk(list(new)))
+        known = self._known({w for parts in cut for p in parts if isinstance(p, list) for w in p})
         get, special = known.__getitem__, self.special
         return [b"".join(b"".join(map(get, p)) if isinstance(p, list) else self.pack[special[p]] for p in parts)
                 for parts in cut]
 
+    def _known(self, words: set[str]) -> dict[str, bytes]:
+        """Encodings that hold those of ``words``. When the younger generation is
+        full it becomes the elder one, and only words not seen since are forgotten."""
+        if len(self.words) >= MEMORY_WORDS:
+            self.elder, self.words = self.words, {}
+        new = words - self.words.keys()
+        again = new & self.elder.keys()
+        self.words.update((w, self.elder[w]) for w in again)
+        self.words.update(self.walk(list(new - again)))
+        return self.words
+
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
         numbers = array("I")
