@@ -89,6 +89,27 @@ def encode_target_skewed(spark, d):
     return rounded(encode.encode(df, "target", columns=["k"], target="l_quantity"))
 
 
+KEYS = ["l_orderkey", "l_partkey", "l_shipdate"]
+
+
+@check("encode_ordinal_columns", "SELECT l_orderkey * 10 + l_linenumber AS row_key, " + ", ".join(
+    f"(dense_rank() OVER (ORDER BY {c}) - 1)::INTEGER AS {c}" for c in KEYS) + " FROM lineitem")
+def encode_ordinal_columns(spark, d):
+    """Three maps of more than a thousand categories, of two types, looked up together."""
+    rows = table(spark, d, "lineitem").select(F.expr("l_orderkey * 10 + l_linenumber AS row_key"), *KEYS)
+    return encode.encode(rows, "ordinal", columns=KEYS)
+
+
+@check("encode_target_columns", "WITH " + ", ".join(
+    f"k{i} AS (SELECT {c}, avg(l_quantity) AS e{i} FROM lineitem GROUP BY 1)" for i, c in enumerate(KEYS))
+    + " SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity, " + ", ".join(
+    f"round(e{i}, 6) AS {c}_encoded" for i, c in enumerate(KEYS)) + " FROM lineitem "
+    + " ".join(f"JOIN k{i} USING ({c})" for i, c in enumerate(KEYS)))
+def encode_target_columns(spark, d):
+    rows = table(spark, d, "lineitem").select(*KEYS, "l_linenumber", "l_quantity")
+    return rounded(encode.encode(rows, "target", columns=KEYS, target="l_quantity", drop_original=False))
+
+
 @check("encode_unknown_large", """SELECT l_orderkey, l_linenumber, CASE WHEN p_partkey IS NOT NULL THEN (k.code)::INTEGER END AS l_partkey
   FROM lineitem LEFT JOIN (SELECT p_partkey, dense_rank() OVER (ORDER BY p_partkey) - 1 AS code FROM part WHERE p_partkey % 2 = 0) k
   ON l_partkey = p_partkey""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,7 +12,7 @@ from sparktidy.config import get_config
 from sparktidy.errors import DataValidationError, UnsupportedOperationError
 from sparktidy.functions import types as kinds
 from sparktidy.functions.exprs import col
-from sparktidy.plans.lookup import lookup
+from sparktidy.plans.lookup import COLUMN, VALUE, cell, lookup, lookup_columns
 from sparktidy.plans.ordering import row_numbers
 from sparktidy.plans.shape import column_counts
 from sparktidy.session import materialize
@@ -71,8 +72,8 @@ class EncodeModel:
         return F.when(col(c).isNotNull() & ~found, F.raise_error(message).cast("int")).otherwise(value)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        for c, table in self.tables.items():
-            df = self._joined(df, c, table)
+        if self.tables:
+            df = self._joined(df)
         out: list[Column] = []
         extra: list[Column] = []
         for name in df.columns:
@@ -101,15 +102,28 @@ class EncodeModel:
                 extra.append(code.alias(f"{name}_encoded"))
         return df.select(*out, *extra)
 
-    def _joined(self, df: DataFrame, c: str, table: DataFrame) -> DataFrame:
-        out = lookup(df, table, c, "__n")
-        if self.handle_unknown == "error" and self.method != "target":
-            out = out.withColumn("__code", self._known(c, F.col("__code").isNotNull(), F.col("__code")))
-        if self.method == "target":
-            out = out.withColumn("__code", F.when(col(c).isNotNull(), F.coalesce("__code", F.lit(self.default))))
+    def _joined(self, df: DataFrame) -> DataFrame:
+        """Codes of the columns whose maps are tables. All of them are looked up
+        together; on a stream, where nothing can be written, one after the other."""
+        columns, kept = list(self.tables), df.columns
+        codes = [f"__code{i}" for i in range(len(columns))]
+        if df.isStreaming:
+            for c, code in zip(columns, codes):
+                df = lookup(df, self.tables[c].select(col(c), "__n", F.col("__code").alias(code)), c, "__n")
+        else:
+            maps = [t.select(F.lit(i).alias(COLUMN), cell(t, c).alias(VALUE), "__code") for i, (c, t) in enumerate(self.tables.items())]
+            df = lookup_columns(df, [cell(df, c) for c in columns], reduce(DataFrame.unionByName, maps), "__code", codes)
+        found = {}
+        for c, code in zip(columns, codes):
+            value = F.col(code)
+            if self.method == "target":
+                value = F.when(col(c).isNotNull(), F.coalesce(value, F.lit(self.default)))
+            else:
+                value = self._known(c, value.isNotNull(), value)
+            found[c] = value
         if not self.drop_original:
-            return out.withColumnRenamed("__code", f"{c}_encoded")
-        return out.select(*[F.col("__code").alias(c) if x == c else col(x) for x in df.columns])
+            return df.select(*[col(c) for c in kept], *[v.alias(f"{c}_encoded") for c, v in found.items()])
+        return df.select(*[found[c].alias(c) if c in found else col(c) for c in kept])
 
     def to_dict(self, folder: str | None = None) -> dict[str, Any]:
         """Parameters for JSON. Maps that are tables are written below ``folder``,

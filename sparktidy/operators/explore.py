@@ -12,15 +12,16 @@ from sparktidy.errors import UnsupportedOperationError
 from sparktidy.functions import types as kinds
 from sparktidy.functions.exprs import col, correlation_label, finite, skew_label
 from sparktidy.operators.kendall import kendall_pair
-from sparktidy.plans.lookup import lookup
+from sparktidy.plans.lookup import COLUMN, COUNT, VALUE, cell_counts, lookup_columns
 from sparktidy.plans.ordering import running_total
 from sparktidy.plans.quantiles import quantiles
 from sparktidy.plans.sampling import hash_limit, key_bits
 from sparktidy.plans.shape import long_cells, rows_from
+from sparktidy.session import materialize
 
 PAIR_COLUMNS = ("column1", "column2", "correlation")
 # Above this width one vector aggregate replaces an aggregate per pair; the results are the same.
-WIDE_COLUMNS = 40
+WIDE_COLUMNS = 12
 
 
 def _doubles(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -56,39 +57,49 @@ def _vector_pairs(data: DataFrame, columns: list[str]) -> DataFrame:
         return data.sparkSession.createDataFrame([(a, b, None) for a, b in combinations(columns, 2)],
                                                  "column1 string, column2 string, correlation double")
     matrix = Correlation.corr(vectors, "v", "pearson").first()[0].toArray()
-    rows = [(a, b, float(matrix[i][j]) if isfinite(matrix[i][j]) else None) for (i, a), (j, b) in combinations(enumerate(columns), 2)]
+    rows = [(a, b, min(max(float(matrix[i][j]), -1.0), 1.0) if isfinite(matrix[i][j]) else None) for (i, a), (j, b) in combinations(enumerate(columns), 2)]
     return data.sparkSession.createDataFrame(rows, "column1 string, column2 string, correlation double")
 
 
-def _value_ranks(data: DataFrame, c: str) -> DataFrame:
-    """``v, n, r`` per value: rows that hold it and their average rank, from a
-    running sum over the counts of the values."""
-    counts = data.where(col(c).isNotNull()).groupBy(col(c).alias("v")).agg(F.count("*").alias("n"))
-    upto = running_total(counts, F.col("n"), ["v"], "upto")
-    return upto.select("v", "n", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("r"))
+def _ranked(data: DataFrame, columns: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """The average rank of every value in place of it. All columns are counted per
+    value in one pass, ranked by one running sum over the counts, and ranked rows come
+    from one lookup: no window holds rows, ties cost nothing, and the plan grows by a
+    broadcast join per column."""
+    values = [F.col(c) for c in columns]
+    counts = materialize(cell_counts(data, values), "counts") if counts is None else counts
+    upto = running_total(counts, F.col(COUNT), [COLUMN, VALUE], "upto", [COLUMN])
+    ranks = upto.select(COLUMN, VALUE, (F.col("upto") - (F.col(COUNT) - 1) / 2.0).alias("rank"))
+    names = [f"rank_{c}" for c in columns]
+    return lookup_columns(data, values, ranks, "rank", names, counts).select(
+        *[F.col(n).alias(c) for n, c in zip(names, columns)])
 
 
 def _spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of average ranks. Values are ranked by their counts and
-    the ranks joined back, so no window ever holds rows and ties cost nothing.
-    Columns without nulls are ranked once and correlated in one aggregate; other
-    pairs rank the rows they share."""
+    """Pearson correlation of average ranks. Columns without nulls are ranked once
+    and correlated in one aggregate; other pairs rank the rows they share."""
     names = [f"c{i}" for i in range(len(columns))]
     data = _doubles(df, columns).toDF(*names)
     data = data.select(*[F.when(F.isnan(n), None).otherwise(F.col(n) + F.lit(0.0)).alias(n) for n in names])
-    counts = data.agg(F.count("*"), *[F.count(n) for n in names]).first()
-    full = [n for n, present in zip(names, counts[1:]) if present == counts[0]]
+    counts = materialize(cell_counts(data, [F.col(n) for n in names]), "counts")
+    present = {r[COLUMN]: r["n"] for r in counts.groupBy(COLUMN).agg(F.sum(COUNT).alias("n")).collect()}
+    rows = data.count()
+    full = [n for i, n in enumerate(names) if rows and present.get(i) == rows]
+    number = F.array_position(F.array(*[F.lit(i) for i, n in enumerate(names) if n in full]), F.col(COLUMN)) - 1
+    of_full = counts.withColumn(COLUMN, number.cast("int")).where(F.col(COLUMN) >= 0) if full else None
     groups = [full] if len(full) > 1 else []
     groups += [[a, b] for a, b in combinations(names, 2) if a not in full or b not in full]
     of, out = dict(zip(names, columns)), None
     for group in groups:
-        ranked = data.select(*group).na.drop()
-        rows = ranked
-        for n in group:
-            table = _value_ranks(rows, n).select(F.col("v").alias(n), "n", F.col("r").alias(f"rank_{n}"))
-            ranked = lookup(ranked, table, n, "n")
+        # no filter over all columns where none is needed: its constraints double with each alias
+        ranked = _ranked(data.select(*group), group, of_full) if group is full else _ranked(data.select(*group).na.drop(), group)
+        if len(group) > WIDE_COLUMNS:
+            names_back = F.create_map(*[F.lit(x) for pair in of.items() for x in pair])
+            out = _vector_pairs(ranked, group).select(names_back[F.col("column1")].alias("column1"),
+                                                      names_back[F.col("column2")].alias("column2"), "correlation")
+            continue
         pairs = list(combinations(group, 2))
-        wide = ranked.agg(*[_corr(F.col(f"rank_{a}"), F.col(f"rank_{b}")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+        wide = ranked.agg(*[_corr(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
         part = rows_from(wide, [{"column1": F.lit(of[a]), "column2": F.lit(of[b]), "correlation": F.col(f"r{i}")}
                                 for i, (a, b) in enumerate(pairs)])
         out = part if out is None else out.unionByName(part)

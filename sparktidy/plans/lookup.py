@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparktidy.functions.exprs import col
+from sparktidy.session import materialize
 
 HOT_LIMIT = 1000
+# Long-form cells: the column's number, the value, how many rows hold it, the row's number.
+COLUMN, VALUE, COUNT, ROW = "__i", "__v", "__n", "__row"
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
@@ -32,3 +35,57 @@ def lookup(df: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
     done = tagged.where(served).select(*names, *[F.col(f"__of_{c}").alias(c) for c in payload])
     rest = tagged.where(~served).select(*names).join(known, col(key) == F.col("__known"), "left")
     return done.unionByName(rest.select(*names, *[F.col(f"__of_{c}").alias(c) for c in payload]))
+
+
+def cell(df: DataFrame, c: str) -> Column:
+    """A column's value as text that is equal where the values are equal, so that
+    columns of different types share one long-form map."""
+    kind, value = df.schema[c].dataType, col(c)
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (value + F.lit(0.0)).cast("string")  # 0.0 and -0.0 are one value
+    return F.hex(value) if isinstance(kind, T.BinaryType) else value.cast("string")
+
+
+def cells(df: DataFrame, values: list[Column], *keep: str) -> DataFrame:
+    """One row per value that is not null: its column's number and the value."""
+    told = F.array(*[F.struct(F.lit(i).alias(COLUMN), v.alias(VALUE)) for i, v in enumerate(values)])
+    return df.select(*keep, F.inline(told)).where(F.col(VALUE).isNotNull())
+
+
+def cell_counts(df: DataFrame, values: list[Column]) -> DataFrame:
+    """Rows per column and value, for all columns in one pass."""
+    return cells(df, values).groupBy(COLUMN, VALUE).agg(F.count("*").alias(COUNT))
+
+
+def lookup_columns(df: DataFrame, values: list[Column], table: DataFrame, payload: str, names: list[str],
+                   counts: DataFrame | None = None) -> DataFrame:
+    """Left join of several columns with one long-form map (``COLUMN, VALUE`` and
+    ``payload``); the results are added under ``names``. Null values match nothing.
+
+    The HOT_LIMIT most frequent values of all columns together, known to the map or
+    not, are found in one pass (or in ``counts``) and matched by broadcasts of as many
+    rows; no row moves for them. The other cells meet the map in one shuffle join and
+    go back to their rows by row number. The table is written once in between, so the
+    plan and the number of scans do not depend on the number of columns but for a
+    broadcast join each."""
+    spark, last = df.sparkSession, len(values) - 1
+    most = (cell_counts(df, values) if counts is None else counts).orderBy(F.desc(COUNT), COLUMN, VALUE).limit(HOT_LIMIT)
+    known = table.select(COLUMN, VALUE, F.col(payload).alias("__p"))
+    hot = most.select(COLUMN, VALUE).join(known, [COLUMN, VALUE], "left")
+    rows = hot.collect()  # HOT_LIMIT rows at most
+    wide = df.select("*", *[v.alias(f"__cell{i}") for i, v in enumerate(values)])
+    for i in range(last + 1):
+        own = spark.createDataFrame([r for r in rows if r[COLUMN] == i], hot.schema).select(
+            F.col(VALUE).alias(f"__key{i}"), F.col("__p").alias(f"__hot{i}"))
+        wide = wide.join(F.broadcast(own), F.col(f"__cell{i}") == F.col(f"__key{i}"), "left")
+    wide = materialize(wide.select(*[col(c) for c in df.columns], F.monotonically_increasing_id().alias(ROW), *[x for i in range(
+        last + 1) for x in (F.when(F.col(f"__key{i}").isNull(), F.col(f"__cell{i}")).alias(f"__cell{i}"), F.col(f"__hot{i}"))]), "lookup")
+    left = [F.col(f"__cell{i}") for i in range(last + 1)]
+    found = cells(wide, left, ROW).join(known, [COLUMN, VALUE]).groupBy(F.col(ROW).alias("__of")).agg(
+        *[F.first(F.when(F.col(COLUMN) == i, F.col("__p")), ignorenulls=True).alias(f"__got{i}") for i in range(last + 1)])
+    open_ = F.coalesce(*[c.cast("string") for c in left]).isNotNull()
+    kept = [col(c) for c in df.columns]
+    done = wide.where(~open_).select(*kept, *[F.col(f"__hot{i}").alias(n) for i, n in enumerate(names)])
+    rest = wide.where(open_).join(found, F.col(ROW) == F.col("__of"), "left").select(
+        *kept, *[F.coalesce(f"__got{i}", f"__hot{i}").alias(n) for i, n in enumerate(names)])
+    return done.unionByName(rest)

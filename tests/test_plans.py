@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparktidy.operators import explore
 from sparktidy.plans import ordering
-from sparktidy.plans.lookup import lookup
+from sparktidy.plans.lookup import cell, lookup, lookup_columns
 from sparktidy.plans.quantiles import exact_quantiles
 from sparktidy.plans.sampling import hash_limit, key_bits
 
@@ -147,3 +147,37 @@ def test_keep_first_limits_before_the_shuffle(spark):
 
     plan = _plan(remove_duplicates(spark.read.parquet("/root/testdata/sf0.001/events.parquet"), ["user_id"], "first", ["event_id"]))
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") + df._jdf.queryExecution(
+        ).optimizedPlan().toString().count("LogicalRDD [")
+
+
+def test_spearman_plan_is_linear_in_columns(spark):
+    wide = spark.range(300).select(*[(F.col("id") * (7 * i + 3) % (50 + 40 * i)).cast("double").alias(f"x{i}") for i in range(20)])
+    found = {}
+    for n in (4, 8, 20):
+        names = [f"x{i}" for i in range(n)]
+        pairs = explore.correlation_pairs(wide, names, "spearman")
+        found[n] = scans(pairs)
+        frame = wide.select(*names).toPandas().corr("spearman")
+        for r in pairs.collect():
+            assert abs(r.correlation - frame.loc[r.column1, r.column2]) < 1e-9
+    assert found[8] - found[4] <= 2 * 4 and found[20] <= found[8]  # wide ones go through one vector aggregate
+
+
+def test_lookup_of_several_columns(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, None if i % 11 == 0 else int(v) if v < 0.7 * 4000 else -1, f"k{int(v) % 2500}", float(i % 7) if i % 7 else -0.0)
+            for i, v in enumerate(rng.integers(0, 4000, 6000))]
+    df = spark.createDataFrame(rows, "id long, a long, b string, c double").repartition(5)
+    maps = [{v: j * 1.0 for j, v in enumerate(sorted({r[k] for r in rows if r[k] is not None})) if j % 3} for k in (1, 2, 3)]
+    table = spark.createDataFrame([(i, str(0.0 + v if i == 2 else v), p) for i, m in enumerate(maps) for v, p in m.items()],
+                                  "__i int, __v string, code double")
+    got = lookup_columns(df, [cell(df, c) for c in "abc"], table, "code", ["x", "y", "z"])
+    assert got.columns == ["id", "a", "b", "c", "x", "y", "z"]
+    want = {i: (maps[0].get(a), maps[1].get(b), maps[2].get(c)) for i, a, b, c in rows}
+    assert {r.id: (r.x, r.y, r.z) for r in got.collect()} == want
+    assert got.count() == len(rows) and scans(got) <= 12
+    assert lookup_columns(df.limit(0), [cell(df, "a")], table, "code", ["x"]).count() == 0
