@@ -54,6 +54,21 @@ def sql_range_join(spark, d):
     return joined.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.round(F.sum("p_retailprice"), 2).alias("total"))
 
 
+@check("sql_range_join_long", """WITH p AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN 25000.0 ELSE l_extendedprice::DOUBLE END AS price
+  FROM lineitem), b AS (SELECT n_nationkey AS band, CASE WHEN n_nationkey % 5 = 0 THEN -1.0 ELSE n_nationkey * 3000.0 END AS low,
+  CASE WHEN n_nationkey % 5 = 0 THEN 1e9 WHEN n_nationkey % 5 = 1 THEN n_nationkey * 3000.0 + 40000 ELSE n_nationkey * 3000.0 + 700 END AS high FROM nation)
+  SELECT band, count(*) AS n, sum(l_orderkey * 10 + l_linenumber)::BIGINT AS keys FROM b JOIN p ON price >= low AND price < high GROUP BY band""")
+def sql_range_join_long(spark, d):
+    """Intervals from short ones to the whole axis, and one price in a third of the points."""
+    points = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr(
+        "CASE WHEN l_orderkey % 3 = 0 THEN 25000.0D ELSE cast(l_extendedprice AS double) END AS price"))
+    bands = table(spark, d, "nation").selectExpr(
+        "n_nationkey AS band", "CASE WHEN n_nationkey % 5 = 0 THEN -1.0D ELSE n_nationkey * 3000.0D END AS low",
+        "CASE n_nationkey % 5 WHEN 0 THEN 1e9D WHEN 1 THEN n_nationkey * 3000.0D + 40000 ELSE n_nationkey * 3000.0D + 700 END AS high")
+    return range_join(points, bands, "price", "low", "high").groupBy("band").agg(
+        F.count("*").alias("n"), F.sum(F.expr("l_orderkey * 10 + l_linenumber")).alias("keys"))
+
+
 @check("asof_join", """WITH e AS (SELECT event_id, ts, user_id FROM events), p AS (SELECT ts, user_id, value AS last_purchase FROM events
   WHERE event_type = 'purchase') SELECT event_id, user_id, last_purchase FROM e ASOF LEFT JOIN p USING (user_id, ts)""")
 def asof_join_query(spark, d):

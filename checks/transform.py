@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from checks.common import DIRTY, check, dirty, rounded, table, union_all
+from sparktidy.functions import normal
 from sparktidy.operators import encode, features, scale, select, transformer
 
 CUSTOMER = ["c_custkey", "c_nationkey", "c_acctbal"]
@@ -161,20 +162,37 @@ def scale_maxabs(spark, d):
 
 
 # Knots are linear quantiles at least(1000, n) evenly spaced ranks.
-@check("scale_quantile_uniform", """WITH s AS (SELECT list_sort(list(c_acctbal)) AS l, count(*) AS n, least(1000, count(*)) AS k FROM customer),
+_UNIFORM = """WITH s AS (SELECT list_sort(list(c_acctbal)) AS l, count(*) AS n, least(1000, count(*)) AS k FROM customer),
   g AS (SELECT l, n, i::DOUBLE / (k - 1) AS p, i::DOUBLE / (k - 1) * (n - 1) AS spot FROM (SELECT *, unnest(range(k)) AS i FROM s)),
   kn AS (SELECT p, l[floor(spot)::BIGINT + 1] * (1 - (spot - floor(spot))) + l[ceil(spot)::BIGINT + 1] * (spot - floor(spot)) AS q FROM g),
   near AS (SELECT c_custkey, c_acctbal AS x, max(q) FILTER (q <= c_acctbal) AS ql, min(q) FILTER (q >= c_acctbal) AS qh,
   max(p) FILTER (q <= c_acctbal) AS pl, min(p) FILTER (q >= c_acctbal) AS ph, any_value(lo) AS lo, any_value(hi) AS hi
-  FROM customer, kn, (SELECT min(q) AS lo, max(q) AS hi FROM kn) GROUP BY 1, 2)
-  SELECT c_custkey, round(CASE WHEN x = lo THEN 0.0 WHEN x = hi THEN 1.0 WHEN ql = qh THEN (pl + ph) / 2
-  ELSE pl + (ph - pl) * (x - ql) / (qh - ql) END, 6) AS c_acctbal FROM near""")
+  FROM customer, kn, (SELECT min(q) AS lo, max(q) AS hi FROM kn) GROUP BY 1, 2),
+  placed AS (SELECT c_custkey, CASE WHEN x = lo THEN 0.0 WHEN x = hi THEN 1.0 WHEN ql = qh THEN (pl + ph) / 2
+  ELSE pl + (ph - pl) * (x - ql) / (qh - ql) END::DOUBLE AS p FROM near)"""
+
+
+@check("scale_quantile_uniform", _UNIFORM + " SELECT c_custkey, round(p, 6) AS c_acctbal FROM placed")
 def scale_quantile_uniform(spark, d):
     df = table(spark, d, "customer").select("c_custkey", "c_acctbal")
     return rounded(scale.scale(df, "quantile_uniform", columns=["c_acctbal"]))
 
 
-@check("scale_quantile_normal")
+def _ratio(coefficients, x):
+    """A quotient of two polynomials, highest power first, as SQL."""
+    def nested(powers):
+        out = f"{powers[0]!r}::DOUBLE"
+        for c in powers[1:]:
+            out = f"({out} * {x} + {c!r})"
+        return out
+
+    return f"{nested(coefficients[0])} / {nested(coefficients[1])}"
+
+
+@check("scale_quantile_normal", _UNIFORM + f""", clipped AS (SELECT c_custkey, least(greatest(p, {scale.NORMAL_CLIP!r}), 1 - {scale.NORMAL_CLIP!r}) AS p FROM placed),
+  terms AS (SELECT c_custkey, p - 0.5 AS q, sqrt(-ln(least(p, 1 - p))) AS t FROM clipped)
+  SELECT c_custkey, round(CASE WHEN abs(q) <= 0.425 THEN q * {_ratio(normal.CENTRE, "(0.180625 - q * q)")}
+  ELSE sign(q) * CASE WHEN t <= 5 THEN {_ratio(normal.NEAR, "(t - 1.6)")} ELSE {_ratio(normal.FAR, "(t - 5.0)")} END END, 6) AS c_acctbal FROM terms""")
 def scale_quantile_normal(spark, d):
     df = table(spark, d, "customer").select("c_custkey", "c_acctbal")
     return rounded(scale.scale(df, "quantile_normal", columns=["c_acctbal"]))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sparktidy.errors import DataValidationError
 from sparktidy.functions.exprs import col
 from sparktidy.plans.ordering import RANGE, RANGE_ROWS, fill_along, range_cuts, with_ranges
+from sparktidy.session import materialize
 
 
 def sql(tables: DataFrame | dict[str, DataFrame], query: str) -> DataFrame:
@@ -52,20 +53,61 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], right_c
         *[F.col(f"__right.`{c}`").alias(c) for c in right_columns]).unionByName(unmatched)
 
 
+FAN_BITS = 4  # sixteen cells make a cell of the next level
+
+
+def _levels(cells: int) -> int:
+    """Levels of cells until one level has no more than sixteen."""
+    levels = 1
+    while cells > 1 << (FAN_BITS * levels):
+        levels += 1
+    return levels
+
+
+def _cover(first: Column, last: Column, levels: int) -> Column:
+    """The cells of all levels that make up the run ``first`` to ``last``, each once:
+    up to fifteen at either end of every level, whatever the length of the run."""
+    fan, nothing, out = 1 << FAN_BITS, F.array().cast("array<struct<level:int,cell:int>>"), []
+    for level in range(levels):
+        def run(a: Column, b: Column, level=level) -> Column:
+            return F.when(a <= b, F.transform(F.sequence(a, b), lambda c: F.struct(
+                F.lit(level).alias("level"), c.cast("int").alias("cell")))).otherwise(nothing)
+
+        if level == levels - 1:
+            out.append(run(first, last))
+            break
+        above_first, above_last = F.ceil(first / fan).cast("int"), (F.floor((last + 1) / fan) - 1).cast("int")
+        left_end = F.least(last, above_first * fan - 1)
+        out.append(run(first, left_end))
+        out.append(run(F.greatest(left_end + 1, (above_last + 1) * fan), last))
+        first, last = above_first, above_last
+    return F.concat(*out)
+
+
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str) -> DataFrame:
     """Inner join on ``low <= point < high`` as an equality join on cells of the
-    point axis instead of comparing every pair. Cells hold about equally many
-    points; a cell that a frequent value fills is divided into pieces, and its
-    intervals are repeated once per piece."""
+    point axis instead of comparing every pair.
+
+    Cells hold about equally many points; sixteen of them make a cell of the next
+    level. An interval goes to the few cells of all levels that make it up, so one
+    that spans the axis costs as much as a short one, and a point to the cells above
+    it that some interval uses. A cell that many points fill is divided into pieces,
+    in which its intervals are repeated. Null ends and points match nothing."""
     cuts = range_cuts(points, [point])[point]
-    p = with_ranges(points, point, cuts)
-    pieces = p.groupBy(RANGE).agg(F.ceil(F.count("*") / F.lit(RANGE_ROWS)).cast("int").alias("__pieces"))
-    p = p.join(F.broadcast(pieces), RANGE).withColumn(
-        "__piece", F.pmod(F.xxhash64(*[col(c) for c in points.columns]), F.col("__pieces")).cast("int")).drop("__pieces")
+    levels = _levels(len(cuts) + 1)
     r = with_ranges(ranges, low, cuts).withColumnRenamed(RANGE, "__first")
     r = with_ranges(r, high, cuts).withColumnRenamed(RANGE, "__last").where(col(low) < col(high))
-    r = r.withColumn(RANGE, F.explode(F.sequence("__first", "__last"))).drop("__first", "__last")
-    r = (r.join(F.broadcast(pieces), RANGE)
+    r = r.withColumn("__at", F.explode(_cover(F.col("__first"), F.col("__last"), levels))).drop("__first", "__last")
+    p = with_ranges(points.where(col(point).isNotNull()), point, cuts)
+    above = F.array(*[F.struct(F.lit(i).alias("level"), F.shiftright(RANGE, FAN_BITS * i).cast("int").alias("cell")) for i in range(levels)])
+    # no more cells than there are on the axis, however many points and intervals
+    used = r.groupBy("__at").agg(F.count("*").alias("__n")).select("__at")
+    pieces = p.groupBy(RANGE).agg(F.count("*").alias("__n")).select(F.explode(above).alias("__at"), "__n").groupBy("__at").agg(
+        F.ceil(F.sum("__n") / F.lit(RANGE_ROWS)).cast("int").alias("__pieces")).join(F.broadcast(used), "__at")
+    pieces = materialize(pieces, "cells")
+    p = p.withColumn("__at", F.explode(above)).drop(RANGE).join(F.broadcast(pieces), "__at").withColumn(
+        "__piece", F.pmod(F.xxhash64(*[col(c) for c in points.columns]), F.col("__pieces")).cast("int")).drop("__pieces")
+    r = (r.join(F.broadcast(pieces), "__at")
          .withColumn("__piece", F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1))).drop("__pieces"))
-    return (p.join(r, [RANGE, "__piece"])
-            .where((col(point) >= col(low)) & (col(point) < col(high))).drop(RANGE, "__piece"))
+    return (p.join(r, ["__at", "__piece"])
+            .where((col(point) >= col(low)) & (col(point) < col(high))).drop("__at", "__piece"))

@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from sparktidy import Config, FastDataLoader, asof_join, get_config, range_join, reset_config, sql, to_records, update_config
 from sparktidy.errors import DataLoadError, TidyError, UnsupportedOperationError
 from sparktidy.operators import query
@@ -123,6 +125,25 @@ def test_joins(spark, monkeypatch):
     assert same(got.select("id", "b"), want.select("id", "b")) and got.count() > 67
 
 
+def test_range_join_covers_runs_by_few_cells(spark):
+    """Every run of cells is made up exactly once, by at most thirty cells a level."""
+    runs = spark.createDataFrame([(a, b) for a in range(0, 600, 7) for b in [a, a + 1, a + 15, a + 16, a + 250, 599] if a <= b], "a int, b int")
+    for r in runs.select("a", "b", query._cover(F.col("a"), F.col("b"), 3).alias("c")).collect():
+        made = [x for level, cell in r.c for x in range(cell * 16**level, (cell + 1) * 16**level)]
+        assert sorted(made) == list(range(r.a, r.b + 1)) and len(r.c) <= 90
+
+
+def test_range_join_with_long_intervals_and_a_frequent_point(spark, monkeypatch):
+    monkeypatch.setattr(query, "RANGE_ROWS", 200)
+    points = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 50.0D WHEN id % 101 = 0 THEN NULL ELSE (id * 37) % 1000 / 10.0D END AS p")
+    bands = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(
+        [(-5.0, 500.0), (0.0, 100.0), (50.0, 50.1), (49.9, 50.0), (10.0, 10.0), (20.0, 5.0), (99.0, 1e9), (None, 5.0), (3.0, None), (7.0, 83.0)])],
+        "b int, lo double, hi double")
+    got = range_join(points, bands, "p", "lo", "hi")
+    want = points.join(bands, (points.p >= bands.lo) & (points.p < bands.hi))
+    assert got.count() == want.count() and same(got.select("id", "b"), want.select("id", "b"))
+
+
 @pytest.fixture(scope="module")
 def arriving(spark, tmp_path_factory):
     """A table written in five files."""
