@@ -1,5 +1,4 @@
 import pytest
-
 from pyspark.sql import functions as F
 
 from sparktidy import Config, FastDataLoader, asof_join, get_config, range_join, reset_config, sql, to_records, update_config
