@@ -219,6 +219,7 @@ class _Join:
         listed = materialize(self.docs.mapInArrow(
             _ordered(n, percent, order),
             "doc_id long, size long, m1 long, m2 long, prefix array<long>, spread array<int>"), "prefixes")
+        order.destroy()  # the prefixes are written
         self.nodes = self._classes(listed)
         entries = self._tokens(self._shared(listed))
         best = self._pivot_pairs(entries)
@@ -321,7 +322,9 @@ class _Join:
         wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
         field = self.sc.broadcast(id_filter(wanted))
         found = self.docs.mapInArrow(_sets(self.how.words, field), "id long, grams array<long>")
-        return materialize(found.join(wanted, "id", "left_semi"), "sets")
+        sets = materialize(found.join(wanted, "id", "left_semi"), "sets")
+        field.destroy()
+        return sets
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose whole sets are similar enough."""
@@ -375,6 +378,7 @@ def keep_one(docs: DataFrame, how: Jaccard = Jaccard()) -> DataFrame:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_hit(field.value, batch.column(batch.num_columns - 1)))],
                                                  [*batch.schema.names, "hit"])
+            W.give_back()
 
         return df.mapInArrow(hit, f"{row}, id long, hit boolean")
 

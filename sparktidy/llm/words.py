@@ -10,6 +10,7 @@ different words meet the same hash with probability near 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,10 +37,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces, so that what a task derives from a batch stays small."""
+    """The batches in pieces, so that what a task derives from a batch stays small.
+    After the last one the worker's free memory goes back to the machine."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Workers outlive their tasks; freed memory that they kept would add up with
+    what the next stages need."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 @lru_cache(maxsize=4)
