@@ -93,6 +93,8 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
     total = np.zeros((COUNTERS // LANES, LANES))
     if summed.num_rows:
         total[summed.column("row").to_numpy()] = np.stack([summed.column(c).to_numpy() for c in lanes], axis=1)
+    summed = None
+    W.give_back()
     return np.rint(16 * np.log2(1 + total.ravel())).astype(np.uint16)
 
 
@@ -143,6 +145,8 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     words = ids.mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     field = np.zeros(BITS // 64, np.int64)
     field[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    words = None
+    W.give_back()
     return np.unpackbits(field.view(np.uint8), bitorder="little").view(bool)
 
 

@@ -219,7 +219,7 @@ def redact(docs: DataFrame, how: Personal = Personal(), mark: str = "[PERSONAL]"
     scanned = materialize(hidden.withColumn("spans", proposals(text)), "proposals")
     model = learn(scanned, how, inner["doc_id"])
     out = scanned.withColumn("found", selected(F.col("spans"), model))
-    out = out.withColumn(inner["text"], F.when(F.size("found") > 0, masked(text, F.col("found"), mark)).otherwise(text))
+    out = out.withColumn(inner["text"], masked(text, F.col("found"), mark))
     if "n_chars" in inner:
         out = out.withColumn(inner["n_chars"], F.length(text).cast("long"))
     return show(out, inner)

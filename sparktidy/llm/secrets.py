@@ -144,7 +144,7 @@ def redact(docs: DataFrame, own: Ownership = Ownership(), mark: str = "[SECRET]"
     held = _judged(scanned.where(F.size("spans") > 0), own).withColumn("live", F.transform(
         live, lambda s: F.struct(s["from"].alias("start"), s["end"].alias("end"))))
     text = F.col(inner["text"])
-    held = held.withColumn(inner["text"], F.when(F.size("live") > 0, masked(text, F.col("live"), mark)).otherwise(text))
+    held = held.withColumn(inner["text"], masked(text, F.col("live"), mark))
     if "n_chars" in inner:
         held = held.withColumn(inner["n_chars"], F.length(text).cast("long"))
     return show(clean, inner).unionByName(show(held, inner))

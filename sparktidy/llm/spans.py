@@ -1,8 +1,8 @@
 """Matches of patterns with their places, in DataFrame functions only.
 
-Everything here is linear in the matches of one text (but for the sorting of
-spans), so a page of checksums costs no more a match than a short note. Places
-count code points, ends are exclusive.
+The work a match costs hardly grows with the matches of its text (spans are sorted,
+running values taken by blocks), so a page of checksums costs no more a match than a
+short note. Places count code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-WIDTH_BITS = 5  # running values are worked out within blocks of 2**5, blocks of blocks and so on
-LEVELS = 2  # of blocks; what is left, a thousandth of the elements, is summed plainly
+WIDTH_BITS = 7  # running values are worked out within blocks of 2**7
+LEVELS = 1  # levels of blocks; across them, a hundredth of the elements, plainly. Each level doubles the expression
 CHUNK_BITS = 6  # spans whose stretch of a text is cut out at once
 
 
