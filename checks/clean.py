@@ -7,6 +7,7 @@ from sparktidy.config import get_config
 from sparktidy.operators import cleaner, repair
 from sparktidy.operators.dedup import remove_duplicates
 from sparktidy.operators.impute import impute, null_ratios
+from sparktidy.operators.knn import knn_impute
 from sparktidy.operators.outliers import treat_outliers
 
 OUT = ["event_id", "user_id", "event_type", "value", "props"]
@@ -102,6 +103,28 @@ def impute_knn(spark, d):
     return rounded(impute(parts, "knn", ["p_retailprice"], key=["p_partkey"]))
 
 
+GAPS = """gaps AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey * 10 END AS serial,
+  CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_size END AS size,
+  CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_retailprice END AS price FROM part)"""
+
+
+@check("impute_knn_gaps", f"""WITH {GAPS}, near AS (SELECT q.p_partkey, d.price, row_number() OVER (PARTITION BY q.p_partkey
+  ORDER BY (coalesce(pow(q.serial - d.serial, 2), 0) + coalesce(pow(q.size - d.size, 2), 0)) * (3.0::DOUBLE
+    / ((q.serial IS NOT NULL AND d.serial IS NOT NULL)::INT + (q.size IS NOT NULL AND d.size IS NOT NULL)::INT)), d.p_partkey) AS place
+  FROM gaps q, gaps d WHERE q.price IS NULL AND d.price IS NOT NULL
+    AND ((q.serial IS NOT NULL AND d.serial IS NOT NULL) OR (q.size IS NOT NULL AND d.size IS NOT NULL))),
+  fill AS (SELECT p_partkey, avg(price) AS fill FROM near WHERE place <= 5 GROUP BY 1)
+  SELECT p_partkey, round(coalesce(price, fill, (SELECT avg(price) FROM gaps)), 6) AS price FROM gaps LEFT JOIN fill USING (p_partkey)""")
+def impute_knn_gaps(spark, d):
+    """Nulls in the widest column and in the other one, on both sides."""
+    gaps = table(spark, d, "part").select("p_partkey", F.expr(
+        "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey * 10 END").alias("serial"), F.expr(
+        "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_size END").alias("size"), F.expr(
+        "CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_retailprice END").alias("price"))
+    filled = knn_impute(gaps, "price", ["p_partkey"], columns=["serial", "size", "price"], cell_rows=500)
+    return rounded(filled.select("p_partkey", "price"))
+
+
 @check("null_ratio_filter", f"""WITH {DIRTY} SELECT 'event_type' AS "column", round((count(*) - count(event_type)) * 100.0::DOUBLE / count(*), 6)
   AS missing_pct FROM dirty UNION ALL SELECT 'value', round((count(*) - count(value)) * 100.0::DOUBLE / count(*), 6) FROM dirty""")
 def null_ratio_filter(spark, d):

@@ -9,6 +9,7 @@ from sparktidy.errors import DataValidationError, UnsupportedOperationError
 from sparktidy.operators import repair
 from sparktidy.operators.dedup import remove_duplicates
 from sparktidy.operators.impute import columns_within_threshold, impute
+from sparktidy.operators import knn
 from sparktidy.operators.knn import knn_impute
 from sparktidy.operators.outliers import fit_fences, outlier_report, treat_outliers
 
@@ -119,6 +120,58 @@ def test_knn_against_brute_force(spark, cell_rows):
         assert math.isclose(got[i], value, abs_tol=1e-9), i
 
 
+@pytest.mark.parametrize("cell_rows", [10_000, 25])
+def test_knn_where_columns_are_missing_in_turn(spark, cell_rows):
+    """Rows that lack the widest column, all but one column or all of them, and
+    values that are no numbers."""
+    rng = np.random.default_rng(9)
+    n = 500
+    pdf = pd.DataFrame({"id": np.arange(n), "wide": np.round(rng.normal(0, 900, n), 1), "mid": np.round(rng.normal(0, 40, n), 1),
+                        "thin": rng.integers(0, 5, n).astype(float), "y": np.round(rng.normal(5, 2, n), 3)})
+    pdf.loc[pdf.id % 5 == 0, "wide"] = np.nan
+    pdf.loc[pdf.id % 7 == 0, "mid"] = np.nan
+    pdf.loc[pdf.id % 35 == 0, "thin"] = np.nan
+    pdf.loc[pdf.id % 4 == 0, "y"] = np.nan
+    want = brute_knn(pdf, "y", ["wide", "mid", "thin"], 5)
+    given = pdf.astype(object).where(pdf.notna(), None)
+    given.loc[10, "wide"], given.loc[15, "wide"] = math.inf, math.nan
+    df = spark.createDataFrame(given, "id long, wide double, mid double, thin double, y double")
+    filled = knn_impute(df, "y", ["id"], columns=["wide", "mid", "thin", "y"], cell_rows=cell_rows)
+    got = {r.id: r.y for r in filled.collect()}
+    assert len(got) == n
+    for i, value in want.items():
+        assert math.isclose(got[i], value, abs_tol=1e-9), i
+
+
+def test_knn_boxes_bound_distances_and_rule_cells_out():
+    """No donor lies nearer than its cell's bound, and a row without the widest
+    column still visits few cells of its own tree."""
+    rng = np.random.default_rng(4)
+    points = np.column_stack([rng.normal(0, s, 4000) for s in (500, 60, 40)])
+    points[::3, 1] = 7.0  # a third of the donors share a value
+    points[::11, 2] = np.nan
+    queries = np.column_stack([rng.normal(0, s, 60) for s in (500, 60, 40)])
+    for lacking, axes in ((None, [0, 1, 2]), (0, [1, 2])):
+        q = queries.copy()
+        if lacking is not None:
+            q[:, lacking] = np.nan
+        tree = knn.grow(points, axes, 64)
+        cell = tree.cell(points)
+        names = np.unique(cell)
+        parts = [points[cell == c] for c in names]
+        boxes = knn.Boxes(names, np.zeros(len(names), int), np.array([len(p) for p in parts]),
+                          np.array([np.nanmin(p, axis=0, initial=np.inf) for p in parts]),
+                          np.array([np.nanmax(p, axis=0, initial=-np.inf) for p in parts]),
+                          np.array([~np.isnan(p).any(axis=0) for p in parts]), np.array([~np.isnan(p).all(axis=0) for p in parts]))
+        assert 40 <= tree.cells <= 90 and max(len(p) for p in parts) < 400
+        bounds, exact = boxes.bounds(q, 4), knn._distances(q, points, 4)
+        for j, c in enumerate(names):
+            assert (bounds[:, j] <= exact[:, cell == c].min(axis=1)).all()
+        edge = np.sort(exact, axis=1)[:, 4]
+        visits = [len(v) for v in boxes.within(np.zeros(60, int), q, 4, edge)]
+        assert np.mean(visits) < len(names) / 3, lacking
+
+
 def test_knn_needs_key_and_second_column(spark, nulls):
     with pytest.raises(DataValidationError):
         impute(nulls, "knn", ["score"])
