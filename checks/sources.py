@@ -1,10 +1,12 @@
 """Loading, saving and chunking."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from checks.common import check, table
 from sparktidy.session import work_folder
-from sparktidy.sources import files
+from sparktidy.sources import files, footers
 
 EVENTS_OUT = "SELECT event_id, epoch_us(ts) AS ts_us, user_id, event_type, value, props FROM events"
 
@@ -102,6 +104,41 @@ def file_info(spark, d):
         "format", F.col("n_columns").cast("bigint").alias("n_columns"), "columns", "n_rows")
 
 
+@check("footer_facts", "\nUNION ALL\n".join(f"""SELECT '{c}' AS "column", count(*) AS n_values, CAST(count(*) - count({c}) AS BIGINT) AS n_nulls,
+       CAST({low} AS DOUBLE) AS low, CAST({high} AS DOUBLE) AS high FROM events""" for c, low, high in [
+    *[(c, f"min({c})", f"max({c})") for c in ("event_id", "user_id", "value")], ("ts", "epoch_us(min(ts))", "epoch_us(max(ts))"),
+    *[(c, "NULL", "NULL") for c in ("event_type", "props")]]))
+def footer_facts(spark, d):
+    return footers.column_facts(spark, f"{d}/events.parquet").drop("position")
+
+
+@check("csv_estimate", "SELECT 'events' AS name, CAST(count(*) AS BIGINT) AS n_rows, true AS near FROM events")
+def csv_estimate(spark, d):
+    path = work_folder(spark, "events") + ".csv"
+    files.save_data(table(spark, d, "events"), path)
+    near = F.abs(F.lit(files.estimate_rows(spark, path)) / F.col("n_rows") - 1) < 0.05
+    return files.table_info(spark, path).select(F.lit("events").alias("name"), "n_rows", near.alias("near"))
+
+
+@check("chunk_rows", """SELECT event_id, ts, user_id, event_type, value, props, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / 1000) AS BIGINT) AS chunk_id
+       FROM events""")
+def chunk_rows(spark, d):
+    """Over many files of several row groups, cut elsewhere than the chunks are."""
+    path = work_folder(spark, "events") + ".parquet"
+    table(spark, d, "events").repartitionByRange(7, "event_id").sortWithinPartitions("event_id").write.option(
+        "parquet.block.size", 64 * 1024).option("parquet.page.size", 8 * 1024).parquet(path)
+    return footers.read_chunks(spark, path, 1000)
+
+
+@check("stream_chunks", """SELECT CAST(row_number() OVER (ORDER BY min(event_id)) - 1 AS BIGINT) AS chunk, count(*) AS n_rows, min(event_id) AS first_id,
+       max(event_id) AS last_id, round(sum(value), 6) AS total FROM events GROUP BY CAST(floor(event_id / 8192) AS BIGINT)""")
+def stream_chunks(spark, d):
+    chunks = files.FastDataLoader(spark).stream_chunks(f"{d}/events.parquet", chunk_size=8192)
+    facts = [c.agg(F.lit(i).cast("long").alias("chunk"), F.count("*").alias("n_rows"), F.min("event_id").alias("first_id"),
+                   F.max("event_id").alias("last_id"), F.round(F.sum("value"), 6).alias("total")) for i, c in enumerate(chunks)]
+    return reduce(DataFrame.unionByName, facts)
+
+
 @check("chunk_ids", """SELECT event_id, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / 1000) AS BIGINT) AS chunk_id
        FROM events""")
 def chunk_ids(spark, d):

@@ -12,6 +12,8 @@ from sparktidy.config import get_config
 from sparktidy.errors import DataLoadError, ExportError, UnsupportedOperationError
 from sparktidy.functions.exprs import col, format_bytes
 from sparktidy.plans.ordering import row_numbers
+from sparktidy.session import materialize, work_folder
+from sparktidy.sources import csvrecords, footers
 
 # File name endings and the formats they stand for.
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "jsonl"}
@@ -23,6 +25,7 @@ SAVE_MODES = ("error", "overwrite", "append", "ignore")
 WRITTEN_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
                  "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 CSV_INFER_RATIO = 1.0
+ESTIMATE_LINES = 1000
 
 
 def detect_format(path: str) -> str:
@@ -43,7 +46,9 @@ def load_data(
     ``json_lines``: True reads one record per line, False whole files (an array,
     or an object over several lines: one task per file). By default the first
     line decides. ``multiLine`` does the same for CSV cells that hold line ends;
-    by default one pass looks for quotes that a line leaves open.
+    by default one pass looks for quotes that a line leaves open, and if it finds one
+    the records are put together by many tasks a file; ``multiLine=True`` has Spark
+    read whole files instead.
     """
     json_lines = options.pop("json_lines", None)
     fmt = (format or detect_format(path)).lower()
@@ -54,10 +59,12 @@ def load_data(
     if fmt == "csv":
         settings = {"header": True, "sep": config.csv_delimiter, "encoding": config.default_encoding,
                     "mode": "PERMISSIVE", "escape": '"'}
-        if "multiLine" not in options:
-            settings["multiLine"] = _open_quotes(spark, path, options.get("quote", '"'))
         if schema is None:
             settings |= {"inferSchema": True, "samplingRatio": CSV_INFER_RATIO}
+        if "multiLine" not in options and _open_quotes(spark, path, options.get("quote", '"')):
+            if csvrecords.fits(spark, path, {**settings, **options}):
+                return csvrecords.read(spark, path, schema, {**settings, **options})
+            settings["multiLine"] = True
         reader, source = reader.options(**{**settings, **options}), "csv"
     elif fmt == "json":
         if "multiLine" not in options:
@@ -120,13 +127,35 @@ def file_info(spark: SparkSession, path: str) -> DataFrame:
         F.col("modificationTime").alias("last_modified"))
 
 
-def table_info(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
-    """One row per table: files, bytes, format, columns and exact row count
-    (for Parquet the count comes from the footers)."""
+def estimate_rows(spark: SparkSession, path: str, header: bool = True) -> int:
+    """About how many records a text file or folder (CSV, JSON lines) holds: its
+    bytes over those of a line, taken from the first thousand lines. A file is
+    read no further than that; compressed files and lines that differ in length
+    along a table make it rougher."""
+    size = file_info(spark, path).agg(F.count("*").alias("files"), F.sum("file_size_bytes").alias("bytes")).first()
+    lines = _lines(spark, path).limit(ESTIMATE_LINES).select((F.octet_length("value") + 1).alias("bytes"))
+    seen = lines.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    if not seen["n"]:
+        return 0
+    heads = size["files"] if header else 0
+    if seen["n"] < ESTIMATE_LINES:  # that was all of it
+        return max(seen["n"] - heads, 0)
+    return max(round(size["bytes"] * seen["n"] / seen["bytes"]) - heads, 0)
+
+
+def table_info(spark: SparkSession, path: str, format: str | None = None, exact: bool = True) -> DataFrame:
+    """One row per table: files, bytes, format, columns and row count. For Parquet
+    the count is the footers'; for text formats it is counted, or estimated from
+    a thousand lines if ``exact`` is off (arrays in JSON are always counted)."""
     fmt = format or detect_format(path)
     df = load_data(spark, path, format=fmt)
     size = file_info(spark, path).agg(F.count("*").alias("n_files"), F.sum("file_size_bytes").alias("size_bytes"))
-    rows = df.agg(F.count("*").alias("n_rows"))
+    if fmt == "parquet" and footers.can_open(spark, path):
+        rows = footers.row_groups(spark, path).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"))
+    elif not exact and (fmt in ("csv", "jsonl") or fmt == "json" and _one_record_a_line(spark, path)):
+        rows = spark.range(1).select(F.lit(estimate_rows(spark, path, header=fmt == "csv")).cast("long").alias("n_rows"))
+    else:
+        rows = df.agg(F.count("*").alias("n_rows"))
     return size.withColumn("__one", F.lit(1)).join(
         F.broadcast(rows.withColumn("__one", F.lit(1))), "__one").select(
         "n_files", "size_bytes", F.lit(fmt).alias("format"), F.lit(len(df.columns)).alias("n_columns"),
@@ -203,18 +232,28 @@ class FastDataLoader:
     def peek(self, path: str, n_rows: int | None = None, **options: Any) -> DataFrame:
         return peek(self.spark, path, n_rows, **options)
 
-    def get_info(self, path: str) -> dict[str, Any]:
-        facts = table_info(self.spark, path).first().asDict()
+    def get_info(self, path: str, exact: bool = True) -> dict[str, Any]:
+        facts = table_info(self.spark, path, exact=exact).first().asDict()
         return {**facts, "size_human": format_bytes(facts["size_bytes"] or 0), "columns": facts["columns"].split(",")}
 
-    def stream_chunks(self, path: str, order_by: list[str], chunk_size: int | None = None, **options: Any):
-        """Tables of one chunk each, in order. Chunk ids are written once, so a
+    def stream_chunks(self, path: str, order_by: list[str] | None = None, chunk_size: int | None = None, **options: Any):
+        """Tables of one chunk each, in order. Without ``order_by`` a Parquet table
+        is cut in the order of its files: a chunk reads the row groups it touches
+        and the table is not rewritten. Otherwise chunk ids are written once, so a
         chunk is a partition read rather than a pass over the whole table."""
-        from sparktidy.session import work_folder
-
+        size = chunk_size or get_config().chunk_size
+        df = load_data(self.spark, path, **options)
+        if order_by is None:
+            fmt = options.get("format") or detect_format(path)
+            if fmt != "parquet" or not footers.can_open(self.spark, path):
+                raise UnsupportedOperationError("chunks of this table need order_by: only Parquet files that tasks can open have an order")
+            groups = materialize(footers.numbered_groups(self.spark, path), "row-groups")
+            rows = groups.agg(F.sum("n_rows")).first()[0] or 0
+            for chunk in range(-(-rows // size)):
+                yield footers.chunked(groups, df.schema, size, chunk).drop(footers.CHUNK)
+            return
         folder = work_folder(self.spark, "chunks")
-        chunked = with_chunk_ids(load_data(self.spark, path, **options), order_by, chunk_size)
-        chunked.write.partitionBy("chunk_id").parquet(folder)
+        with_chunk_ids(df, order_by, size).write.partitionBy("chunk_id").parquet(folder)
         stored = self.spark.read.parquet(folder)
         last = stored.agg(F.max("chunk_id")).first()[0]
         for chunk in range(0 if last is None else last + 1):

@@ -1,4 +1,9 @@
+import csv
+import io
+import random
+
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from sparktidy import Config, FastDataLoader, asof_join, get_config, range_join, reset_config, sql, to_records, update_config
@@ -10,7 +15,7 @@ from sparktidy.operators.repair import clean_text
 from sparktidy.operators.scale import fit_scaler
 from sparktidy.operators.validate import ColumnSchema, DataSchema
 from sparktidy.session import work_folder
-from sparktidy.sources import files
+from sparktidy.sources import csvrecords, files, footers
 from sparktidy.streaming import streams
 
 
@@ -177,3 +182,111 @@ def test_stream_dedup(spark, arriving):
     stream = streams.read_stream(spark, path, df.schema, files_per_batch=1)
     unique = streams.stream_table(streams.stream_dedup(stream, ["t"], "ts", "1 day"))
     assert unique.count() == remove_duplicates(df, ["t"]).count() == 7
+
+
+CELLS = ["", "plain", 'quo"te', "two\nlines", "win\r\ndows", '",\n"', "a,b", ' lead', '""', "\n\n", 'end"']
+
+
+def read_cells(spark, path, **options):
+    schema = "a string, b string, c string"
+    return sorted(map(tuple, files.load_data(spark, path, schema=schema, **options).collect()), key=str)
+
+
+@pytest.mark.parametrize("end,block", [("\n", 160), ("\r\n", 160), ("\n", 128 * 1024 * 1024)])
+def test_csv_records_over_blocks(spark, tmp_path, end, block):
+    """Cells with line ends, whatever the blocks a file is cut into."""
+    draw, want = random.Random(block), []
+    for name in ("x", "y"):
+        with open(tmp_path / f"{name}.csv", "w", newline="") as out:
+            rows = csv.writer(out, lineterminator=end)
+            rows.writerow(["a", "b", "c"])
+            want += [(f"{name}{i}", draw.choice(CELLS), draw.choice(CELLS)) for i in range(60)]
+            rows.writerows(want[-60:])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        path = str(tmp_path)
+        scanned = csvrecords.records(spark, path, '"', ",")
+        assert scanned.count() == 122 and scanned.where("head").count() == 2
+        assert read_cells(spark, path, format="csv") == sorted([tuple(c or None for c in row) for row in want], key=str)
+        inferred = files.load_data(spark, path, format="csv")
+        assert inferred.columns == ["a", "b", "c"] and inferred.count() == 120
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_csv_lone_quotes_keep_all_tasks(spark, tmp_path):
+    """A quote inside a cell opens nothing; one at its start is closed or an error."""
+    path = tmp_path / "inches.csv"
+    path.write_text("a,b,c\n" + "".join(f'{i},5" pipe,x\n' for i in range(200)))
+    assert read_cells(spark, str(path)) == sorted([(str(i), '5" pipe', "x") for i in range(200)], key=str)
+    path = tmp_path / "open.csv"
+    path.write_text("a,b,c\n" + "".join(f'{i},{chr(34) if i == 3 else ""}y,x\n' for i in range(200)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        with pytest.raises(DataLoadError):
+            files.load_data(spark, str(path), schema="a string, b string, c string")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.text('a",\n\r ', max_size=6), min_size=2, max_size=2), min_size=1, max_size=6), st.integers(1, 8))
+def test_csv_blocks_agree_with_a_parser(rows, lines_a_block):
+    """Cut anywhere between lines, the case that holds gives a parser's records."""
+    out = io.StringIO(newline="")
+    csv.writer(out, lineterminator="\n", quoting=csv.QUOTE_ALL).writerows(rows)
+    lines = out.getvalue().split("\n")[:-1]
+    inside, got, chains = False, [], []
+    for start in range(0, len(lines), lines_a_block):
+        block = csvrecords._Block("f", start, '"', ",")
+        for line in lines[start:start + lines_a_block]:
+            block.add(line)
+        block.finish()
+        *parts, summary = block.taken()
+        held = [(kind, text) for _, _, kind, case, _, text, _, _ in parts if case in (csvrecords.EITHER, int(inside))]
+        got += [text for kind, text in held if kind == csvrecords.WHOLE]
+        for kind, text in sorted(p for p in held if p[0] != csvrecords.WHOLE):
+            chains += [[text]] if kind == csvrecords.TAIL else []
+            if kind == csvrecords.LEAD:
+                chains[-1].append(text)
+        inside = summary[7] if inside else summary[6]
+    got += ["\n".join(c) for c in chains]
+    assert not inside
+    assert len(got) == len(rows)
+    assert sorted(next(csv.reader(io.StringIO(g, newline=""))) for g in got) == sorted(rows)
+
+
+def test_footers(spark, tmp_path):
+    """Counts, bounds and rows by number over several files, row groups and folders."""
+    path = str(tmp_path / "t.parquet")
+    rows = spark.range(3000).select(
+        "id", (F.col("id") % 3).cast("int").alias("part"), F.when(F.col("id") % 5 > 0, F.col("id") / 4).alias("x"),
+        F.array(F.col("id").cast("string")).alias("names"), F.date_add(F.lit("2020-01-01"), F.col("id").cast("int")).alias("day"))
+    rows.repartitionByRange(4, "id").sortWithinPartitions("id").write.option("parquet.block.size", 4096).partitionBy("part").parquet(path)
+    assert footers.row_groups(spark, path).agg(F.sum("n_rows")).first()[0] == 3000
+    facts = {r["column"]: r for r in footers.column_facts(spark, path).collect()}
+    assert facts["x"].n_nulls == 600 and (facts["x"].low, facts["x"].high) == (0.25, 749.75)
+    assert facts["day"].low == 18262 * 86_400_000_000.0
+    assert facts["names.list.element"].low is None
+    cut = footers.read_chunks(spark, path, 700)
+    assert cut.drop("chunk_id").schema.simpleString() == spark.read.parquet(path).schema.simpleString()
+    assert same(cut.drop("chunk_id"), spark.read.parquet(path))
+    assert sorted(r["count"] for r in cut.groupBy("chunk_id").count().collect()) == [200, 700, 700, 700, 700]
+    chunks = list(FastDataLoader(spark).stream_chunks(path, chunk_size=1100))
+    assert [c.count() for c in chunks] == [1100, 1100, 800]
+    assert sum(c.agg(F.sum("id")).first()[0] for c in chunks) == 3000 * 2999 // 2
+    assert files.table_info(spark, path).first().n_rows == 3000
+    assert footers.read_chunks(spark, path, 10, ["day"]).columns == ["day", "chunk_id"]
+
+
+def test_row_estimates_and_chunks_of_other_files(spark, tmp_path):
+    path = str(tmp_path / "n.csv")
+    files.save_data(spark.range(100_000, 130_000).repartition(3), path)
+    assert abs(files.estimate_rows(spark, path) - 30_000) < 150
+    assert abs(files.table_info(spark, path, exact=False).first().n_rows - 30_000) < 150
+    assert abs(FastDataLoader(spark).get_info(path, exact=False)["n_rows"] - 30_000) < 150
+    few = str(tmp_path / "few.jsonl")
+    files.save_data(spark.range(7), few)
+    assert files.estimate_rows(spark, few, header=False) == 7
+    with pytest.raises(UnsupportedOperationError):
+        next(FastDataLoader(spark).stream_chunks(path))
