@@ -289,7 +289,25 @@ def bin_uniform(spark, d):
     return _bins(spark, d, strategy="uniform")
 
 
-@check("bin_kmeans")
+def _longer(used):
+    """One cluster more: the best start of the last one for every end."""
+    return f"""d{used + 1} AS MATERIALIZED (SELECT p.b AS e, min(d.cost + p.cost) AS cost, arg_min(list_append(d.cuts, p.a), d.cost + p.cost) AS cuts
+    FROM p JOIN d{used} d ON p.a = d.e GROUP BY 1)"""
+
+
+KMEANS_SQL = f"""WITH m AS (SELECT avg(c_acctbal) AS m FROM customer),
+  v AS (SELECT c_acctbal - m AS v, count(*) AS n FROM customer, m GROUP BY 1),
+  r AS (SELECT row_number() OVER w AS i, v, n, sum(n) OVER w AS nn, sum(n * v) OVER w AS s, sum(n * v * v) OVER w AS q FROM v WINDOW w AS (ORDER BY v)),
+  z AS MATERIALIZED (SELECT i, nn, s, q FROM r UNION ALL SELECT 0, 0, 0, 0),
+  p AS MATERIALIZED (SELECT a.i AS a, b.i AS b, b.q - a.q - pow(b.s - a.s, 2) / (b.nn - a.nn) AS cost FROM z a JOIN z b ON a.i < b.i),
+  d1 AS (SELECT b AS e, cost, []::BIGINT[] AS cuts FROM p WHERE a = 0), {_longer(1)}, {_longer(2)}, {_longer(3)},
+  best AS (SELECT cuts FROM d4 ORDER BY e DESC LIMIT 1),
+  g AS (SELECT len(list_filter(cuts, lambda x: x < i)) AS g, sum(n * v) / sum(n) + any_value(m) AS centre FROM r, best, m GROUP BY 1),
+  e AS (SELECT (centre + lead(centre) OVER (ORDER BY g)) / 2 AS edge FROM g)
+  SELECT c_custkey, c_acctbal, (SELECT count(*) FROM e WHERE edge < c_acctbal)::INTEGER AS c_acctbal_binned FROM customer"""
+
+
+@check("bin_kmeans", KMEANS_SQL)
 def bin_kmeans(spark, d):
     return _bins(spark, d, strategy="kmeans", n_bins=4)
 

@@ -10,10 +10,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparktidy.config import get_config
 from sparktidy.errors import UnsupportedOperationError
 from sparktidy.functions import types as kinds
 from sparktidy.functions.exprs import MATH_TRANSFORMS, col, math_transform
+from sparktidy.plans.clusters import cluster_means
 from sparktidy.plans.quantiles import quantiles
 
 BIN_STRATEGIES = ("quantile", "uniform", "kmeans")
@@ -121,7 +121,7 @@ class BinModel:
 
 def fit_bins(
     df: DataFrame, columns: list[str] | None = None, n_bins: int = 5, strategy: str = "quantile",
-    labels: list[str] | None = None, accuracy: int | None = None, seed: int | None = None,
+    labels: list[str] | None = None, accuracy: int | None = None,
 ) -> BinModel:
     if strategy not in BIN_STRATEGIES:
         raise UnsupportedOperationError(f"unknown binning strategy: {strategy}")
@@ -137,20 +137,10 @@ def fit_bins(
             if strategy == "uniform":
                 edges[c] = [lo + i * (hi - lo) / n_bins for i in range(n_bins + 1)]
             else:
-                centres = _centres(df, c, n_bins, get_config().random_state if seed is None else seed)
+                centres = cluster_means(df.select(col(c).cast("double").alias("v")), n_bins)
                 edges[c] = [lo, *[(a + b) / 2 for a, b in zip(centres, centres[1:])], hi]
     return BinModel(edges, list(labels) if labels else None)
 
 
-def _centres(df: DataFrame, c: str, k: int, seed: int) -> list[float]:
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    data = df.select(col(c).cast("double").alias("v")).na.drop()
-    vectors = VectorAssembler(inputCols=["v"], outputCol="features").transform(data)
-    model = KMeans(k=k, seed=seed, featuresCol="features").fit(vectors)
-    return sorted(float(x[0]) for x in model.clusterCenters())
-
-
 def binned_features(df: DataFrame, columns: list[str] | None = None, **options) -> DataFrame:
     return fit_bins(df, columns, **options).transform(df)

@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -6,6 +7,7 @@ import pytest
 from sparktidy import DataTransformer, FittedSteps, create_pipeline, quick_transform, transform_data
 from sparktidy.errors import DataValidationError, UnsupportedOperationError
 from sparktidy.operators import encode, features, scale, select
+from sparktidy.plans import clusters
 
 
 @pytest.fixture(scope="module")
@@ -129,6 +131,31 @@ def test_bins(spark, numbers):
         features.fit_bins(numbers, strategy="odd")
 
 
+def _spread(values, centres):
+    return float((np.min(np.abs(values[:, None] - np.array(centres)), axis=1) ** 2).sum())
+
+
+def test_clusters(spark):
+    rng = np.random.default_rng(5)
+    small = np.round(rng.normal(0, 1, 9), 1).tolist() + [4.0, 4.0, 9.5]
+    frame = spark.createDataFrame([(v,) for v in [*small, None, float("nan"), float("inf")]], "v double")
+    values = np.array(small)
+    for k in (1, 2, 3, 4):
+        distinct = sorted(set(small))
+        splits = [[distinct[a:b] for a, b in zip((0, *cut), (*cut, len(distinct)))]
+                  for cut in itertools.combinations(range(1, len(distinct)), k - 1)]
+        least = min(sum(((values[np.isin(values, part)] - values[np.isin(values, part)].mean()) ** 2).sum() for part in split)
+                    for split in splits)
+        assert _spread(values, clusters.cluster_means(frame, k)) == pytest.approx(least), k
+    assert clusters.cluster_means(frame.where("v = 4"), 3) == [4.0]
+    assert clusters.cluster_means(frame.where("v IS NULL"), 3) == []
+    # cells instead of single values, one far value and a third of the rows alike
+    many = np.concatenate([rng.lognormal(0, 2, 3000), np.full(1500, 1.25), [1e7]])
+    table = spark.createDataFrame([(float(v),) for v in many], "v double")
+    exact, celled = clusters.cluster_means(table, 5), clusters.cluster_means(table, 5, most_values=64)
+    assert celled == pytest.approx(exact) and len(exact) == 5
+
+
 def test_selection(spark):
     rng = np.random.default_rng(1)
     t = rng.integers(0, 3, 500)
