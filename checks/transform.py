@@ -363,6 +363,32 @@ def score_mi_numeric(spark, d):
     return rounded(select.feature_scores(_scored(spark, d), "l_quantity", "mutual_info"))
 
 
+def _psi(n):
+    return (f"(ln({n} + 8) - 1 / (2.0 * ({n} + 8)) - 1 / (12 * pow({n} + 8, 2)) + 1 / (120 * pow({n} + 8, 4)) - 1 / (252 * pow({n} + 8, 6)) - "
+            + " - ".join(f"1.0 / ({n} + {i})" for i in range(8)) + ")")
+
+
+def neighbour_sql(source, columns, target, k=3):
+    """Every pair of points, for small tables."""
+    return union_all([f"""SELECT '{c}' AS feature, (WITH s AS (SELECT stddev_pop({c}) AS sx, stddev_pop({target}) AS sy, count(*) AS rows FROM {source}),
+  p AS MATERIALIZED (SELECT {c} / any_value(sx) AS x, {target} / any_value(sy) AS y, count(*) AS w, any_value(rows) AS rows FROM {source}, s GROUP BY {c}, {target}),
+  d AS (SELECT a.x, a.y, greatest(abs(a.x - b.x), abs(a.y - b.y)) AS d,
+    sum(b.w - (a.x = b.x AND a.y = b.y)::INTEGER) OVER (PARTITION BY a.x, a.y ORDER BY greatest(abs(a.x - b.x), abs(a.y - b.y))) AS upto FROM p a, p b),
+  r AS MATERIALIZED (SELECT x, y, min(d) AS r FROM d WHERE upto >= {k} GROUP BY 1, 2),
+  n AS (SELECT p.x, p.y, any_value(p.w) AS w, any_value(r.r) AS r, any_value(p.rows) AS rows,
+    sum(o.w) FILTER (CASE WHEN r.r > 0 THEN abs(o.x - p.x) < r.r * (1 - 1e-10) - abs(p.x) * 1e-15 ELSE o.x = p.x END) AS nx,
+    sum(o.w) FILTER (CASE WHEN r.r > 0 THEN abs(o.y - p.y) < r.r * (1 - 1e-10) - abs(p.y) * 1e-15 ELSE o.y = p.y END) AS ny
+    FROM p JOIN r ON p.x = r.x AND p.y = r.y, p o GROUP BY 1, 2)
+  SELECT round(greatest(0.0, any_value({_psi("rows")}) + sum(w * (CASE WHEN r > 0 THEN {_psi(f"{k}")} ELSE {_psi("greatest(w - 1, 1)")} END
+    - {_psi("nx")} - {_psi("ny")})) / any_value(rows)), 6) FROM n) AS score""" for c in columns])
+
+
+@check("score_mi_neighbours", neighbour_sql("part", ["p_partkey", "p_size"], "p_retailprice"))
+def score_mi_neighbours(spark, d):
+    return rounded(select.feature_scores(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"),
+                                         "p_retailprice", "mutual_info", estimator="neighbours"))
+
+
 @check("feature_topk", f"SELECT feature, round(score, 6) AS score FROM ({F_SQL}) ORDER BY score DESC LIMIT 2")
 def feature_topk(spark, d):
     scores = select.feature_scores(_scored(spark, d), "l_returnflag", "f_classif")

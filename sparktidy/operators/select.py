@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sparktidy.errors import DataValidationError, UnsupportedOperationError
 from sparktidy.functions import types as kinds
 from sparktidy.functions.exprs import col
+from sparktidy.operators.mutual import neighbour_information
 from sparktidy.plans.quantiles import quantiles
 from sparktidy.plans.shape import rows_from
 
 METHODS = ("mutual_info", "chi2", "f_classif")
+MI_ESTIMATORS = ("bins", "neighbours")
 MI_BINS = 10
 # Fewer distinct numeric targets than this count as classes.
 CLASS_LIMIT = 20
@@ -61,10 +63,18 @@ def _bin_index(v: Column, edges: list[float]) -> Column:
 
 
 def mutual_information(
-    df: DataFrame, target: str, features: list[str], bins: int = MI_BINS, accuracy: int | None = None
+    df: DataFrame, target: str, features: list[str], bins: int = MI_BINS, accuracy: int | None = None,
+    estimator: str = "bins",
 ) -> DataFrame:
     """Plug-in mutual information (nats) of quantile bins and the target. A
-    numeric target with many values is binned the same way."""
+    numeric target with many values is binned the same way, or, with the estimator
+    ``neighbours``, compared by distances to nearest neighbours."""
+    if estimator not in MI_ESTIMATORS:
+        raise UnsupportedOperationError(f"unknown estimator: {estimator}")
+    if estimator == "neighbours":
+        if kinds.kind_of(df.schema[target].dataType) != kinds.NUMERIC:
+            raise UnsupportedOperationError("neighbours need a numeric target")
+        return neighbour_information(df, target, features)
     data = _complete(df, target, features)
     probs = [i / bins for i in range(bins + 1)]
     cuts = quantiles(data, features, probs, accuracy)

@@ -7,6 +7,7 @@ import pytest
 from sparktidy import DataTransformer, FittedSteps, create_pipeline, quick_transform, transform_data
 from sparktidy.errors import DataValidationError, UnsupportedOperationError
 from sparktidy.operators import encode, features, scale, select
+from sparktidy.operators.mutual import neighbour_information
 from sparktidy.plans import clusters
 
 
@@ -168,6 +169,47 @@ def test_selection(spark):
         select.select_features(df, "gone")
 
 
+def _psi(n):
+    return -0.5772156649015329 + sum(1 / i for i in range(1, int(n)))
+
+
+def _pairwise_information(x, y, k):
+    """The estimate from all pairs of rows."""
+    x, y = x / (x.std() or 1), y / (y.std() or 1)
+    dx, dy = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
+    far, total = np.maximum(dx, dy), 0.0
+    for i in range(len(x)):
+        r = np.sort(np.delete(far[i], i))[k - 1]
+        near = r * (1 - 1e-10)
+        a, b = ((dx[i] < near).sum(), (dy[i] < near).sum()) if r > 0 else ((dx[i] == 0).sum(), (dy[i] == 0).sum())
+        total += _psi(k if r > 0 else (far[i] == 0).sum() - 1) - _psi(a) - _psi(b)
+    return max(0.0, _psi(len(x)) + total / len(x))
+
+
+def test_neighbour_information(spark):
+    rng = np.random.default_rng(11)
+    y = rng.normal(0, 3, 400)
+    shapes = {"line": y * 2 + rng.normal(0, 0.5, 400), "none": rng.exponential(1, 400), "same": np.full(400, 7.0),
+              "steps": np.where(rng.random(400) < 0.4, 1.0, np.round(y)), "far": np.where(np.arange(400) == 3, 1e6, y)}
+    y = np.where(np.arange(400) % 3 == 0, np.round(y), y)
+    for name in ("line", "steps"):  # whole rows that repeat
+        shapes[name][:40] = shapes[name][40]
+    y[:40] = y[40]
+    frame = spark.createDataFrame([tuple(float(v) for v in row) for row in zip(y, *shapes.values())]
+                                  + [(None, *[1.0] * 5), (float("nan"), *[1.0] * 5)], "y double, " + ", ".join(f"{n} double" for n in shapes))
+    for cell_points in (25, 10_000):
+        got = {r["feature"]: r["score"] for r in neighbour_information(frame, "y", list(shapes), cell_points=cell_points).collect()}
+        for name, x in shapes.items():
+            assert got[name] == pytest.approx(_pairwise_information(x, y, 3), abs=1e-9), (name, cell_points)
+    assert got["line"] > 1 > got["none"]
+    few = frame.limit(0).select("y", "line")
+    assert [tuple(r) for r in neighbour_information(few, "y", ["line"]).collect()] == [("line", None)]
+    two = spark.createDataFrame([(1.0, 2.0), (3.0, 1.0)], "y double, line double")
+    assert neighbour_information(two, "y", ["line"]).first()["score"] >= 0
+    with pytest.raises(UnsupportedOperationError):
+        select.feature_scores(frame, "y", "mutual_info", estimator="guess")
+
+
 def test_steps(colors, tmp_path):
     steps = (create_pipeline().add_step("e", "encode", method="label").add_step("s", "scale", columns=["weight"])
              .add_step("m", "math_transform", transforms={"weight": "square"}).add_step("p", "polynomial", columns=["weight", "size"])
