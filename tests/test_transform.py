@@ -74,7 +74,7 @@ def test_large_maps(spark, monkeypatch):
     means = pdf.dropna(subset=["k"]).groupby("k").y.mean()
     got = encode.fit_encoder(df, "target", columns=["k"], target="y").transform(df).toPandas().sort_values("id")
     assert np.allclose(got.k.to_numpy("float64"), pdf.k.map(means).to_numpy("float64"), equal_nan=True)
-    codes = encode.encode(df, "ordinal", columns=["k"]).toPandas().sort_values("id").k
+    codes = encode.encode(df, "ordinal", columns=["k"]).toPandas().sort_values("id", ignore_index=True).k
     order = {v: i for i, v in enumerate(sorted(pdf.k.dropna().unique()))}
     assert codes.isna().sum() == pdf.k.isna().sum() and (codes.dropna() == pdf.k.dropna().map(order)).all()
 
