@@ -71,10 +71,10 @@ def test_row_numbers(skewed, many_ranges):
 
 def test_ranks_with_ties(skewed, many_ranges):
     df, pdf = skewed
-    for c in ("k", "w"):
-        got = explore._value_ranks(df.select(F.col(c).cast("double").alias(c)), c).toPandas().set_index("v").r
-        want = pdf[c].rank().groupby(pdf[c]).first()
-        assert np.allclose(got.sort_index(), want.sort_index()), c
+    names = ["k", "w"]
+    got = explore._ranked(df.select(*[F.col(c).cast("double").alias(c) for c in names]), names).toPandas()
+    want = pdf[names].rank()
+    assert np.allclose(got.sort_values(names), want.sort_values(names))
 
 
 def rows_per_range(df, order_by):
