@@ -14,6 +14,11 @@ from sparktidy.functions import types as kinds
 from sparktidy.functions.exprs import col, null_share
 from sparktidy.plans.quantiles import quantiles
 from sparktidy.plans.shape import column_counts, long_cells, rows_from
+from sparktidy.session import materialize
+
+# Candidates per column, and what a sketch of so many may leave out of n rows, in n / TRACKED:
+# an item missing from the sketch has at most 3.5 shares, one left out by its lower bound twice that.
+TRACKED, MISSED = 4096, 7.0
 
 
 def _hashable(df: DataFrame) -> DataFrame:
@@ -106,18 +111,61 @@ def numeric_summary(
     } for i, c in enumerate(columns)])
 
 
-def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 10) -> DataFrame:
+def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 10, tracked: int = TRACKED) -> DataFrame:
     """The ``k`` most frequent non-null values per column, count descending then
-    value ascending. Counts are pre-aggregated before the shuffle."""
+    value ascending.
+
+    One pass of mergeable frequent-item sketches over hashes of the values names at most
+    ``tracked`` candidates a column, and a second pass counts their values exactly. That
+    is the answer where the candidates hold every row, or where the k-th count is above
+    what the sketch can have missed. Other columns are counted value by value."""
     columns = columns or kinds.categorical_columns(df)
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, value string, count long, rank int")
-    counts = (long_cells(df, columns).where(F.col("value").isNotNull())
-              .groupBy("column", "value").agg(F.count("*").alias("count")))
+    counts, settled = _candidate_counts(df, columns, k, max(tracked, k))
+    rest = [c for c in columns if c not in settled]
+    if rest:
+        every = (long_cells(df, rest).where(F.col("value").isNotNull())
+                 .groupBy("column", "value").agg(F.count("*").alias("count")))
+        counts = counts.where(F.col("column").isin(settled)).unionByName(every) if settled else every
     order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _candidate_counts(df: DataFrame, columns: list[str], k: int, tracked: int) -> tuple[DataFrame | None, list[str]]:
+    """Exact ``column, value, count`` of the sketches' candidates, and the columns whose
+    answer they hold. Equal values have equal hashes, so a value is at most as frequent
+    as its hash; values that share a hash are counted apart."""
+    hashes = df.select(*[F.when(col(c).isNotNull(), F.xxhash64(col(c).cast("string"))).alias(f"h{i}")
+                         for i, c in enumerate(columns)])
+    told = hashes.agg(*[x for i in range(len(columns)) for x in (
+        F.count(f"h{i}").alias(f"n{i}"),
+        F.expr(f"approx_top_k(h{i}, {tracked}, {tracked}) FILTER (WHERE h{i} IS NOT NULL)").alias(f"t{i}"))]).first()
+    missed, hopeful = {}, []
+    for i, c in enumerate(columns):
+        rows, items = told[f"n{i}"], told[f"t{i}"] or []
+        missed[c] = MISSED * rows / tracked
+        # estimates are never too low: a full sketch whose k-th is small cannot settle
+        if 2 * len(items) < tracked or (len(items) >= k and items[k - 1]["count"] > missed[c]):
+            hopeful.append((i, c))
+    if not hopeful:
+        return None, []
+    spark = df.sparkSession
+    named = spark.createDataFrame([(c, x["item"]) for i, c in hopeful for x in told[f"t{i}"] or []], "column string, h long")
+    met = long_cells(df, [c for _, c in hopeful]).where(F.col("value").isNotNull()).withColumn("h", F.xxhash64("value")).join(
+        F.broadcast(named), ["column", "h"], "left_semi")
+    counts = materialize(met.groupBy("column", "value").agg(F.count("*").alias("count")), "candidates")
+    ordered = F.sort_array(F.collect_list("count"), asc=False)  # as many as there are candidates
+    found = {r["column"]: r for r in counts.groupBy("column").agg(
+        F.sum("count").alias("rows"), F.get(ordered, F.lit(k - 1)).alias("kth")).collect()}
+    settled = []
+    for i, c in hopeful:
+        rows, kth = (found[c]["rows"], found[c]["kth"]) if c in found else (0, None)
+        if rows == told[f"n{i}"] or (kth is not None and kth > missed[c]):
+            settled.append(c)
+    return counts, settled
+
+
 def quality_summary(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row: missing and duplicate totals, the five worst columns and the
     type distribution."""

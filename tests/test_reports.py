@@ -216,3 +216,23 @@ def test_column_classes(spark):
     assert kinds.numeric_columns(df) == ["i", "d", "m"] and kinds.categorical_columns(df) == ["s"]
     assert kinds.boolean_columns(df) == ["b"] and kinds.datetime_columns(df) == ["t", "n", "e"]
     assert kinds.same_dtype(df.schema["n"].dataType, "Datetime") and not kinds.same_dtype(df.schema["s"].dataType, "Int64")
+
+
+def test_top_values_from_candidates(spark):
+    """Columns that candidates settle, that they cannot settle, and that have few values."""
+    df = spark.range(6000).selectExpr(
+        "CASE WHEN id % 10 < 6 THEN concat('head', id % 5) ELSE concat('tail', id) END AS heads",
+        "concat('v', id div 2) AS flat", "CASE WHEN id % 3 = 0 THEN NULL ELSE 'only' END AS one", "CAST(NULL AS STRING) AS none",
+        "CASE WHEN id % 2 = 0 THEN concat('v', id % 7) ELSE concat('w', id % 1500) END AS mixed")
+    names, pdf = df.columns, df.toPandas()
+    want = {}
+    for c in names:
+        counts = pdf[c].dropna().value_counts()
+        want[c] = sorted(((v, int(n)) for v, n in counts.items()), key=lambda x: (-x[1], x[0]))[:4]
+    for tracked in (4, 64, 256, 4096):
+        got = {c: [] for c in names}
+        for r in profile.top_values(df, names, 4, tracked).orderBy("column", "rank").collect():
+            got[r["column"]].append((r["value"], r["count"]))
+        assert got == want, tracked
+    assert set(profile._candidate_counts(df, names, 4, 256)[1]) == {"heads", "one", "none", "mixed"}
+    assert profile.top_values(df.limit(0), names).count() == 0
