@@ -8,7 +8,10 @@ text gets the language whose prototype has the largest cosine with its profile.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; so is
 every text when nothing could be learned; equal cosines go to the smaller name;
-repeated rows are predicted one by one; further columns are not read.
+repeated rows are predicted one by one; further columns are not read. Any number of
+languages works: a prototype is 8 KB on the driver and 4 KB in a worker, tasks give
+their sums back when they hold many, and the shares of languages are broadcast only
+while they are few.
 """
 
 from __future__ import annotations
@@ -22,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparktidy.llm.tables import small_batches
+from sparktidy.session import materialize
 
 SIZE = 1024  # components of a vector
 GRAM = 3
 BLOCK_LETTERS = 1 << 19  # letters whose n-grams are counted at once
+FEW_LANGUAGES = 50_000  # shares are broadcast up to so many
+HELD_LANGUAGES = 2048  # sums a task holds, and prototypes compared at once
 
 
 @dataclass(frozen=True)
@@ -123,9 +129,18 @@ def learn(docs: DataFrame, how: Profiles = Profiles()) -> dict[str, np.ndarray]:
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = usable.groupBy("lang").agg(F.count("*").alias("n")).withColumn("share", F.least(
         F.lit(1.0), F.lit(float(how.most_per_language)) / F.col("n"))).select("lang", "share")
+    counts = materialize(counts, "shares")
     draw = F.pmod(F.xxhash64(F.lit("profile"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    # one row a language, as many as there are prototypes; texts stay where they are
-    sample = usable.join(F.broadcast(counts), "lang").where(draw < F.col("share")).select("lang", "text")
+    # texts stay where they are while the shares are few
+    shares = F.broadcast(counts) if counts.count() <= FEW_LANGUAGES else counts
+    sample = usable.join(shares, "lang").where(draw < F.col("share")).select("lang", "text")
+
+    def told(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        names = sorted(sums)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(names, SIZE).tolist() if names else [], pa.string()),
+             pa.array(np.tile(np.arange(SIZE), len(names)), pa.int32()),
+             pa.array(np.concatenate([sums[n] for n in names]) if names else [], pa.int64())], ["lang", "at", "v"])
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -135,23 +150,24 @@ def learn(docs: DataFrame, how: Profiles = Profiles()) -> dict[str, np.ndarray]:
                 unit = _unit(profiles(part.column(1).to_pylist()))
                 for lang, row in zip(part.column(0).to_pylist(), unit):
                     sums[lang] = sums.get(lang, 0) + np.rint(row * 4096).astype(np.int64)
-        names = sorted(sums)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(names, SIZE).tolist() if names else [], pa.string()),
-             pa.array(np.tile(np.arange(SIZE), len(names)), pa.int32()),
-             pa.array(np.concatenate([sums[n] for n in names]) if names else [], pa.int64())], ["lang", "at", "v"])
+                if len(sums) > HELD_LANGUAGES:
+                    yield told(sums)
+                    sums = {}
+        yield told(sums)
 
     summed = sample.mapInArrow(bundle, "lang string, at int, v long").groupBy("lang", "at").agg(F.sum("v").alias("v"))
-    found: dict[str, np.ndarray] = {}
-    for row in summed.collect():
-        found.setdefault(row["lang"], np.zeros(SIZE))[row["at"]] = row["v"]
+    whole = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("v"))
+    found = {row["lang"]: np.array(row["v"], np.int64)
+             for row in whole.select("lang", F.col("v.v").alias("v")).toLocalIterator()}
     return {lang: v for lang, v in found.items() if v.any()}
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row."""
     names = sorted(prototypes)
-    matrix = _unit(np.stack([prototypes[n] for n in names])).astype(np.float32) if names else None
+    blocks = [_unit(np.stack([prototypes[n] for n in names[at: at + HELD_LANGUAGES]])).astype(np.float32)
+              for at in range(0, len(names), HELD_LANGUAGES)]
+    width = HELD_LANGUAGES
 
     def run(batches):
         for batch in batches:
@@ -160,10 +176,15 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
                 said, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
                 if names:
                     own = profiles(part.column(1).to_pylist())
-                    cosine = (_unit(own) @ matrix.T).astype(np.float64)
-                    best = cosine.argmax(axis=1)
+                    unit, rows = _unit(own), np.arange(part.num_rows)
+                    best, most = np.zeros(part.num_rows, int), np.full(part.num_rows, -np.inf)
+                    for first, block in zip(range(0, len(names), width), blocks):
+                        cosine = (unit @ block.T).astype(np.float64)
+                        at_best = cosine.argmax(axis=1)
+                        better = cosine[rows, at_best] > most  # a tie stays with the smaller name
+                        best[better], most[better] = first + at_best[better], cosine[rows, at_best][better]
                     for i in np.flatnonzero(own.any(axis=1)):
-                        said[i], score[i] = names[best[i]], min(1.0, max(0.0, cosine[i, best[i]]))
+                        said[i], score[i] = names[best[i]], min(1.0, max(0.0, most[i]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(said, pa.string()), pa.array(score)],
                                                  ["doc_id", "lang_pred", "score"])
 

@@ -111,6 +111,23 @@ def test_nothing_to_learn(docs_of, odd_rows, spark):
     assert langid.identify(docs_of([])).count() == 0
 
 
+def test_many_languages(spark, monkeypatch):
+    """Hundreds of language values, with small limits on shares, sums and blocks."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = {f"l{n:03d}": ["".join(rng.choice(letters, 5)) for _ in range(12)] for n in range(300)}
+    rows = [(i, " ".join(rng.choice(words[lang], 30)), lang, "s") for i, lang in enumerate(list(words) * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = sorted((r.doc_id, r.lang_pred, r.score) for r in langid.identify(docs).collect())
+    for name, value in (("FEW_LANGUAGES", 10), ("HELD_LANGUAGES", 7)):
+        monkeypatch.setattr(langid, name, value)
+    got = sorted((r.doc_id, r.lang_pred, r.score) for r in langid.identify(docs).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-5)  # sums of other lengths round otherwise
+    right = sum(lang == said for (_, _, lang, _), (_, said, _) in zip(rows, want))
+    assert len(want) == 900 and right > 850
+
+
 @pytest.mark.parametrize("text, folded", [
     ("L0ser", "ioser"), ("lоser", "ioser"), ("1diot", "idiot"), ("$tup!d", "stupid"), ("café", "cafe"), ("4370598", "4370598"),
     ("word***", "word"), ("s​cum", "scum"), ("ｌｏｓｅｒ", "ioser"), (None, ""), ("wow!!!", "wow")])
