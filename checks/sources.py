@@ -1,6 +1,7 @@
 """Loading, saving and chunking."""
 
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -8,6 +9,8 @@ from checks.common import check, table
 from sparktidy.session import work_folder
 from sparktidy.sources import files, footers
 
+# Chunks summed up by one job, so that no plan grows with the table.
+CHUNKS_A_PLAN = 32
 EVENTS_OUT = "SELECT event_id, epoch_us(ts) AS ts_us, user_id, event_type, value, props FROM events"
 
 
@@ -134,9 +137,12 @@ def chunk_rows(spark, d):
        max(event_id) AS last_id, round(sum(value), 6) AS total FROM events GROUP BY CAST(floor(event_id / 8192) AS BIGINT)""")
 def stream_chunks(spark, d):
     chunks = files.FastDataLoader(spark).stream_chunks(f"{d}/events.parquet", chunk_size=8192)
-    facts = [c.agg(F.lit(i).cast("long").alias("chunk"), F.count("*").alias("n_rows"), F.min("event_id").alias("first_id"),
-                   F.max("event_id").alias("last_id"), F.round(F.sum("value"), 6).alias("total")) for i, c in enumerate(chunks)]
-    return reduce(DataFrame.unionByName, facts)
+    facts = (c.agg(F.lit(i).cast("long").alias("chunk"), F.count("*").alias("n_rows"), F.min("event_id").alias("first_id"),
+                   F.max("event_id").alias("last_id"), F.round(F.sum("value"), 6).alias("total")) for i, c in enumerate(chunks))
+    folder = work_folder(spark, "chunk-facts")
+    while some := list(islice(facts, CHUNKS_A_PLAN)):
+        reduce(DataFrame.unionByName, some).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder)
 
 
 @check("chunk_ids", """SELECT event_id, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / 1000) AS BIGINT) AS chunk_id

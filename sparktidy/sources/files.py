@@ -248,9 +248,8 @@ class FastDataLoader:
             if fmt != "parquet" or not footers.can_open(self.spark, path):
                 raise UnsupportedOperationError("chunks of this table need order_by: only Parquet files that tasks can open have an order")
             groups = materialize(footers.numbered_groups(self.spark, path), "row-groups")
-            rows = groups.agg(F.sum("n_rows")).first()[0] or 0
-            for chunk in range(-(-rows // size)):
-                yield footers.chunked(groups, df.schema, size, chunk).drop(footers.CHUNK)
+            for chunk in footers.chunk_tables(groups, df.schema, size):
+                yield chunk.drop(footers.CHUNK)
             return
         folder = work_folder(self.spark, "chunks")
         with_chunk_ids(df, order_by, size).write.partitionBy("chunk_id").parquet(folder)

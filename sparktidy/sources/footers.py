@@ -28,6 +28,8 @@ CHUNK = "chunk_id"
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"  # fixed value: how a folder name spells null
 BATCH_ROWS = 8192
 TASK_BYTES = 128 * 1024 * 1024
+#: Rows ``from`` to before ``to`` of the table, which lie in one row group.
+PIECE = T.StructType().add("path", "string").add("row_group", "integer").add("first_row", "long").add("from", "long").add("to", "long")
 
 
 def _opened(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -163,24 +165,47 @@ def _reader(schema: T.StructType, size: int):
     return read
 
 
-def chunked(groups: DataFrame, schema: T.StructType, size: int, chunk: int | None = None) -> DataFrame:
-    """The rows of a table by its ``numbered_groups``: all of them with their
-    ``chunk_id``, row groups spread by bytes, or the rows of one chunk, of which
-    only the row groups it touches are read."""
+def chunked(groups: DataFrame, schema: T.StructType, size: int) -> DataFrame:
+    """The rows of a table by its ``numbered_groups`` with their ``chunk_id``, row
+    groups spread by bytes."""
     if size < 1:
         raise DataValidationError("a chunk has one row at least")
-    first, end = F.col("first_row"), F.col("first_row") + F.col("n_rows")
-    if chunk is not None:
-        low, high = F.lit(chunk * size), F.lit((chunk + 1) * size)
-        plan = groups.where((first < high) & (end > low)).withColumn("from", F.greatest(first, low)).withColumn(
-            "to", F.least(end, high)).orderBy("first_row").coalesce(1)  # one chunk's rows, in order
-    else:
-        size_of = groups.agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")).first()
-        tasks = min(max(-(-(size_of["bytes"] or 0) // TASK_BYTES), groups.sparkSession.sparkContext.defaultParallelism),
-                    max(size_of["n"], 1))
-        plan = groups.withColumn("from", first).withColumn("to", end).repartition(tasks, "path", "row_group")
-    plan = plan.where("n_rows > 0").select("path", "row_group", "first_row", "from", "to")
-    return plan.mapInArrow(_reader(schema, size), T.StructType([*schema.fields, T.StructField(CHUNK, T.LongType())]))
+    size_of = groups.agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")).first()
+    tasks = min(max(-(-(size_of["bytes"] or 0) // TASK_BYTES), groups.sparkSession.sparkContext.defaultParallelism),
+                max(size_of["n"], 1))
+    end = F.col("first_row") + F.col("n_rows")
+    plan = groups.withColumn("from", F.col("first_row")).withColumn("to", end).repartition(tasks, "path", "row_group")
+    return _read(plan.where("n_rows > 0").select(*PIECE.names), schema, size)
+
+
+def _read(pieces: DataFrame, schema: T.StructType, size: int) -> DataFrame:
+    return pieces.mapInArrow(_reader(schema, size), T.StructType([*schema.fields, T.StructField(CHUNK, T.LongType())]))
+
+
+def chunk_tables(groups: DataFrame, schema: T.StructType, size: int) -> Iterator[DataFrame]:
+    """One table per chunk, in order, by the table's ``numbered_groups``. The driver
+    walks along the row groups and holds those of one chunk. A chunk is a list of
+    pieces in the plan itself, one task each and in order: nothing is searched or
+    sorted for it, and a union of chunks does not run them all in one task, as it
+    does with tables of a single partition by plan."""
+    if size < 1:
+        raise DataValidationError("a chunk has one row at least")
+    spark, pieces = groups.sparkSession, []  # at most as many pieces as a chunk has rows
+
+    def table() -> DataFrame:
+        return _read(spark.createDataFrame(pa.Table.from_pylist(pieces, schema=to_arrow_schema(PIECE))), schema, size)
+
+    for group in groups.where("n_rows > 0").orderBy("first_row").toLocalIterator():
+        at, ends = group["first_row"], group["first_row"] + group["n_rows"]
+        while at < ends:
+            to = min(ends, (at // size + 1) * size)
+            pieces.append({**{c: group[c] for c in PIECE.names[:3]}, "from": at, "to": to})
+            if to % size == 0:
+                yield table()
+                pieces = []
+            at = to
+    if pieces:
+        yield table()
 
 
 def read_chunks(spark: SparkSession, path: str, size: int, columns: list[str] | None = None) -> DataFrame:

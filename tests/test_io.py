@@ -290,3 +290,16 @@ def test_row_estimates_and_chunks_of_other_files(spark, tmp_path):
     assert files.estimate_rows(spark, few, header=False) == 7
     with pytest.raises(UnsupportedOperationError):
         next(FastDataLoader(spark).stream_chunks(path))
+
+
+def test_chunks_of_a_union_keep_their_tasks(spark, tmp_path):
+    """A union of chunks reads them in a task each, and a chunk over several files keeps the order."""
+    path = str(tmp_path / "t.parquet")
+    spark.range(0, 1000, 1, 4).write.parquet(path)
+    chunks = list(FastDataLoader(spark).stream_chunks(path, chunk_size=150))
+    assert [[r.id for r in c.collect()] for c in chunks] == [list(range(at, min(at + 150, 1000))) for at in range(0, 1000, 150)]
+    both = chunks[0].unionByName(chunks[3]).select(F.spark_partition_id().alias("task"))
+    assert both.distinct().count() > 1
+    assert "Sort" not in both._jdf.queryExecution().executedPlan().toString()
+    spark.range(0).write.parquet(str(tmp_path / "none.parquet"))
+    assert list(FastDataLoader(spark).stream_chunks(str(tmp_path / "none.parquet"))) == []
