@@ -10,10 +10,12 @@ from sparktidy.session import work_folder
 from sparktidy.streaming import streams
 
 
-def _stream(spark, df, pieces=4, per_batch=1):
-    """The table written in pieces and read back as a stream."""
+def _stream(spark, df, batches=4):
+    """The table written in pieces and read back as a stream. A batch has as many
+    pieces as a quarter of the table needs, one for each that a scan would read."""
     path = work_folder(spark, "stream-input")
-    df.repartition(pieces).write.parquet(path)
+    per_batch = -(-df.rdd.getNumPartitions() // batches)
+    df.repartition(batches * per_batch).write.parquet(path)
     return streams.read_stream(spark, path, df.schema, files_per_batch=per_batch)
 
 
