@@ -69,9 +69,13 @@ def _ranked(data: DataFrame, columns: list[str], counts: DataFrame | None = None
     values = [F.col(c) for c in columns]
     counts = materialize(cell_counts(data, values), "counts") if counts is None else counts
     upto = running_total(counts, F.col(COUNT), [COLUMN, VALUE], "upto", [COLUMN])
-    ranks = upto.select(COLUMN, VALUE, (F.col("upto") - (F.col(COUNT) - 1) / 2.0).alias("rank"))
+    # as text, since Spark deals joins on doubles anew, however they lie; 0.0 and -0.0 are one value
+    kind = counts.schema[VALUE].dataType.simpleString()
+    texts = [(v.cast(kind) + F.lit(0).cast(kind)).cast("string") for v in values]
+    ranks = materialize(upto.select(COLUMN, (F.col(VALUE) + F.lit(0).cast(kind)).cast("string").alias(VALUE), COUNT, (
+        F.col("upto") - (F.col(COUNT) - 1) / 2.0).alias("rank")), "ranks")
     names = [f"rank_{c}" for c in columns]
-    return lookup_columns(data, values, ranks, "rank", names, counts).select(
+    return lookup_columns(data, texts, ranks, "rank", names, ranks).select(
         *[F.col(n).alias(c) for n, c in zip(names, columns)])
 
 

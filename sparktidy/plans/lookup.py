@@ -8,6 +8,8 @@ from sparktidy.functions.exprs import col
 from sparktidy.session import materialize
 
 HOT_LIMIT = 1000
+# The same for all columns of a lookup together, and the cells that meet the map in one task.
+HOT_CELLS, TASK_CELLS = 10_000, 500_000
 # Long-form cells: the column's number, the value, how many rows hold it, the row's number.
 COLUMN, VALUE, COUNT, ROW = "__i", "__v", "__n", "__row"
 
@@ -62,17 +64,17 @@ def lookup_columns(df: DataFrame, values: list[Column], table: DataFrame, payloa
     """Left join of several columns with one long-form map (``COLUMN, VALUE`` and
     ``payload``); the results are added under ``names``. Null values match nothing.
 
-    The HOT_LIMIT most frequent values of all columns together, known to the map or
+    The HOT_CELLS most frequent values of all columns together, known to the map or
     not, are found in one pass (or in ``counts``) and matched by broadcasts of as many
     rows; no row moves for them. The other cells meet the map in one shuffle join and
-    go back to their rows by row number. The table is written once in between, so the
+    go back to their rows by row number, TASK_CELLS a task. The table is written once in between, so the
     plan and the number of scans do not depend on the number of columns but for a
     broadcast join each."""
     spark, last = df.sparkSession, len(values) - 1
-    most = (cell_counts(df, values) if counts is None else counts).orderBy(F.desc(COUNT), COLUMN, VALUE).limit(HOT_LIMIT)
+    most = (cell_counts(df, values) if counts is None else counts).orderBy(F.desc(COUNT), COLUMN, VALUE).limit(HOT_CELLS)
     known = table.select(COLUMN, VALUE, F.col(payload).alias("__p"))
     hot = most.select(COLUMN, VALUE).join(known, [COLUMN, VALUE], "left")
-    rows = hot.collect()  # HOT_LIMIT rows at most
+    rows = hot.collect()  # HOT_CELLS rows at most
     wide = df.select("*", *[v.alias(f"__cell{i}") for i, v in enumerate(values)])
     for i in range(last + 1):
         own = spark.createDataFrame([r for r in rows if r[COLUMN] == i], hot.schema).select(
@@ -81,11 +83,14 @@ def lookup_columns(df: DataFrame, values: list[Column], table: DataFrame, payloa
     wide = materialize(wide.select(*[col(c) for c in df.columns], F.monotonically_increasing_id().alias(ROW), *[x for i in range(
         last + 1) for x in (F.when(F.col(f"__key{i}").isNull(), F.col(f"__cell{i}")).alias(f"__cell{i}"), F.col(f"__hot{i}"))]), "lookup")
     left = [F.col(f"__cell{i}") for i in range(last + 1)]
-    found = cells(wide, left, ROW).join(known, [COLUMN, VALUE]).groupBy(F.col(ROW).alias("__of")).agg(
+    n = sum(wide.agg(*[F.count(c) for c in left]).first())
+    tasks = max(-(-n // TASK_CELLS), spark.sparkContext.defaultParallelism)
+    met = cells(wide, left, ROW).repartition(tasks, COLUMN, VALUE).join(known.repartition(tasks, COLUMN, VALUE), [COLUMN, VALUE])
+    found = met.select(ROW, COLUMN, "__p").repartition(tasks, ROW).groupBy(F.col(ROW).alias("__of")).agg(
         *[F.first(F.when(F.col(COLUMN) == i, F.col("__p")), ignorenulls=True).alias(f"__got{i}") for i in range(last + 1)])
     open_ = F.coalesce(*[c.cast("string") for c in left]).isNotNull()
     kept = [col(c) for c in df.columns]
     done = wide.where(~open_).select(*kept, *[F.col(f"__hot{i}").alias(n) for i, n in enumerate(names)])
-    rest = wide.where(open_).join(found, F.col(ROW) == F.col("__of"), "left").select(
+    rest = wide.where(open_).repartition(tasks, ROW).join(found, F.col(ROW) == F.col("__of"), "left").select(
         *kept, *[F.coalesce(f"__got{i}", f"__hot{i}").alias(n) for i, n in enumerate(names)])
     return done.unionByName(rest)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sparktidy.operators import explore
 from sparktidy.plans import ordering
-from sparktidy.plans.lookup import cell, lookup, lookup_columns
+from sparktidy.plans import lookup as lookup_plans
+from sparktidy.plans.lookup import COLUMN, VALUE, cell, lookup, lookup_columns
 from sparktidy.plans.quantiles import exact_quantiles
 from sparktidy.plans.sampling import hash_limit, key_bits
 
@@ -181,3 +182,19 @@ def test_lookup_of_several_columns(spark):
     assert {r.id: (r.x, r.y, r.z) for r in got.collect()} == want
     assert got.count() == len(rows) and scans(got) <= 12
     assert lookup_columns(df.limit(0), [cell(df, "a")], table, "code", ["x"]).count() == 0
+
+
+def test_lookup_tasks_follow_the_cells(spark, monkeypatch):
+    """Cells that meet the map are dealt over more tasks as they grow, numbers only once."""
+    monkeypatch.setattr(lookup_plans, "TASK_CELLS", 50)
+    monkeypatch.setattr(lookup_plans, "HOT_CELLS", 5)
+    df = spark.range(2000).select("id", F.col("id").alias("a"), (F.col("id") % 700).cast("double").alias("b"))
+    table = df.select(F.lit(0).alias(COLUMN), F.col("a").cast("string").alias(VALUE), (F.col("a") * 3).alias("code"))
+    got = lookup_columns(df, [cell(df, "a")], table, "code", ["x"]).withColumn("task", F.spark_partition_id())
+    assert [r.x for r in got.orderBy("id").collect()] == [3 * i for i in range(2000)]
+    assert got.select("task").distinct().count() > 30
+    ranked = explore._ranked(df.select("a", "b"), ["a", "b"])
+    assert "hashpartitioning" in (plan := ranked._jdf.queryExecution().executedPlan().toString())
+    assert "ENSURE_REQUIREMENTS" not in plan
+    assert sorted(r.a for r in ranked.collect()) == [float(i) for i in range(1, 2001)]
+    assert sorted({r.b for r in ranked.collect()}) == [3 * i + 2.0 for i in range(600)] + [1800 + 2 * i + 1.5 for i in range(100)]
