@@ -18,6 +18,8 @@ from sparktidy.plans.shape import column_counts
 from sparktidy.session import materialize
 
 METHODS = ("label", "onehot", "ordinal", "target")
+# Methods with a configured limit of values.
+LIMITED = ("onehot", "label")
 # Up to this many categories a map is part of the expression; beyond it the
 # map stays a table and is joined. Results, errors and saving are the same.
 INLINE_LIMIT = 1000
@@ -34,7 +36,7 @@ def encode_eligibility(df: DataFrame, columns: list[str] | None = None, method:
     """Which columns may be encoded: more than one value, not above the limit
     (``max_values``, or the configured one of the method)."""
     columns = columns or kinds.categorical_columns(df)
-    limits = {"onehot": get_config().max_features_for_onehot, "label": get_config().max_features_for_label}
+    limits = dict(zip(LIMITED, (get_config().max_features_for_onehot, get_config().max_features_for_label)))
     if max_values is not None:
         limits[method] = max_values
     n = F.col("unique_count")
@@ -43,6 +45,15 @@ def encode_eligibility(df: DataFrame, columns: list[str] | None = None, method:
     return unique_counts(df, columns).withColumn("reason", reason).withColumn("eligible", F.col("reason") == "")
 
 
+def _single_values(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """Reasons of ``encode_eligibility`` where no number of values is the limit:
+    bounds and nulls tell a single value, and no row is shuffled."""
+    row = df.agg(F.count("*").alias("n"), *[e for i, c in enumerate(columns) for e in (
+        F.count(col(c)).alias(f"p{i}"), (F.min(col(c)) == F.max(col(c))).alias(f"one{i}"))]).first()
+    one = {c: row["n"] > 0 and (row[f"p{i}"] == 0 or row[f"p{i}"] == row["n"] and row[f"one{i}"]) for i, c in enumerate(columns)}
+    return {c: "single value" if one[c] else "" for c in columns}
+
+
 @dataclass
 class EncodeModel:
     """Fitted encoder. ``classes`` holds the ordered values (or value -> target
@@ -149,10 +160,10 @@ class EncodeModel:
 
 def _category_table(df: DataFrame, c: str, *aggs: Column) -> tuple[DataFrame, list | None]:
     """Categories of a column with their counts; collected only when few."""
-    table = df.where(col(c).isNotNull()).groupBy(col(c)).agg(F.count("*").alias("__n"), *aggs)
+    table = materialize(df.where(col(c).isNotNull()).groupBy(col(c)).agg(F.count("*").alias("__n"), *aggs), "categories")
     few = table.limit(INLINE_LIMIT + 1).collect()
     if len(few) > INLINE_LIMIT:
-        return materialize(table, "categories"), None
+        return table, None
     return table, sorted(few, key=lambda r: _sort_key(r[0]))
 
 
@@ -182,7 +193,10 @@ def fit_encoder(
     model = EncodeModel(method, drop_original=drop_original, handle_unknown=handle_unknown)
     if not columns:
         return model
-    reasons = {r["column"]: r["reason"] for r in encode_eligibility(df, columns, method, max_values).collect()}
+    if max_values is None and method not in LIMITED:
+        reasons = _single_values(df, columns)
+    else:
+        reasons = {r["column"]: r["reason"] for r in encode_eligibility(df, columns, method, max_values).collect()}
     model.skipped = {c: reasons[c] for c in columns if reasons[c]}
     columns = [c for c in columns if not reasons[c]]
     if method == "target":

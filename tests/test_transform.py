@@ -230,3 +230,15 @@ def test_fluent(colors):
     assert isinstance(create_pipeline(colors), DataTransformer)
     assert quick_transform(colors).columns == colors.columns
     assert quick_transform(colors, encode_categorical=False, scaling_method="minmax").where("weight = 1.0").count() == 1
+
+
+def test_single_values_are_told_without_counting(spark, monkeypatch):
+    """Methods without a limit of values judge columns as ``encode_eligibility`` does, without its shuffle."""
+    df = spark.createDataFrame([(1.0, "x", None, 0.0, "a", None), (2.0, "x", None, -0.0, None, math.nan), (3.0, "x", None, 0.0, "a", math.nan)],
+                               "y double, same string, none string, zero double, gap string, odd double")
+    columns = ["same", "none", "zero", "gap", "odd"]
+    for data in (df, df.limit(0), df.where("y = 1")):
+        want = {r["column"]: r["reason"] for r in encode.encode_eligibility(data, columns, "target").collect()}
+        assert encode._single_values(data, columns) == want
+    monkeypatch.setattr(encode, "encode_eligibility", lambda *_: pytest.fail("counts every value"))
+    assert set(encode.fit_encoder(df, "target", columns=columns, target="y").skipped) == {"same", "none", "zero"}
