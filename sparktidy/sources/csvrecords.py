@@ -18,6 +18,7 @@ import csv
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -28,7 +29,7 @@ SUMMARY, WHOLE, LEAD, TAIL = range(4)
 OUTSIDE, INSIDE, EITHER = range(3)
 #: Blocks (of 128 MB by Spark's default) that one record may cross; beyond, its quote counts as never closed.
 MOST_BLOCKS = 8
-SCANNED = "file string, block long, kind int, case int, head boolean, record string, after_outside boolean, after_inside boolean"
+SCANNED = "file long, block long, kind int, case int, head boolean, record string, after_outside boolean, after_inside boolean"
 #: Reader options that leave the form of records alone.
 OPTIONS = {"header", "sep", "encoding", "mode", "escape", "quote", "inferSchema", "samplingRatio", "nullValue", "emptyValue",
            "nanValue", "positiveInf", "negativeInf", "dateFormat", "timestampFormat", "timestampNTZFormat", "locale"}
@@ -69,7 +70,7 @@ def ends_inside(line: str, inside: bool, quote: str, sep: str) -> bool:
 class _Block:
     """The records of one block, for both ways in which it may begin."""
 
-    def __init__(self, file: str, block: int, quote: str, sep: str):
+    def __init__(self, file: int, block: int, quote: str, sep: str):
         self.file, self.block, self.quote, self.sep = file, block, quote, sep
         self.rows: list[tuple] = []
         self.inside = {OUTSIDE: False, INSIDE: True}
@@ -100,6 +101,37 @@ class _Block:
         if len(self.inside) == 2 and not any(self.inside.values()):
             self.inside, self.open = {EITHER: False}, {EITHER: []}
 
+    def add_all(self, lines: list[str]) -> None:
+        """The same for many lines: once both cases agree, cell by cell."""
+        at = 0
+        while len(self.inside) == 2 and at < len(lines):
+            self.add(lines[at])
+            at += 1
+        if at < len(lines):
+            self._add_text("\n".join(lines[at:]) + "\n")
+
+    def _add_text(self, text: str) -> None:
+        quote, opening = self.quote, self.sep + self.quote
+        inside, going, start, at = self.inside[EITHER], self.open[EITHER], 0, 0
+        while at < len(text):
+            if not inside and at == start and text.startswith(quote, at):
+                inside, at = True, at + 1
+            while inside:
+                at = text.find(quote, at)
+                if at < 0:  # goes on after these lines
+                    self.inside[EITHER], self.open[EITHER] = True, [*going, text[start:-1]]
+                    return
+                inside = text.startswith(quote, at + 1)
+                at += 2 if inside else 1
+            end = text.index("\n", at)
+            cell = text.find(opening, at, end)
+            if cell >= 0:
+                inside, at = True, cell + len(opening)
+                continue
+            self._emit(WHOLE, EITHER, [*going, text[start:end]])
+            going, start, at = [], end + 1, end + 1
+        self.inside[EITHER], self.open[EITHER] = False, []
+
     def finish(self) -> None:
         for case, lines in self.open.items():
             if lines:
@@ -117,13 +149,19 @@ def _scanner(quote: str, sep: str, columns: list[str]):
         block: _Block | None = None
         for batch in batches:
             rows: list[tuple] = []
-            for line, file, start in zip(batch["value"], batch["file"], batch["block"]):
+            files, starts, lines = batch["file"].to_numpy(), batch["block"].to_numpy(), batch["value"].tolist()
+            turns = np.flatnonzero((files[1:] != files[:-1]) | (starts[1:] != starts[:-1])) + 1
+            ends = [0, *turns.tolist(), len(lines)]
+            for low, high in zip(ends, ends[1:]):
+                if low == high:
+                    continue
+                file, start = int(files[low]), int(starts[low])
                 if block is None or (block.file, block.block) != (file, start):
                     if block is not None:
                         block.finish()
                         rows += block.taken()
                     block = _Block(file, start, quote, sep)
-                block.add(line)
+                block.add_all(lines[low:high])
             rows += block.taken() if block is not None else []
             yield pd.DataFrame(rows, columns=columns)
         if block is not None:
@@ -151,8 +189,11 @@ def _beginnings(scanned: DataFrame) -> DataFrame:
 
 def records(spark: SparkSession, path: str, quote: str, sep: str) -> DataFrame:
     """One row per record: ``file``, ``head`` (the first of its file) and ``record``."""
+    # Lines carry their file as a number: most are far shorter than a path.
+    name = F.col("_metadata.file_path")
     lines = spark.read.option("lineSep", "\n").text(str(path)).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        "value", F.xxhash64(name).alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    paths = F.broadcast(spark.read.format("binaryFile").load(str(path)).select(F.xxhash64(name).alias("file"), name.alias("path")))
     columns = T.StructType.fromDDL(SCANNED).names
     scanned = materialize(lines.mapInPandas(_scanner(quote, sep, columns), SCANNED), "csv-records")
     # One row a block of the files, some ten bytes for every hundred million read.
@@ -165,12 +206,14 @@ def records(spark: SparkSession, path: str, quote: str, sep: str) -> DataFrame:
     chains = pieces.withColumn("chain", F.sum((F.col("kind") == TAIL).cast("int")).over(so_far))
     longest = chains.groupBy("file", "chain").agg(F.count("*").alias("n")).where(F.col("n") > MOST_BLOCKS + 1).head(1)
     if longest:
-        raise DataLoadError(f"a quote in {longest[0]['file']} stays open over more than {MOST_BLOCKS} blocks")
+        at = paths.where(F.col("file") == longest[0]["file"]).first()["path"]
+        raise DataLoadError(f"a quote in {at} stays open over more than {MOST_BLOCKS} blocks")
     joined = chains.groupBy("file", "chain").agg(
         F.max("head").alias("head"), F.array_sort(F.collect_list(F.struct("block", "kind", "record"))).alias("parts")).select(
         "file", "head", F.array_join(F.transform("parts", lambda p: p["record"]), "\n").alias("record"))
     text = F.regexp_replace("record", r"\r\z", "")
-    return whole.unionByName(joined).withColumn("record", text).where(F.trim("record") != "")
+    found = whole.unionByName(joined).withColumn("record", text).where(F.trim("record") != "")
+    return found.join(paths, "file").select(F.col("path").alias("file"), "head", "record")
 
 
 def _names(head: str, options: dict[str, Any], quote: str, sep: str) -> list[str]:

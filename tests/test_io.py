@@ -4,8 +4,9 @@ import random
 
 import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
+from checks import streams as checked_streams
 from sparktidy import Config, FastDataLoader, asof_join, get_config, range_join, reset_config, sql, to_records, update_config
 from sparktidy.errors import DataLoadError, TidyError, UnsupportedOperationError
 from sparktidy.operators import query
@@ -303,3 +304,37 @@ def test_chunks_of_a_union_keep_their_tasks(spark, tmp_path):
     assert "Sort" not in both._jdf.queryExecution().executedPlan().toString()
     spark.range(0).write.parquet(str(tmp_path / "none.parquet"))
     assert list(FastDataLoader(spark).stream_chunks(str(tmp_path / "none.parquet"))) == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text('a",\r ', max_size=6), min_size=1, max_size=30), st.integers(1, 8), st.integers(0, 1))
+def test_csv_lines_in_batches(lines, batch, block):
+    """Lines handed over in batches give what they give one by one."""
+    single, many = csvrecords._Block(1, block, '"', ","), csvrecords._Block(1, block, '"', ",")
+    for line in lines:
+        single.add(line)
+    for at in range(0, len(lines), batch):
+        many.add_all(lines[at:at + batch])
+    single.finish()
+    many.finish()
+    assert many.taken() == single.taken()
+
+
+def test_csv_lines_carry_no_path(spark, tmp_path):
+    """A file is a number beside each line; its path comes back with the records."""
+    path = str(tmp_path / "t.csv")
+    files.save_data(spark.range(40).select("id", F.concat_ws("\n", F.lit("x"), "id").alias("t")).repartition(3), path)
+    found = csvrecords.records(spark, path, '"', ",")
+    assert found.select("file").distinct().count() == 3
+    assert {r.file.rsplit("/", 2)[1] for r in found.select("file").collect()} == {"t.csv"}
+    assert T.StructType.fromDDL(csvrecords.SCANNED)["file"].dataType == T.LongType()
+    assert files.load_data(spark, path).count() == 40
+
+
+def test_stream_input_pieces_follow_the_table(spark):
+    """Larger tables are written in more pieces, in no more batches."""
+    stream = checked_streams._stream(spark, spark.range(0, 1000, 1, 10))
+    counts = streams.stream_counts(stream).collect()
+    assert len(counts) == 4 and sum(r.rows for r in counts) == 1000
+    small = streams.stream_table(checked_streams._stream(spark, spark.range(0, 1000, 1, 10)).select("id", F.col("_metadata.file_path").alias("piece")))
+    assert small.select("piece").distinct().count() == 12
