@@ -366,8 +366,9 @@ def knn_impute(
                      .withColumn("cell", F.explode(others_of)).select("cell", *q_key, *features))
     second = _search(second_visits, donors, slices, search, schema, key, features, known)
     best = _top(first.unionByName(second), key, k)
-    values = best.groupBy(*q_key).agg(F.avg("y").alias("__knn")).select(
-        *[col(f"q_{c}").alias(c) for c in key], "__knn")
+    # Whatever reads the filled table would search again: keep one row a query.
+    values = materialize(best.groupBy(*q_key).agg(F.avg("y").alias("__knn")).select(
+        *[col(f"q_{c}").alias(c) for c in key], "__knn"), "knn-values")
     filled = df.join(values, key, "left")
     return filled.select(*[
         F.coalesce(col(column).cast("double"), F.when(col(column).isNull(), F.coalesce("__knn", F.lit(facts["mean"]))))

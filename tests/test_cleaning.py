@@ -284,3 +284,11 @@ def test_strategies(nulls):
         batch.apply_strategy(nulls, "other")
     with pytest.raises(ValueError):
         quick_clean(nulls, "other")
+
+
+def test_knn_result_does_not_search_again(spark):
+    """Whoever reads the filled table reads the found values, not the search."""
+    df = spark.range(60).selectExpr("id", "cast(id as double) as x", "CASE WHEN id % 6 > 0 THEN id * 2.0 END as y")
+    filled = knn_impute(df, "y", ["id"], k=2)
+    assert "CoGroups" not in filled._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.y for r in filled.where("id in (6, 12)").collect()} == {6: 12.0, 12: 24.0}
