@@ -2,9 +2,12 @@
 
 import hashlib
 import random
+import sys
+import tracemalloc
 from array import array
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -59,6 +62,35 @@ def test_small_memory_gives_the_same(monkeypatch):
     assert own.encode_batch(texts) == first and own.encode_batch(texts[::-1]) == first[::-1]
 
 
+def test_codec_is_small():
+    tracemalloc.start()
+    try:
+        own = bpe.Codec(PATH)
+        assert tracemalloc.get_traced_memory()[0] < 35e6 and own.encode_batch(["the cat"])
+    finally:
+        tracemalloc.stop()
+
+
+def test_remembered_words_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY_BYTES", 200_000, raising=False)
+    own, draw = bpe.Codec(PATH), random.Random(5)
+    for _ in range(30):
+        words = ["".join(draw.choices("abcdefgh", k=1500)) for _ in range(20)]
+        check_own = own.encode_batch(words)
+        assert sum(sys.getsizeof(x) for d in (own.words, own.elder) for x in [*d, *d.values()]) < 800_000
+    assert [numbers(i) for i in check_own] == [LIBRARY.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "TRIE_CHARS", 10)
+    monkeypatch.setattr(bpe, "TRIE_ROWS", 3)
+    texts = ["a" * 6, "b" * 5, None, "", "c", "d" * 40, "e", "f" * 9, "g"]
+    found = list(bpe._pieces(pa.array(texts)))
+    assert [t for _, piece in found for t in piece] == [t or "" for t in texts]
+    assert [first for first, _ in found] == [0, 1, 4, 5, 6, 8]
+    assert list(bpe._pieces(pa.array([], pa.string()))) == []
+
+
 def test_digests(docs_of, odd_rows, clashing):
     found = bpe.digests(clashing(docs_of(odd_rows)), PATH).collect()
     wanted = []
