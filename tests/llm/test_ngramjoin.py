@@ -155,6 +155,48 @@ def test_components(spark):
     assert {found[i] for i in range(1, 201)} == {0} and found[503] == found[501] == 500 and 900 not in found
 
 
+def _smallest(links):
+    """``{node: smallest node of its component}`` for all but the smallest ones."""
+    group = {}
+    for a, b in links:
+        group.setdefault(a, {a})
+        group.setdefault(b, {b})
+        both = group[a] | group[b]
+        group.update(dict.fromkeys(both, both))
+    return {x: min(g) for x, g in group.items() if x != min(g)}
+
+
+def test_components_of_random_links(spark):
+    rng = random.Random(1)
+    links = [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(55)]
+    links += [(1000, i) for i in range(1001, 1200)] + [(1500, i) for i in range(1150, 1300)] + links[:9]
+    frame = spark.createDataFrame(links, "a long, b long")
+    found = ngramjoin.components(frame).collect()
+    assert len(found) == len({r.node for r in found}) and {r.node: r.component for r in found} == _smallest(links)
+    first, later = frame.where("pmod(a + b, 3) > 0"), frame.where("pmod(a + b, 3) = 0")
+    found = ngramjoin.joined_groups(ngramjoin.components(first), later).collect()
+    assert len(found) == len({r.node for r in found}) and {r.node: r.component for r in found} == _smallest(links)
+
+
+def test_stars_take_no_turn(spark, monkeypatch):
+    """What is grouped already is not written again, and a turn writes two tables."""
+    written, write = [], ngramjoin.materialize
+    monkeypatch.setattr(ngramjoin, "materialize", lambda df, purpose: (written.append(purpose), write(df, purpose))[1])
+    for links, tables in (([], []), ([(3, 1), (1, 2), (9, 7), (4, 4)], []), ([(1, 2), (2, 3)], ["large", "small"])):
+        written.clear()
+        found = {r.node: r.component for r in ngramjoin.components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert written == ["links", *tables] and found == _smallest(links)
+
+
+def test_bit_field(spark):
+    ids = [0, 1, -1, 2**62, -2**63, *range(100, 5000, 7)]
+    field = ngramjoin.id_filter(spark.createDataFrame([(i,) for i in ids], "id long"))
+    assert field.nbytes == ngramjoin.BITS // 8
+    assert ngramjoin._hit(field, pa.array([*ids, None])).tolist() == [True] * len(ids) + [False]
+    assert ngramjoin._hit(field, pa.array(range(10_000, 20_000))).sum() < 100
+    assert not ngramjoin.id_filter(spark.createDataFrame([], "id long")).any()
+
+
 def test_word_arrays():
     texts = ["a bb  ccc", None, "", " x\ty\x0bz\n", "é üx y", "last"]
     for first, last, raw, offsets in words.slices(pa.array(texts)):
