@@ -37,12 +37,12 @@ def _key(df: DataFrame, name: str) -> Column:
     raise DataValidationError(f"cannot order by {name}: {dtype.simpleString()}")
 
 
-def range_cuts(df: DataFrame, columns: list[str]) -> dict[str, list[float]]:
+def range_cuts(df: DataFrame, columns: list[str], range_rows: int = RANGE_ROWS) -> dict[str, list[float]]:
     """Cut points of several order keys, from one sketch pass. A value that
     repeats from cut to cut gets a second cut just above it, and so a range of
     its own."""
     rows, found = cut_values(df, {f"c{i}": _key(df, c) for i, c in enumerate(columns)}, MAX_RANGES)
-    step = MAX_RANGES // min(max(rows // RANGE_ROWS, MIN_RANGES), MAX_RANGES)
+    step = MAX_RANGES // min(max(rows // range_rows, MIN_RANGES), MAX_RANGES)
     out = {}
     for i, c in enumerate(columns):
         cuts = found[f"c{i}"][step - 1::step]

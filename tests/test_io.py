@@ -149,6 +149,23 @@ def test_range_join_with_long_intervals_and_a_frequent_point(spark, monkeypatch)
     assert got.count() == want.count() and same(got.select("id", "b"), want.select("id", "b"))
 
 
+def test_range_join_spreads_its_pairs_over_tasks(spark, monkeypatch):
+    """Few bytes that make many pairs: tasks follow the pairs, none takes much more than its share."""
+    for name, value in (("CELL_ROWS", 100), ("RANGE_ROWS", 50), ("BLOCK_ROWS", 20), ("TASK_PAIRS", 10_000)):
+        monkeypatch.setattr(query, name, value, raising=False)
+    points = spark.range(2000).selectExpr("id", "CASE WHEN id % 4 = 0 THEN 50.0D ELSE (id * 37) % 1000 / 10.0D END AS p")
+    bands = spark.range(300).selectExpr("id AS b", "id % 60 - 5.0D AS lo", "id % 60 + 45.0D AS hi", "map('k', id) AS m")
+    want = points.join(bands, (points.p >= bands.lo) & (points.p < bands.hi))
+    got = range_join(points, bands, "p", "lo", "hi")
+    assert got.columns == ["id", "p", "b", "lo", "hi", "m"] and same(got.select("id", "b"), want.select("id", "b"))
+    made = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(made) >= 20 and max(made) < sum(made) / 5
+    twice = points.union(points), bands.union(bands.selectExpr("b", "NULL", "hi", "m")).union(bands)
+    assert range_join(*twice, "p", "lo", "hi").count() == 4 * want.count()
+    assert range_join(points, bands.where("lo > 1000"), "p", "lo", "hi").count() == 0
+    assert range_join(points.where("p > 1000"), bands, "p", "lo", "hi").count() == 0
+
+
 @pytest.fixture(scope="module")
 def arriving(spark, tmp_path_factory):
     """A table written in five files."""
