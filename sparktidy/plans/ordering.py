@@ -22,6 +22,7 @@ from sparktidy.session import materialize
 # The number of ranges follows the table, so a range stays one task's work. The
 # upper limit holds for cuts of a numeric axis only, where oversized cells are divided.
 RANGE_ROWS, MIN_RANGES, MAX_RANGES = 500_000, 16, 8192
+FEW_ROWS = 4096
 RANGE, GROUP = "__range", "__group"
 
 
@@ -37,12 +38,12 @@ def _key(df: DataFrame, name: str) -> Column:
     raise DataValidationError(f"cannot order by {name}: {dtype.simpleString()}")
 
 
-def range_cuts(df: DataFrame, columns: list[str], range_rows: int = RANGE_ROWS) -> dict[str, list[float]]:
+def range_cuts(df: DataFrame, columns: list[str], ranges: int = 0) -> dict[str, list[float]]:
     """Cut points of several order keys, from one sketch pass. A value that
     repeats from cut to cut gets a second cut just above it, and so a range of
-    its own."""
+    its own. More ranges than the rows call for may be asked for, FEW_ROWS each."""
     rows, found = cut_values(df, {f"c{i}": _key(df, c) for i, c in enumerate(columns)}, MAX_RANGES)
-    step = MAX_RANGES // min(max(rows // range_rows, MIN_RANGES), MAX_RANGES)
+    step = MAX_RANGES // min(max(rows // RANGE_ROWS, min(ranges, rows // FEW_ROWS), MIN_RANGES), MAX_RANGES)
     out = {}
     for i, c in enumerate(columns):
         cuts = found[f"c{i}"][step - 1::step]

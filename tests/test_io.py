@@ -151,7 +151,7 @@ def test_range_join_with_long_intervals_and_a_frequent_point(spark, monkeypatch)
 
 def test_range_join_spreads_its_pairs_over_tasks(spark, monkeypatch):
     """Few bytes that make many pairs: tasks follow the pairs, none takes much more than its share."""
-    for name, value in (("CELL_ROWS", 100), ("RANGE_ROWS", 50), ("BLOCK_ROWS", 20), ("TASK_PAIRS", 10_000)):
+    for name, value in (("CELL_RANGES", 1), ("RANGE_ROWS", 50), ("BLOCK_ROWS", 20), ("TASK_PAIRS", 10_000)):
         monkeypatch.setattr(query, name, value, raising=False)
     points = spark.range(2000).selectExpr("id", "CASE WHEN id % 4 = 0 THEN 50.0D ELSE (id * 37) % 1000 / 10.0D END AS p")
     bands = spark.range(300).selectExpr("id AS b", "id % 60 - 5.0D AS lo", "id % 60 + 45.0D AS hi", "map('k', id) AS m")
